@@ -2,9 +2,9 @@
 
 ``lift`` turns each history row into its measures; ``rollup`` sums them by any
 keys. A rollup of a rollup equals the rollup of the rows, so every grain can be
-taken from the finest one at hand, and Spark drops the measures nobody reads.
-All measures are numbers or timestamps, which keeps the hash aggregate with its
-map-side combine: a hot key shrinks to one row per task before the shuffle.
+taken from the finest one at hand. All measures are numbers or timestamps, which
+keeps the hash aggregate with its map-side combine: a hot key shrinks to one row
+per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -12,63 +12,50 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketmill.columns import DATE, DISCOUNT, ITEM, LOC, PRICE, QTY, USER
-from basketmill.functions.time import days_back
+from basketmill.functions.time import back_sql
 
 # The look-back windows of the features, in days.
 FEATURE_WINDOWS = (7, 30, 90)
 
 FIRST, LAST = "first_date", "last_date"
 
-
-def spend() -> Column:
-    return F.coalesce(F.col(PRICE), F.lit(0.0)) * F.coalesce(F.col(QTY), F.lit(0.0))
-
-
-def discount() -> Column:
-    return F.coalesce(F.col(DISCOUNT), F.lit(0.0))
-
-
-def net_spend() -> Column:
-    return F.greatest(spend() - discount(), F.lit(0.0))
-
-
-def _flag(condition: Column) -> Column:
-    return condition.cast("bigint")
+SPEND = f"coalesce({PRICE}, 0D) * coalesce({QTY}, 0D)"
+DISCOUNTED = f"coalesce({DISCOUNT}, 0D)"
+NET = f"greatest({SPEND} - {DISCOUNTED}, 0D)"
 
 
 def lift(history: DataFrame, cutoff: datetime, windows: Iterable[int] = ()) -> DataFrame:
     """Each history row as (user, item, location) and its measures."""
-    within = {days: F.col(DATE) >= days_back(cutoff, days) for days in {*FEATURE_WINDOWS, *windows}}
-    return history.select(
+    days = sorted({*FEATURE_WINDOWS, *windows})
+    return history.selectExpr(
         USER,
         ITEM,
         LOC,
-        F.lit(1).cast("bigint").alias("n_all"),
-        *[_flag(within[days]).alias(f"n_{days}") for days in sorted(within)],
-        _flag(F.col(PRICE).isNotNull()).alias("n_price"),
-        _flag(F.col(DISCOUNT).isNotNull()).alias("n_discount"),
-        _flag(F.col(QTY).isNotNull()).alias("n_qty"),
-        F.col(PRICE).alias("sum_price"),
-        F.col(QTY).alias("sum_qty"),
-        F.when(within[90], F.col(QTY)).alias("sum_qty_90"),
-        spend().alias("sum_spend"),
-        discount().alias("sum_discount"),
-        net_spend().alias("sum_net"),
-        F.col(DATE).alias(FIRST),
-        F.col(DATE).alias(LAST),
+        "1L AS n_all",
+        *[f"CAST({DATE} >= {back_sql(cutoff, d)} AS BIGINT) AS n_{d}" for d in days],
+        f"CAST({PRICE} IS NOT NULL AS BIGINT) AS n_price",
+        f"CAST({DISCOUNT} IS NOT NULL AS BIGINT) AS n_discount",
+        f"CAST({QTY} IS NOT NULL AS BIGINT) AS n_qty",
+        f"{PRICE} AS sum_price",
+        f"{QTY} AS sum_qty",
+        f"CASE WHEN {DATE} >= {back_sql(cutoff, 90)} THEN {QTY} END AS sum_qty_90",
+        f"{SPEND} AS sum_spend",
+        f"{DISCOUNTED} AS sum_discount",
+        f"{NET} AS sum_net",
+        f"{DATE} AS {FIRST}",
+        f"{DATE} AS {LAST}",
     )
 
 
-def rollup(df: DataFrame, *keys: str, **extra: Column) -> DataFrame:
-    """Sum the measures of ``df`` by ``keys``; ``extra`` adds further aggregates."""
-    sums = [c for c in df.columns if c.startswith(("n_", "sum_"))]
-    return df.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in sums],
-        F.min(FIRST).alias(FIRST),
-        F.max(LAST).alias(LAST),
-        *[column.alias(name) for name, column in extra.items()],
-    )
+def _total(measure: str) -> str:
+    how = {FIRST: "min", LAST: "max"}.get(measure, "sum")
+    return f"{how}({measure}) AS {measure}"
+
+
+def rollup(df: DataFrame, keys: list[str], measures: list[str], *extra: str) -> DataFrame:
+    """Total the measures of ``df`` by ``keys``; ``extra`` are further aggregates."""
+    return df.groupBy(*keys).agg(*[F.expr(e) for e in (*map(_total, measures), *extra)])

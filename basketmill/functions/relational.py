@@ -25,8 +25,8 @@ def spread_join(
     is repeated per salt. Where the lookup turns out small, the optimizer
     broadcasts it by its measured size instead, with no change of result.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    copies = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    salt = F.expr(f"CAST(pmod(xxhash64({', '.join(spread_by)}), {SALTS}) AS INT)")
+    copies = F.expr(f"explode(sequence(0, {SALTS - 1}))")
     return (
         big.withColumn("_salt", salt)
         .join(small.withColumn("_salt", copies), [*keys, "_salt"], how)

@@ -5,9 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 @dataclass(frozen=True)
 class MonthWindow:
@@ -41,15 +38,15 @@ def previous_months(label: str, count: int) -> list[str]:
     return [month_minus(label, back) for back in range(count, 0, -1)]
 
 
-def ntz(moment: datetime) -> Column:
+def ntz_sql(moment: datetime) -> str:
     """A zone-less timestamp literal (``F.lit`` would make a zoned one)."""
-    return F.expr(f"TIMESTAMP_NTZ '{moment:%Y-%m-%d %H:%M:%S.%f}'")
+    return f"TIMESTAMP_NTZ '{moment:%Y-%m-%d %H:%M:%S.%f}'"
 
 
-def days_back(cutoff: datetime, days: int) -> Column:
-    return ntz(cutoff - timedelta(days=days))
+def back_sql(cutoff: datetime, days: int) -> str:
+    return ntz_sql(cutoff - timedelta(days=days))
 
 
-def whole_days(since: Column | str, cutoff: datetime) -> Column:
+def whole_days_sql(since: str, cutoff: datetime) -> str:
     """Whole elapsed days up to ``cutoff``: time of day counts, unlike ``datediff``."""
-    return F.timestamp_diff("DAY", F.col(since) if isinstance(since, str) else since, ntz(cutoff))
+    return f"timestampdiff(DAY, {since}, {ntz_sql(cutoff)})"

@@ -18,8 +18,9 @@ from basketmill.config import CandidateParams
 from basketmill.functions.measures import LAST, rollup
 from basketmill.functions.relational import spread_join, top_per
 from basketmill.operators.cobuy import ANCHOR, CO_ITEM, COUNT, shared_bill_counts
-from basketmill.operators.ledger import Ledger, open_ledger
+from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.operators.users import recent
+from basketmill.session import stored
 
 PAIR_SCHEMA = f"{USER} bigint, {ITEM} string"
 
@@ -35,22 +36,21 @@ def _often_then_latest(rows: str, tie: str) -> list[Column]:
 # --- a user's own purchases -------------------------------------------------
 
 
-def _own_items(ledger: Ledger, users: DataFrame, rows: str, top: int) -> DataFrame:
-    own = ledger.pairs.select(USER, ITEM, rows, LAST).where(F.col(rows) > 0)
-    own = own.join(users, USER, "left_semi")
+def _own_items(audience: Audience, rows: str, top: int) -> DataFrame:
+    own = audience.pairs.select(USER, ITEM, rows, LAST).where(F.col(rows) > 0)
     return top_per(own, [USER], _often_then_latest(rows, ITEM), top, "_rank").select(USER, ITEM)
 
 
-def personal(ledger: Ledger, users: DataFrame) -> DataFrame:
-    return _own_items(ledger, users, ledger.personal_rows, ledger.params.personal_top)
+def personal(ledger: Ledger, audience: Audience) -> DataFrame:
+    return _own_items(audience, ledger.personal_rows, ledger.params.personal_top)
 
 
-def repeat_all(ledger: Ledger, users: DataFrame) -> DataFrame:
-    return _own_items(ledger, users, "n_all", ledger.params.personal_top)
+def repeat_all(ledger: Ledger, audience: Audience) -> DataFrame:
+    return _own_items(audience, "n_all", ledger.params.personal_top)
 
 
-def anchors(ledger: Ledger, users: DataFrame) -> DataFrame:
-    return _own_items(ledger, users, ledger.recent_rows, ledger.params.anchors)
+def anchors(ledger: Ledger, audience: Audience) -> DataFrame:
+    return _own_items(audience, ledger.recent_rows, ledger.params.anchors)
 
 
 # --- popular items ----------------------------------------------------------
@@ -59,7 +59,7 @@ def anchors(ledger: Ledger, users: DataFrame) -> DataFrame:
 def popular_items(ledger: Ledger, rows: str, top: int) -> DataFrame:
     """The ``top`` items over all users as one row holding an array."""
     ranked = (
-        rollup(ledger.pairs, ITEM)
+        rollup(ledger.pairs, [ITEM], [rows])
         .where(F.col(rows) > 0)
         .orderBy(F.col(rows).desc(), F.col(ITEM))
         .limit(top)
@@ -73,13 +73,13 @@ def _to_every_user(users: DataFrame, items: DataFrame) -> DataFrame:
     return listed.select(USER, F.explode_outer("items").alias(ITEM)).where(F.col(ITEM).isNotNull())
 
 
-def popular_everywhere(ledger: Ledger, users: DataFrame) -> DataFrame:
-    return _to_every_user(users, popular_items(ledger, "n_all", ledger.params.global_top))
+def popular_everywhere(ledger: Ledger, audience: Audience) -> DataFrame:
+    return _to_every_user(audience.users, popular_items(ledger, "n_all", ledger.params.global_top))
 
 
-def recently_popular(ledger: Ledger, users: DataFrame) -> DataFrame:
+def recently_popular(ledger: Ledger, audience: Audience) -> DataFrame:
     top = ledger.params.recent_global_top
-    return _to_every_user(users, popular_items(ledger, ledger.recent_rows, top))
+    return _to_every_user(audience.users, popular_items(ledger, ledger.recent_rows, top))
 
 
 # --- items popular at a key: place, category, brand ---------------------------
@@ -90,7 +90,8 @@ def _as_lists(ranked: DataFrame, key: str) -> DataFrame:
 
 
 def place_items(ledger: Ledger, rows: str, top: int) -> DataFrame:
-    counted = rollup(ledger.cube.where(F.col(LOC).isNotNull()), LOC, ITEM).where(F.col(rows) > 0)
+    known = ledger.cube.where(F.col(LOC).isNotNull())
+    counted = rollup(known, [LOC, ITEM], [rows]).where(F.col(rows) > 0)
     return _as_lists(
         top_per(counted, [LOC], [F.col(rows).desc(), F.col(ITEM)], top, "_rank"), LOC
     )
@@ -98,9 +99,8 @@ def place_items(ledger: Ledger, rows: str, top: int) -> DataFrame:
 
 def attribute_items(ledger: Ledger, attribute: str, top: int) -> DataFrame:
     rows = ledger.recent_rows
-    counted = rollup(
-        ledger.pairs.where(F.col(attribute).isNotNull()), attribute, ITEM
-    ).where(F.col(rows) > 0)
+    known = ledger.pairs.where((F.col(rows) > 0) & F.col(attribute).isNotNull())
+    counted = rollup(known, [attribute, ITEM], [rows, LAST])
     return _as_lists(
         top_per(counted, [attribute], _often_then_latest(rows, ITEM), top, "_rank"), attribute
     )
@@ -111,37 +111,32 @@ def _offer(keyed_users: DataFrame, lists: DataFrame, key: str) -> DataFrame:
     return joined.select(USER, F.explode("items").alias(ITEM))
 
 
-def popular_at_place(
-    ledger: Ledger, users: DataFrame, places: DataFrame | None = None
-) -> DataFrame:
-    places = ledger.user_location(users) if places is None else places
-    return _offer(places, place_items(ledger, "n_all", ledger.params.location_top), LOC)
+def popular_at_place(ledger: Ledger, audience: Audience) -> DataFrame:
+    lists = place_items(ledger, "n_all", ledger.params.location_top)
+    return _offer(audience.places, lists, LOC)
 
 
-def recently_popular_at_place(
-    ledger: Ledger, users: DataFrame, places: DataFrame | None = None
-) -> DataFrame:
-    places = ledger.user_location(users) if places is None else places
+def recently_popular_at_place(ledger: Ledger, audience: Audience) -> DataFrame:
     lists = place_items(ledger, ledger.recent_rows, ledger.params.recent_location_top)
-    return _offer(places, lists, LOC)
+    return _offer(audience.places, lists, LOC)
 
 
-def user_attributes(ledger: Ledger, users: DataFrame, attribute: str, top: int) -> DataFrame:
+def user_attributes(ledger: Ledger, audience: Audience, attribute: str, top: int) -> DataFrame:
     """The attribute values a user bought most in the recent window."""
     rows = ledger.recent_rows
-    own = ledger.pairs.where((F.col(rows) > 0) & F.col(attribute).isNotNull())
-    counted = rollup(own.join(users, USER, "left_semi"), USER, attribute)
+    own = audience.pairs.where((F.col(rows) > 0) & F.col(attribute).isNotNull())
+    counted = rollup(own, [USER, attribute], [rows, LAST])
     order = _often_then_latest(rows, attribute)
     return top_per(counted, [USER], order, top, "_rank").select(USER, attribute)
 
 
-def popular_in_categories(ledger: Ledger, users: DataFrame) -> DataFrame:
-    own = user_attributes(ledger, users, CAT, ledger.params.user_categories)
+def popular_in_categories(ledger: Ledger, audience: Audience) -> DataFrame:
+    own = user_attributes(ledger, audience, CAT, ledger.params.user_categories)
     return _offer(own, attribute_items(ledger, CAT, ledger.params.category_top), CAT)
 
 
-def popular_in_brands(ledger: Ledger, users: DataFrame) -> DataFrame:
-    own = user_attributes(ledger, users, BRAND, ledger.params.user_brands)
+def popular_in_brands(ledger: Ledger, audience: Audience) -> DataFrame:
+    own = user_attributes(ledger, audience, BRAND, ledger.params.user_brands)
     return _offer(own, attribute_items(ledger, BRAND, ledger.params.brand_top), BRAND)
 
 
@@ -163,11 +158,8 @@ def cobuy_pairs(ledger: Ledger, own_anchors: DataFrame) -> DataFrame:
     )
 
 
-def bought_together(
-    ledger: Ledger, users: DataFrame, own_anchors: DataFrame | None = None
-) -> DataFrame:
-    if own_anchors is None:
-        own_anchors = anchors(ledger, users)
+def bought_together(ledger: Ledger, audience: Audience) -> DataFrame:
+    own_anchors = stored(anchors(ledger, audience), "anchors")
     partners = (
         cobuy_pairs(ledger, own_anchors)
         .groupBy(ANCHOR)
@@ -186,37 +178,36 @@ def bought_together(
 # --- all sources --------------------------------------------------------------
 
 
-def candidates_from(ledger: Ledger, users: DataFrame) -> DataFrame:
+def candidates_from(ledger: Ledger, audience: Audience) -> DataFrame:
     """Unique (user, item) with a flag per source and the number of sources."""
     params, with_items = ledger.params, ledger.items is not None
-    places = ledger.user_location(users)
     offers = {
-        "candidate_personal": (params.personal_top, lambda: personal(ledger, users)),
-        "candidate_repeat_all": (params.personal_top, lambda: repeat_all(ledger, users)),
-        "candidate_global": (params.global_top, lambda: popular_everywhere(ledger, users)),
+        "candidate_personal": (params.personal_top, lambda: personal(ledger, audience)),
+        "candidate_repeat_all": (params.personal_top, lambda: repeat_all(ledger, audience)),
+        "candidate_global": (params.global_top, lambda: popular_everywhere(ledger, audience)),
         "candidate_location": (
             params.location_top,
-            lambda: popular_at_place(ledger, users, places),
+            lambda: popular_at_place(ledger, audience),
         ),
         "candidate_recent_global": (
             params.recent_global_top,
-            lambda: recently_popular(ledger, users),
+            lambda: recently_popular(ledger, audience),
         ),
         "candidate_recent_location": (
             params.recent_location_top,
-            lambda: recently_popular_at_place(ledger, users, places),
+            lambda: recently_popular_at_place(ledger, audience),
         ),
         "candidate_recent_category": (
             params.category_top if with_items else 0,
-            lambda: popular_in_categories(ledger, users),
+            lambda: popular_in_categories(ledger, audience),
         ),
         "candidate_recent_brand": (
             params.brand_top if with_items else 0,
-            lambda: popular_in_brands(ledger, users),
+            lambda: popular_in_brands(ledger, audience),
         ),
         "candidate_cobuy": (
             min(params.cobuy_top, params.personal_top),
-            lambda: bought_together(ledger, users),
+            lambda: bought_together(ledger, audience),
         ),
     }
     # One bit per source: a narrow row to shuffle, and the union is a bitwise or.
@@ -226,14 +217,11 @@ def candidates_from(ledger: Ledger, users: DataFrame) -> DataFrame:
         if top > 0:
             union = union.unionByName(offer().withColumn("sources", F.lit(1 << bit)))
     merged = union.groupBy(USER, ITEM).agg(F.bit_or("sources").alias("sources"))
-    return merged.select(
+    return merged.selectExpr(
         USER,
         ITEM,
-        *[
-            F.shiftright("sources", bit).bitwiseAND(F.lit(1)).alias(source)
-            for bit, source in enumerate(SOURCES)
-        ],
-        F.bit_count("sources").alias(SOURCE_COUNT),
+        *[f"shiftright(sources, {bit}) & 1 AS {source}" for bit, source in enumerate(SOURCES)],
+        f"bit_count(sources) AS {SOURCE_COUNT}",
     )
 
 
@@ -245,4 +233,5 @@ def build_candidates(
     params: CandidateParams = CandidateParams(),
 ) -> DataFrame:
     """Candidates of ``users`` (distinct) from the log before ``cutoff``."""
-    return candidates_from(open_ledger(tx, cutoff, items, params, stored=True), users)
+    ledger = open_ledger(tx, cutoff, items, params, stored=True)
+    return candidates_from(ledger, open_audience(ledger, users, stored=True))

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketmill.columns import (
     ATTRIBUTES,
     BILL,
     CAT,
-    CATALOG_FACTS,
     FEATURES,
     ITEM,
     LOC,
@@ -28,134 +27,128 @@ from basketmill.columns import (
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import FIRST, LAST, rollup
 from basketmill.functions.relational import spread_join
-from basketmill.functions.time import whole_days
-from basketmill.operators.ledger import Ledger, open_ledger, with_attributes
+from basketmill.functions.time import whole_days_sql
+from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.session import stored
 
 
-def _ratio(top: str | Column, bottom: str | Column, plus: float = 1.0) -> Column:
-    """``top / (bottom + plus)``; null where the divisor is zero (a sum of refunds)."""
-    top = F.col(top) if isinstance(top, str) else top
-    bottom = F.col(bottom) if isinstance(bottom, str) else bottom
-    return F.try_divide(top.cast("double"), bottom + F.lit(plus))
-
-
-def _mean(total: str, rows: str) -> Column:
-    return F.try_divide(F.col(total), F.col(rows))
+def _ratio(top: str, bottom: str) -> str:
+    """``top / (bottom + 1)``; null where the divisor is zero (a sum of refunds)."""
+    return f"try_divide(CAST({top} AS DOUBLE), {bottom} + 1D)"
 
 
 # --- one table per grain --------------------------------------------------------
 
 
-def pair_features(ledger: Ledger, pairs: DataFrame | None = None) -> DataFrame:
-    own = ledger.pairs if pairs is None else ledger.pairs.join(pairs, [USER, ITEM], "left_semi")
-    cutoff = ledger.cutoff
-    base = own.select(
+def pair_features(ledger: Ledger, audience: Audience) -> DataFrame:
+    base = audience.pairs.selectExpr(
         USER,
         ITEM,
-        F.col("n_all").alias("ui_tx_count"),
-        F.col("sum_qty").alias("ui_qty_sum"),
-        F.col("sum_spend").alias("ui_spend_sum"),
-        F.col("sum_discount").alias("ui_discount_sum"),
-        F.col("sum_net").alias("ui_net_spend_sum"),
-        _mean("sum_price", "n_price").alias("ui_avg_price"),
-        _mean("sum_discount", "n_discount").alias("ui_avg_discount"),
-        _mean("sum_qty", "n_qty").alias("ui_avg_qty"),
-        whole_days(LAST, cutoff).alias("ui_last_days"),
-        whole_days(FIRST, cutoff).alias("ui_first_days"),
-        F.col("n_7").alias("ui_tx_7d"),
-        F.col("n_30").alias("ui_tx_30d"),
-        F.col("n_90").alias("ui_tx_90d"),
-        F.col("sum_qty_90").alias("ui_qty_90d"),
+        "n_all AS ui_tx_count",
+        "sum_qty AS ui_qty_sum",
+        "sum_spend AS ui_spend_sum",
+        "sum_discount AS ui_discount_sum",
+        "sum_net AS ui_net_spend_sum",
+        "try_divide(sum_price, n_price) AS ui_avg_price",
+        "try_divide(sum_discount, n_discount) AS ui_avg_discount",
+        "try_divide(sum_qty, n_qty) AS ui_avg_qty",
+        f"{whole_days_sql(LAST, ledger.cutoff)} AS ui_last_days",
+        f"{whole_days_sql(FIRST, ledger.cutoff)} AS ui_first_days",
+        "n_7 AS ui_tx_7d",
+        "n_30 AS ui_tx_30d",
+        "n_90 AS ui_tx_90d",
+        "sum_qty_90 AS ui_qty_90d",
     )
-    span = F.col("ui_first_days") - F.col("ui_last_days")
-    gaps = F.greatest(F.col("ui_tx_count") - 1, F.lit(1))
-    return base.withColumns(
-        {
-            "ui_discount_rate": _ratio("ui_discount_sum", "ui_spend_sum"),
-            "ui_active_span_days": span,
-            "ui_net_spend_per_tx": _ratio("ui_net_spend_sum", "ui_tx_count"),
-            "ui_repeat_interval_days": span.cast("double") / gaps,
-        }
+    return base.selectExpr(
+        "*",
+        f"{_ratio('ui_discount_sum', 'ui_spend_sum')} AS ui_discount_rate",
+        "ui_first_days - ui_last_days AS ui_active_span_days",
+        f"{_ratio('ui_net_spend_sum', 'ui_tx_count')} AS ui_net_spend_per_tx",
+        "(ui_first_days - ui_last_days) / CAST(greatest(ui_tx_count - 1, 1) AS DOUBLE)"
+        " AS ui_repeat_interval_days",
     )
 
 
-def user_features(ledger: Ledger, users: DataFrame | None = None) -> DataFrame:
-    own, lines = ledger.pairs, ledger.history
-    if users is not None:
-        own, lines = (df.join(users, USER, "left_semi") for df in (own, lines))
+def user_features(ledger: Ledger, audience: Audience) -> DataFrame:
+    lines = ledger.history.select(USER, BILL).join(audience.users, USER, "left_semi")
     # A line without a bill counts as one more bill: group by bill keeps the null.
-    bills = (
-        lines.select(USER, BILL)
-        .distinct()
-        .groupBy(USER)
-        .agg(F.count(F.lit(1)).alias("u_bill_nunique"))
-    )
-    base = rollup(own, USER, items=F.count(F.lit(1))).select(
+    bills = lines.distinct().groupBy(USER).agg(F.expr("count(1) AS u_bill_nunique"))
+    sums = ["sum_qty", "sum_spend", "sum_discount", "sum_net", "sum_price"]
+    counts = ["n_all", "n_30", "n_90", "n_price", "n_discount"]
+    base = rollup(audience.pairs, [USER], counts + sums, "count(1) AS items").selectExpr(
         USER,
-        F.col("n_all").alias("u_tx_count"),
-        F.col("items").alias("u_item_nunique"),
-        F.col("sum_qty").alias("u_qty_sum"),
-        F.col("sum_spend").alias("u_spend_sum"),
-        F.col("sum_discount").alias("u_discount_sum"),
-        F.col("sum_net").alias("u_net_spend_sum"),
-        _mean("sum_price", "n_price").alias("u_avg_price"),
-        _mean("sum_discount", "n_discount").alias("u_avg_discount"),
-        F.col("n_30").alias("u_tx_30d"),
-        F.col("n_90").alias("u_tx_90d"),
+        "n_all AS u_tx_count",
+        "items AS u_item_nunique",
+        "sum_qty AS u_qty_sum",
+        "sum_spend AS u_spend_sum",
+        "sum_discount AS u_discount_sum",
+        "sum_net AS u_net_spend_sum",
+        "try_divide(sum_price, n_price) AS u_avg_price",
+        "try_divide(sum_discount, n_discount) AS u_avg_discount",
+        "n_30 AS u_tx_30d",
+        "n_90 AS u_tx_90d",
     )
-    return base.join(bills, USER).withColumns(
-        {
-            "u_discount_rate": _ratio("u_discount_sum", "u_spend_sum"),
-            "u_tx_per_bill": _ratio("u_tx_count", "u_bill_nunique"),
-            "u_recent_30_share": _ratio("u_tx_30d", "u_tx_count"),
-            "u_recent_90_share": _ratio("u_tx_90d", "u_tx_count"),
-        }
+    return base.join(bills, USER).selectExpr(
+        "*",
+        f"{_ratio('u_discount_sum', 'u_spend_sum')} AS u_discount_rate",
+        f"{_ratio('u_tx_count', 'u_bill_nunique')} AS u_tx_per_bill",
+        f"{_ratio('u_tx_30d', 'u_tx_count')} AS u_recent_30_share",
+        f"{_ratio('u_tx_90d', 'u_tx_count')} AS u_recent_90_share",
     )
 
 
-def user_location_features(ledger: Ledger, users: DataFrame | None = None) -> DataFrame:
-    return ledger.user_location(users).select(
+def user_location_features(ledger: Ledger, audience: Audience) -> DataFrame:
+    return audience.places.selectExpr(
         USER,
         LOC,
-        F.col("place_rows").alias("u_location_tx_count"),
-        whole_days("place_last", ledger.cutoff).alias("u_location_last_days"),
+        "place_rows AS u_location_tx_count",
+        f"{whole_days_sql('place_last', ledger.cutoff)} AS u_location_last_days",
     )
 
 
-def item_features(ledger: Ledger, items: DataFrame | None = None) -> DataFrame:
-    base = ledger.by_item()
-    if items is not None:
-        base = base.join(items, ITEM, "left_semi")
-    return base.select(
+def item_features(ledger: Ledger) -> DataFrame:
+    # A row of ``pairs`` is one user of the item.
+    base = rollup(
+        ledger.pairs,
+        [ITEM],
+        ["n_all", "n_30", "n_90", "n_qty", "sum_qty"],
+        "count(1) AS users_all",
+        "count_if(n_90 > 0) AS users_90",
+    )
+    return base.selectExpr(
         ITEM,
-        F.col("n_all").alias("i_tx_count"),
-        F.col("users_all").alias("i_user_nunique"),
-        F.col("sum_qty").alias("i_qty_sum"),
-        _mean("sum_qty", "n_qty").alias("i_avg_qty"),
-        F.col("n_30").alias("i_tx_30d"),
-        F.col("n_90").alias("i_tx_90d"),
-        F.col("users_90").alias("i_user_90d"),
-        _ratio("n_30", "n_all").alias("i_recent_30_share"),
+        "n_all AS i_tx_count",
+        "users_all AS i_user_nunique",
+        "sum_qty AS i_qty_sum",
+        "try_divide(sum_qty, n_qty) AS i_avg_qty",
+        "n_30 AS i_tx_30d",
+        "n_90 AS i_tx_90d",
+        "users_90 AS i_user_90d",
+        f"{_ratio('n_30', 'n_all')} AS i_recent_30_share",
     )
 
 
-def location_item_features(ledger: Ledger, keys: DataFrame | None = None) -> DataFrame:
-    base = ledger.by_place_item()
-    if keys is not None:
-        base = base.join(keys, [LOC, ITEM], "left_semi")
-    return base.select(
+def location_item_features(ledger: Ledger) -> DataFrame:
+    """(location, item), unknown locations left out."""
+    # A row of ``cube`` is one user of the item at the place.
+    base = rollup(
+        ledger.cube.where(F.col(LOC).isNotNull()),
+        [LOC, ITEM],
+        ["n_all", "n_30", "n_90", "sum_qty", "sum_qty_90"],
+        "count(1) AS users_all",
+    )
+    return base.selectExpr(
         LOC,
         ITEM,
-        F.col("n_all").alias("loc_i_tx_count"),
-        F.col("n_all").alias("loc_item_tx_count"),
-        F.col("users_all").alias("loc_item_user_nunique"),
-        F.col("sum_qty").alias("loc_i_qty_sum"),
-        F.col("n_30").alias("loc_item_tx_30d"),
-        F.col("n_90").alias("loc_i_tx_90d"),
-        F.col("n_90").alias("loc_item_tx_90d"),
-        F.col("sum_qty_90").alias("loc_i_qty_90d"),
-        _ratio("n_90", "n_all").alias("loc_item_recent_share"),
+        "n_all AS loc_i_tx_count",
+        "n_all AS loc_item_tx_count",
+        "users_all AS loc_item_user_nunique",
+        "sum_qty AS loc_i_qty_sum",
+        "n_30 AS loc_item_tx_30d",
+        "n_90 AS loc_i_tx_90d",
+        "n_90 AS loc_item_tx_90d",
+        "sum_qty_90 AS loc_i_qty_90d",
+        f"{_ratio('n_90', 'n_all')} AS loc_item_recent_share",
     )
 
 
@@ -164,44 +157,39 @@ def item_meta(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return spread_join(pairs.select(USER, ITEM), items, [ITEM], [USER], "left")
 
 
-def user_attribute_features(ledger: Ledger, attribute: str) -> DataFrame:
+def user_attribute_features(audience: Audience, attribute: str) -> DataFrame:
     """A user's rows per value of one catalogue attribute."""
     prefix = USER_ATTRIBUTE_PREFIX[attribute]
-    known = ledger.pairs.where(F.col(attribute).isNotNull())
-    return rollup(known, USER, attribute).select(
-        USER,
-        attribute,
-        F.col("n_all").alias(f"{prefix}_tx_count"),
-        F.col("n_90").alias(f"{prefix}_tx_90d"),
+    known = audience.pairs.where(F.col(attribute).isNotNull())
+    return rollup(known, [USER, attribute], ["n_all", "n_90"]).selectExpr(
+        USER, attribute, f"n_all AS {prefix}_tx_count", f"n_90 AS {prefix}_tx_90d"
     )
 
 
 def category_features(ledger: Ledger) -> DataFrame:
     known = ledger.pairs.where(F.col(CAT).isNotNull())
-    return rollup(rollup(known, CAT, ITEM), CAT).select(
+    return rollup(known, [CAT], ["n_all", "n_30", "n_90"]).selectExpr(
         CAT,
-        F.col("n_all").alias("category_tx_count"),
-        F.col("n_30").alias("category_tx_30d"),
-        F.col("n_90").alias("category_tx_90d"),
+        "n_all AS category_tx_count",
+        "n_30 AS category_tx_30d",
+        "n_90 AS category_tx_90d",
     )
 
 
 def location_category_features(ledger: Ledger) -> DataFrame:
-    places = rollup(ledger.cube.where(F.col(LOC).isNotNull()), ITEM, LOC)
+    places = rollup(
+        ledger.cube.where(F.col(LOC).isNotNull()), [ITEM, LOC], ["n_all", "n_90"]
+    )
     known = spread_join(places, ledger.items.select(ITEM, CAT), [ITEM], [LOC])
-    return rollup(known.where(F.col(CAT).isNotNull()), LOC, CAT).select(
-        LOC,
-        CAT,
-        F.col("n_all").alias("loc_category_tx_count"),
-        F.col("n_90").alias("loc_category_tx_90d"),
+    return rollup(known.where(F.col(CAT).isNotNull()), [LOC, CAT], ["n_all", "n_90"]).selectExpr(
+        LOC, CAT, "n_all AS loc_category_tx_count", "n_90 AS loc_category_tx_90d"
     )
 
 
 # --- assembly -------------------------------------------------------------------
 
 
-def _place_key(location: str) -> Column:
-    return F.coalesce(F.col(location).cast("string"), F.lit("unknown")).alias("place")
+PLACE = f"coalesce(CAST({LOC} AS STRING), 'unknown') AS place"
 
 
 def _profiles(ledger: Ledger, keys: DataFrame) -> DataFrame:
@@ -209,12 +197,13 @@ def _profiles(ledger: Ledger, keys: DataFrame) -> DataFrame:
     profile = keys.join(item_features(ledger), ITEM, "left").join(
         location_item_features(ledger), [LOC, ITEM], "left"
     )
-    if ledger.items is None:
-        nothing = {c: F.lit(None).cast("string") for c in ATTRIBUTES}
-        return profile.withColumns(nothing)
-    profile = profile.join(ledger.items, ITEM, "left")
-    profile = spread_join(profile, category_features(ledger), [CAT], [ITEM], "left")
-    return spread_join(profile, location_category_features(ledger), [LOC, CAT], [ITEM], "left")
+    if ledger.items is not None:
+        profile = profile.join(ledger.items, ITEM, "left")
+        profile = spread_join(profile, category_features(ledger), [CAT], [ITEM], "left")
+        profile = spread_join(
+            profile, location_category_features(ledger), [LOC, CAT], [ITEM], "left"
+        )
+    return profile.selectExpr("*", PLACE).drop(LOC)
 
 
 # share = numerator / (denominator + 1), taken before nulls become 0.
@@ -237,37 +226,27 @@ SHARES = {
 }
 
 
-def features_from(ledger: Ledger, candidates: DataFrame) -> DataFrame:
-    """(user, item) and the 94 features; one row per candidate."""
-    users = user_features(ledger).join(user_location_features(ledger), USER)
-    base = candidates.join(users, USER, "left").withColumn("place", _place_key(LOC))
-    base = stored(base, "candidate-users")
-    keys = base.select(LOC, ITEM).distinct()
-    profiles = stored(
-        _profiles(ledger, keys).withColumn("place", _place_key(LOC)).drop(LOC), "profiles"
-    )
+def features_from(ledger: Ledger, audience: Audience, candidates: DataFrame) -> DataFrame:
+    """(user, item) and the 94 features; one row per candidate of the audience."""
+    users = user_features(ledger, audience).join(user_location_features(ledger, audience), USER)
+    base = stored(candidates.join(users, USER, "left").selectExpr("*", PLACE), "candidate-users")
+    profiles = stored(_profiles(ledger, base.select(LOC, ITEM).distinct()), "profiles")
     wide = spread_join(base, profiles, ["place", ITEM], [USER])
-    wide = wide.join(pair_features(ledger), [USER, ITEM], "left")
+    wide = wide.join(pair_features(ledger, audience), [USER, ITEM], "left")
     if ledger.items is not None:
         for attribute in ATTRIBUTES:
-            own = user_attribute_features(ledger, attribute)
+            own = user_attribute_features(audience, attribute)
             wide = wide.join(own, [USER, attribute], "left")
     present = set(wide.columns)
-    shares = {
-        name: _ratio(top, bottom)
-        for name, (top, bottom) in SHARES.items()
-        if {top, bottom} <= present
-    }
-    return wide.withColumns(shares).select(
-        USER,
-        ITEM,
-        *[
-            F.coalesce(F.col(f), F.lit(0)).alias(f) if f in present or f in shares
-            # Without a catalogue its features are zero.
-            else F.lit(0).cast("double").alias(f)
-            for f in FEATURES
-        ],
-    )
+
+    def value(feature: str) -> str:
+        if feature in present:
+            return feature
+        top, bottom = SHARES.get(feature, (feature, feature))
+        # Without a catalogue its features are zero.
+        return _ratio(top, bottom) if {top, bottom} <= present else "0D"
+
+    return wide.selectExpr(USER, ITEM, *[f"coalesce({value(f)}, 0) AS {f}" for f in FEATURES])
 
 
 def add_features(
@@ -278,4 +257,6 @@ def add_features(
     params: CandidateParams = CandidateParams(),
 ) -> DataFrame:
     """Features of the candidates from the whole log before ``cutoff``."""
-    return features_from(open_ledger(tx, cutoff, items, params, stored=True), candidates)
+    ledger = open_ledger(tx, cutoff, items, params, stored=True)
+    users = candidates.select(USER).distinct()
+    return features_from(ledger, open_audience(ledger, users, stored=True), candidates)

@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketmill.columns import ATTRIBUTES, CAT, ITEM, LOC, USER
+from basketmill.columns import ATTRIBUTES, ITEM, LOC, USER
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import LAST, lift, rollup
 from basketmill.functions.relational import spread_join
@@ -39,20 +39,6 @@ class Ledger:
     def personal_rows(self) -> str:
         return f"n_{self.params.personal_days}"
 
-    def by_item(self) -> DataFrame:
-        return rollup(
-            self.pairs,
-            ITEM,
-            users_all=F.count(F.lit(1)),
-            users_90=F.count_if(F.col("n_90") > 0),
-        )
-
-    def by_place_item(self) -> DataFrame:
-        """(location, item), unknown locations left out."""
-        return rollup(
-            self.cube.where(F.col(LOC).isNotNull()), LOC, ITEM, users_all=F.count(F.lit(1))
-        )
-
     def user_location(self, users: DataFrame | None = None) -> DataFrame:
         """The place of each user's latest row, which may be unknown (null).
 
@@ -60,26 +46,47 @@ class Ledger:
         unknown being lowest. ``place_rows`` and ``place_last`` are the user's
         rows and latest row there; both are null at an unknown place.
         """
-        visits = rollup(self.cube, USER, LOC)
+        visits = rollup(self.cube, [USER, LOC], ["n_all", LAST])
         if users is not None:
             visits = visits.join(users, USER, "left_semi")
-        latest = visits.groupBy(USER).agg(
-            F.max_by(F.struct(LOC, "n_all", LAST), F.struct(LAST, LOC)).alias("visit")
-        )
-        known = F.col(f"visit.{LOC}").isNotNull()
-        return latest.select(
-            USER,
-            F.col(f"visit.{LOC}").alias(LOC),
-            F.when(known, F.col("visit.n_all")).alias("place_rows"),
-            F.when(known, F.col(f"visit.{LAST}")).alias("place_last"),
+        visit = f"max_by(struct({LOC}, n_all, {LAST}), struct({LAST}, {LOC})) AS visit"
+        return (
+            visits.groupBy(USER)
+            .agg(F.expr(visit))
+            .selectExpr(
+                USER,
+                f"visit.{LOC}",
+                f"CASE WHEN visit.{LOC} IS NOT NULL THEN visit.n_all END AS place_rows",
+                f"CASE WHEN visit.{LOC} IS NOT NULL THEN visit.{LAST} END AS place_last",
+            )
         )
 
 
+@dataclass(frozen=True)
+class Audience:
+    """The users to serve (distinct), their pairs of the ledger, and their places."""
+
+    users: DataFrame
+    pairs: DataFrame
+    places: DataFrame
+
+
+def open_audience(ledger: Ledger, users: DataFrame, stored: bool = False) -> Audience:
+    if stored:
+        users = session.stored(users, "users")
+    pairs = ledger.pairs.join(users, USER, "left_semi")
+    places = ledger.user_location(users)
+    if stored:
+        pairs = session.stored(pairs, "user-pairs")
+        places = session.stored(places, "user-places")
+    return Audience(users, pairs, places)
+
+
 def with_attributes(df: DataFrame, items: DataFrame | None, *attributes: str) -> DataFrame:
     """Add catalogue attributes by item; nulls where there is no catalogue."""
     if items is None:
-        return df.withColumns({a: F.lit(None).cast("string") for a in attributes})
-    return spread_join(df, items.select(ITEM, *attributes), [ITEM], [df.columns[0]], "left")
+        return df.selectExpr("*", *[f"CAST(NULL AS STRING) AS {a}" for a in attributes])
+    return spread_join(df, items.select(ITEM, *attributes), [ITEM], [USER], "left")
 
 
 def open_ledger(
@@ -91,12 +98,14 @@ def open_ledger(
 ) -> Ledger:
     history = history_before(tx, cutoff)
     rows = lift(history, cutoff, (params.recent_days, params.personal_days))
-    cube = rollup(rows, USER, ITEM, LOC)
+    measures = rows.columns[3:]
+    cube = rollup(rows, [USER, ITEM, LOC], measures)
     if stored:
         items = None if items is None else session.stored(items, "items")
         cube = session.stored(cube, "cube")
-        pairs = session.stored(with_attributes(rollup(cube, USER, ITEM), items, *ATTRIBUTES), "pairs")
+        pairs = rollup(cube, [USER, ITEM], measures)
+        pairs = session.stored(with_attributes(pairs, items, *ATTRIBUTES), "pairs")
     else:
         # Read once: straight from the rows is one shuffle less than via the cube.
-        pairs = with_attributes(rollup(rows, USER, ITEM), items, *ATTRIBUTES)
+        pairs = with_attributes(rollup(rows, [USER, ITEM], measures), items, *ATTRIBUTES)
     return Ledger(cutoff, params, history, items, cube, pairs)

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from basketmill.columns import DATE, ITEM, USER
 from basketmill.functions.relational import hash_order, smallest_hashes
-from basketmill.functions.time import MonthWindow, days_back, ntz
+from basketmill.functions.time import MonthWindow, back_sql, ntz_sql
 
 SAMPLE_SEED = 42
 
 
 def history_before(tx: DataFrame, cutoff: datetime) -> DataFrame:
-    return tx.where(F.col(DATE) < ntz(cutoff))
+    return tx.where(f"{DATE} < {ntz_sql(cutoff)}")
 
 
 def recent(history: DataFrame, cutoff: datetime, days: int) -> DataFrame:
     """Rows of the last ``days`` days before the cutoff, first instant included."""
-    return history.where((F.col(DATE) >= days_back(cutoff, days)) & (F.col(DATE) < ntz(cutoff)))
+    return history.where(f"{DATE} >= {back_sql(cutoff, days)} AND {DATE} < {ntz_sql(cutoff)}")
 
 
 def in_month(tx: DataFrame, month: MonthWindow) -> DataFrame:
-    return tx.where((F.col(DATE) >= ntz(month.start)) & (F.col(DATE) < ntz(month.end)))
+    return tx.where(f"{DATE} >= {ntz_sql(month.start)} AND {DATE} < {ntz_sql(month.end)}")
 
 
 def sample_users(users: DataFrame, n: int, seed: int = SAMPLE_SEED) -> DataFrame:

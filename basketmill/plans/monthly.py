@@ -13,7 +13,7 @@ from basketmill.functions.time import month_window
 from basketmill.operators import metrics, ranking, training
 from basketmill.operators.candidates import candidates_from
 from basketmill.operators.features import features_from
-from basketmill.operators.ledger import open_ledger
+from basketmill.operators.ledger import open_audience, open_ledger
 from basketmill.operators.users import active_users, month_truth, target_users
 from basketmill.session import stored
 
@@ -30,9 +30,10 @@ def month_features(
 ) -> DataFrame:
     """Candidates and their features for the users, as of the month's first instant."""
     cutoff = month_window(month).start
-    users = stored(users, "users")
     ledger = open_ledger(tx, cutoff, items, params.candidates, stored=True)
-    return features_from(ledger, stored(candidates_from(ledger, users), "candidates"))
+    audience = open_audience(ledger, users, stored=True)
+    candidates = stored(candidates_from(ledger, audience), "candidates")
+    return features_from(ledger, audience, candidates)
 
 
 def full_month(

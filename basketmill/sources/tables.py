@@ -79,9 +79,10 @@ def lists_from_json(
     if brackets_in_ids:
         entries = spark.read.text(path, wholetext=True)
     else:
-        chunks = spark.read.text(path, lineSep="]").where(F.col("value").contains("["))
         entry = F.regexp_replace("value", r"^[\s,{]+", "")
-        entries = chunks.select(F.concat(F.lit("{"), entry, F.lit("]}")).alias("value"))
+        # Null for what follows the last list; Spark may parse before it filters.
+        whole = F.when(F.contains("value", F.lit("[")), F.concat(F.lit("{"), entry, F.lit("]}")))
+        entries = spark.read.text(path, lineSep="]").select(whole.alias("value"))
     lists = entries.select(F.from_json("value", LISTS_JSON, {"mode": "FAILFAST"}).alias("lists"))
     users = lists.select(F.explode("lists").alias("user", "items"))
     return users.select("user", F.posexplode_outer("items").alias("position", ITEM)).withColumn(

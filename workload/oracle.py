@@ -443,7 +443,7 @@ FROM feat f LEFT JOIN truth t ON t.customer_id = f.customer_id AND t.item_id = f
 
 
 SHOWN_SQL = "SELECT customer_id, item_id, label_month, label, " + ", ".join(
-    f"round(CAST({c} AS DOUBLE), 0) AS {c}" for c in SHOWN
+    f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 1) AS {c}" for c in SHOWN
 ) + " FROM sampled"
 
 
@@ -571,8 +571,8 @@ LAB = labelled_tables()
 ORACLE |= {
     "d01_labels": with_(LAB, "SELECT customer_id, item_id, label FROM lab"),
     "d02_downsample": with_(
-        {"both": two_months("SELECT * FROM lab")},
-        f"SELECT customer_id, item_id, label_month, label FROM ({kept('both', repr('42'))})",
+        {"all_rows": two_months("SELECT * FROM lab")},
+        f"SELECT customer_id, item_id, label_month, label FROM ({kept("all_rows", repr('42'))})",
     ),
     "d03_month_dataset": with_(month_rows(VALIDATION, 42), SHOWN_SQL),
     "d04_train_frame": "\nUNION ALL ".join(
@@ -593,10 +593,10 @@ FROM (SELECT count(*) FILTER (WHERE label = 1) AS positives,
   count(*) FILTER (WHERE label = 0) AS negatives FROM lab)""",
     ),
     "d07_dataset_summary": with_(
-        {"both": two_months("SELECT * FROM lab"), "kept_rows": kept("both", "'42'")},
+        {"all_rows": two_months("SELECT * FROM lab"), "kept_rows": kept("all_rows", "'42'")},
         """SELECT label_month, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives,
   max(kept) AS kept
-FROM both JOIN (SELECT label_month, count(*) AS kept FROM kept_rows GROUP BY 1)
+FROM all_rows JOIN (SELECT label_month, count(*) AS kept FROM kept_rows GROUP BY 1)
   USING (label_month) GROUP BY label_month""",
     ),
 }

@@ -30,7 +30,7 @@ from basketmill.operators import ranking as R
 from basketmill.operators import scorers as M
 from basketmill.operators import training as D
 from basketmill.operators import users as U
-from basketmill.operators.ledger import Ledger, open_ledger
+from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.plans import monthly
 from basketmill.session import scratch_dir, stored, tune
 from basketmill.sources import tables as S
@@ -71,15 +71,16 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def _test(spark: SparkSession, sf: str, items: bool = True) -> tuple[Ledger, DataFrame]:
-    """A lazy ledger as of the test month and the users active in it."""
+def _test(spark: SparkSession, sf: str, items: bool = True) -> tuple[Ledger, Audience]:
+    """A lazy ledger as of the test month, for the users active in it."""
     tx = purchase_log(spark, sf)
     month = month_window(TEST)
     meta = catalogue(spark, sf) if items else None
-    return open_ledger(tx, month.start, meta, SMALL), U.active_users(tx, month)
+    ledger = open_ledger(tx, month.start, meta, SMALL)
+    return ledger, open_audience(ledger, U.active_users(tx, month))
 
 
-def _source(source: Callable[[Ledger, DataFrame], DataFrame]) -> Query:
+def _source(source: Callable[[Ledger, Audience], DataFrame]) -> Query:
     return lambda spark, sf: source(*_test(spark, sf))
 
 
@@ -144,13 +145,12 @@ INGEST: dict[str, Query] = {
 
 
 def c05_user_location(spark: SparkSession, sf: str) -> DataFrame:
-    ledger, users = _test(spark, sf)
-    return ledger.user_location(users).select(USER, LOC)
+    return _test(spark, sf)[1].places.select(USER, LOC)
 
 
 def c13_cobuy_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    ledger, users = _test(spark, sf)
-    return C.cobuy_pairs(ledger, C.anchors(ledger, users))
+    ledger, audience = _test(spark, sf)
+    return C.cobuy_pairs(ledger, C.anchors(ledger, audience))
 
 
 def candidates(
@@ -163,8 +163,7 @@ def candidates(
 ) -> DataFrame:
     tx, window = purchase_log(spark, sf, fine), month_window(month)
     meta = catalogue(spark, sf, fine) if items else None
-    users = stored(U.active_users(tx, window), "users")
-    return C.build_candidates(tx, users, window.start, meta, params)
+    return C.build_candidates(tx, U.active_users(tx, window), window.start, meta, params)
 
 
 CANDIDATES: dict[str, Query] = {
@@ -176,11 +175,11 @@ CANDIDATES: dict[str, Query] = {
     "c06_location": _source(C.popular_at_place),
     "c07_recent_location": _source(C.recently_popular_at_place),
     "c08_user_categories": _source(
-        lambda led, us: C.user_attributes(led, us, CAT, led.params.user_categories)
+        lambda led, aud: C.user_attributes(led, aud, CAT, led.params.user_categories)
     ),
     "c09_recent_category": _source(C.popular_in_categories),
     "c10_user_brands": _source(
-        lambda led, us: C.user_attributes(led, us, BRAND, led.params.user_brands)
+        lambda led, aud: C.user_attributes(led, aud, BRAND, led.params.user_brands)
     ),
     "c11_recent_brand": _source(C.popular_in_brands),
     "c12_anchors": _source(C.anchors),
@@ -194,27 +193,17 @@ CANDIDATES: dict[str, Query] = {
 # --- features -------------------------------------------------------------------
 
 
-def f01_pair(spark: SparkSession, sf: str) -> DataFrame:
-    ledger, users = _test(spark, sf, items=False)
-    return rounded(Fe.pair_features(ledger).join(users, USER, "left_semi"))
-
-
 def f06_item_meta(spark: SparkSession, sf: str) -> DataFrame:
-    ledger, users = _test(spark, sf)
-    return Fe.item_meta(C.popular_everywhere(ledger, users), ledger.items)
+    ledger, audience = _test(spark, sf)
+    return Fe.item_meta(C.popular_everywhere(ledger, audience), ledger.items)
 
 
 def _user_attribute(attribute: str) -> Query:
-    def query(spark: SparkSession, sf: str) -> DataFrame:
-        ledger, users = _test(spark, sf)
-        own = Fe.user_attribute_features(ledger, attribute)
-        return own.join(users, USER, "left_semi")
-
-    return query
+    return lambda spark, sf: Fe.user_attribute_features(_test(spark, sf)[1], attribute)
 
 
 def _feature(
-    step: Callable[[Ledger, DataFrame], DataFrame], items: bool = True
+    step: Callable[[Ledger, Audience], DataFrame], items: bool = True
 ) -> Query:
     return lambda spark, sf: rounded(step(*_test(spark, sf, items)))
 
@@ -229,19 +218,19 @@ def features(
 
 
 FEATURE_QUERIES: dict[str, Query] = {
-    "f01_pair": f01_pair,
+    "f01_pair": _feature(Fe.pair_features, items=False),
     "f02_user": _feature(Fe.user_features, items=False),
     "f03_user_location": _feature(Fe.user_location_features, items=False),
-    "f04_item": _feature(lambda led, us: Fe.item_features(led), items=False),
-    "f05_location_item": _feature(lambda led, us: Fe.location_item_features(led), items=False),
+    "f04_item": _feature(lambda led, aud: Fe.item_features(led), items=False),
+    "f05_location_item": _feature(lambda led, aud: Fe.location_item_features(led), items=False),
     "f06_item_meta": f06_item_meta,
     "f07_user_cat_l1": _user_attribute(ATTRIBUTES[0]),
     "f08_user_cat_l2": _user_attribute(ATTRIBUTES[1]),
     "f09_user_cat_l3": _user_attribute(ATTRIBUTES[2]),
     "f10_user_category": _user_attribute(CAT),
     "f11_user_brand": _user_attribute(BRAND),
-    "f12_category": _feature(lambda led, us: Fe.category_features(led)),
-    "f13_location_category": _feature(lambda led, us: Fe.location_category_features(led)),
+    "f12_category": _feature(lambda led, aud: Fe.category_features(led)),
+    "f13_location_category": _feature(lambda led, aud: Fe.location_category_features(led)),
     "f14_features": lambda spark, sf: rounded(features(spark, sf)),
     "f14_features_fine": lambda spark, sf: rounded(features(spark, sf, fine=True)),
     "f15_features_no_items": lambda spark, sf: rounded(features(spark, sf, items=False)),
@@ -281,7 +270,7 @@ SHOWN = ("ui_tx_count", "ui_spend_sum", "u_tx_count", "i_tx_count", "candidate_s
 
 def _shown(df: DataFrame) -> DataFrame:
     return df.select(
-        USER, ITEM, D.MONTH, D.LABEL, *[F.round(F.col(c).cast("double"), 0).alias(c) for c in SHOWN]
+        USER, ITEM, D.MONTH, D.LABEL, *[F.round(F.col(c).cast("double"), 1).alias(c) for c in SHOWN]
     )
 
 
@@ -339,9 +328,9 @@ def scored(
     """Labelled candidates of a month under the fixed score."""
     tx, meta, window = purchase_log(spark, sf), catalogue(spark, sf), month_window(month)
     ledger = open_ledger(tx, window.start, meta, SMALL, stored=True)
-    users = stored(U.target_users(tx, window, universe), "users")
-    pairs = C.candidates_from(ledger, users)
-    counts = ledger.pairs.select(USER, ITEM, F.col("n_all").alias("ui_tx_count"))
+    audience = open_audience(ledger, U.target_users(tx, window, universe), stored=True)
+    pairs = C.candidates_from(ledger, audience)
+    counts = audience.pairs.select(USER, ITEM, F.col("n_all").alias("ui_tx_count"))
     rows = pairs.join(counts, [USER, ITEM], "left").fillna(0, ["ui_tx_count"])
     ranked = CountScorer().score(D.add_labels(tx, rows, window))
     return stored(ranked.select(USER, ITEM, D.LABEL, "score"), "scored")
