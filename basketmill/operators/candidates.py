@@ -58,12 +58,8 @@ def anchors(ledger: Ledger, audience: Audience) -> DataFrame:
 
 def popular_items(ledger: Ledger, rows: str, top: int) -> DataFrame:
     """The ``top`` items over all users as one row holding an array."""
-    ranked = (
-        rollup(ledger.pairs, [ITEM], [rows])
-        .where(F.col(rows) > 0)
-        .orderBy(F.col(rows).desc(), F.col(ITEM))
-        .limit(top)
-    )
+    bought = ledger.by_item.where(F.col(rows) > 0)
+    ranked = bought.orderBy(F.col(rows).desc(), F.col(ITEM)).limit(top)
     return ranked.agg(F.sort_array(F.collect_list(ITEM)).alias("items"))
 
 
@@ -90,20 +86,16 @@ def _as_lists(ranked: DataFrame, key: str) -> DataFrame:
 
 
 def place_items(ledger: Ledger, rows: str, top: int) -> DataFrame:
-    known = ledger.cube.where(F.col(LOC).isNotNull())
-    counted = rollup(known, [LOC, ITEM], [rows]).where(F.col(rows) > 0)
-    return _as_lists(
-        top_per(counted, [LOC], [F.col(rows).desc(), F.col(ITEM)], top, "_rank"), LOC
-    )
+    bought = ledger.by_place.where(F.col(rows) > 0)
+    order = [F.col(rows).desc(), F.col(ITEM)]
+    return _as_lists(top_per(bought, [LOC], order, top, "_rank"), LOC)
 
 
 def attribute_items(ledger: Ledger, attribute: str, top: int) -> DataFrame:
     rows = ledger.recent_rows
-    known = ledger.pairs.where((F.col(rows) > 0) & F.col(attribute).isNotNull())
-    counted = rollup(known, [attribute, ITEM], [rows, LAST])
-    return _as_lists(
-        top_per(counted, [attribute], _often_then_latest(rows, ITEM), top, "_rank"), attribute
-    )
+    bought = ledger.by_item.where((F.col(rows) > 0) & F.col(attribute).isNotNull())
+    order = _often_then_latest(rows, ITEM)
+    return _as_lists(top_per(bought, [attribute], order, top, "_rank"), attribute)
 
 
 def _offer(keyed_users: DataFrame, lists: DataFrame, key: str) -> DataFrame:

@@ -107,15 +107,7 @@ def user_location_features(ledger: Ledger, audience: Audience) -> DataFrame:
 
 
 def item_features(ledger: Ledger) -> DataFrame:
-    # A row of ``pairs`` is one user of the item.
-    base = rollup(
-        ledger.pairs,
-        [ITEM],
-        ["n_all", "n_30", "n_90", "n_qty", "sum_qty"],
-        "count(1) AS users_all",
-        "count_if(n_90 > 0) AS users_90",
-    )
-    return base.selectExpr(
+    return ledger.by_item.selectExpr(
         ITEM,
         "n_all AS i_tx_count",
         "users_all AS i_user_nunique",
@@ -130,14 +122,7 @@ def item_features(ledger: Ledger) -> DataFrame:
 
 def location_item_features(ledger: Ledger) -> DataFrame:
     """(location, item), unknown locations left out."""
-    # A row of ``cube`` is one user of the item at the place.
-    base = rollup(
-        ledger.cube.where(F.col(LOC).isNotNull()),
-        [LOC, ITEM],
-        ["n_all", "n_30", "n_90", "sum_qty", "sum_qty_90"],
-        "count(1) AS users_all",
-    )
-    return base.selectExpr(
+    return ledger.by_place.selectExpr(
         LOC,
         ITEM,
         "n_all AS loc_i_tx_count",
@@ -167,7 +152,7 @@ def user_attribute_features(audience: Audience, attribute: str) -> DataFrame:
 
 
 def category_features(ledger: Ledger) -> DataFrame:
-    known = ledger.pairs.where(F.col(CAT).isNotNull())
+    known = ledger.by_item.where(F.col(CAT).isNotNull())
     return rollup(known, [CAT], ["n_all", "n_30", "n_90"]).selectExpr(
         CAT,
         "n_all AS category_tx_count",
@@ -177,10 +162,8 @@ def category_features(ledger: Ledger) -> DataFrame:
 
 
 def location_category_features(ledger: Ledger) -> DataFrame:
-    places = rollup(
-        ledger.cube.where(F.col(LOC).isNotNull()), [ITEM, LOC], ["n_all", "n_90"]
-    )
-    known = spread_join(places, ledger.items.select(ITEM, CAT), [ITEM], [LOC])
+    # An item has one row per place, so no item is hot here.
+    known = ledger.by_place.join(ledger.items.select(ITEM, CAT), ITEM)
     return rollup(known.where(F.col(CAT).isNotNull()), [LOC, CAT], ["n_all", "n_90"]).selectExpr(
         LOC, CAT, "n_all AS loc_category_tx_count", "n_90 AS loc_category_tx_90d"
     )

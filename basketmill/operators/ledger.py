@@ -1,9 +1,10 @@
 """The log as of one cutoff, summed once and read by every source and feature.
 
-``cube`` holds the measures by (user, item, location), ``pairs`` by (user, item)
-with the item's catalogue attributes. Kept lazy, they cost nothing until read;
-``stored`` writes both, so that the log is scanned once for all of a month's
-candidates and features.
+``cube`` holds the measures by (user, item, location), ``pairs`` by (user, item),
+``by_item`` by item and ``by_place`` by (known location, item); ``pairs`` and
+``by_item`` also carry the item's catalogue attributes. Kept lazy, they cost
+nothing until read; ``stored`` writes each of them, from the next finer one, so
+that the log is summed once for all of a month's candidates and features.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ class Ledger:
     items: DataFrame | None
     cube: DataFrame
     pairs: DataFrame
+    by_item: DataFrame
+    by_place: DataFrame
 
     @property
     def recent_rows(self) -> str:
@@ -82,11 +85,17 @@ def open_audience(ledger: Ledger, users: DataFrame, stored: bool = False) -> Aud
     return Audience(users, pairs, places)
 
 
-def with_attributes(df: DataFrame, items: DataFrame | None, *attributes: str) -> DataFrame:
-    """Add catalogue attributes by item; nulls where there is no catalogue."""
+def with_attributes(df: DataFrame, items: DataFrame | None, hot: bool = True) -> DataFrame:
+    """Add catalogue attributes by item; nulls where there is no catalogue.
+
+    ``hot`` tells that one item may have a large share of the rows, by user.
+    """
     if items is None:
-        return df.selectExpr("*", *[f"CAST(NULL AS STRING) AS {a}" for a in attributes])
-    return spread_join(df, items.select(ITEM, *attributes), [ITEM], [USER], "left")
+        return df.selectExpr("*", *[f"CAST(NULL AS STRING) AS {a}" for a in ATTRIBUTES])
+    attributes = items.select(ITEM, *ATTRIBUTES)
+    if hot:
+        return spread_join(df, attributes, [ITEM], [USER], "left")
+    return df.join(attributes, ITEM, "left")
 
 
 def open_ledger(
@@ -96,16 +105,21 @@ def open_ledger(
     params: CandidateParams = CandidateParams(),
     stored: bool = False,
 ) -> Ledger:
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        return session.stored(df, label) if stored else df
+
     history = history_before(tx, cutoff)
     rows = lift(history, cutoff, (params.recent_days, params.personal_days))
     measures = rows.columns[3:]
-    cube = rollup(rows, [USER, ITEM, LOC], measures)
-    if stored:
-        items = None if items is None else session.stored(items, "items")
-        cube = session.stored(cube, "cube")
-        pairs = rollup(cube, [USER, ITEM], measures)
-        pairs = session.stored(with_attributes(pairs, items, *ATTRIBUTES), "pairs")
-    else:
-        # Read once: straight from the rows is one shuffle less than via the cube.
-        pairs = with_attributes(rollup(rows, [USER, ITEM], measures), items, *ATTRIBUTES)
-    return Ledger(cutoff, params, history, items, cube, pairs)
+    items = None if items is None else kept(items, "items")
+    cube = kept(rollup(rows, [USER, ITEM, LOC], measures), "cube")
+    # Unstored tables are read once: from the rows is a shuffle less than via the cube.
+    bare = rollup(cube if stored else rows, [USER, ITEM], measures)
+    pairs = kept(with_attributes(bare, items), "pairs")
+    # A row of ``pairs`` is one user of the item, a row of ``cube`` one at the place.
+    item_users = ["count(1) AS users_all", "count_if(n_90 > 0) AS users_90"]
+    by_item = rollup(pairs if stored else bare, [ITEM], measures, *item_users)
+    by_item = kept(with_attributes(by_item, items, hot=False), "by-item")
+    known = cube.where(F.col(LOC).isNotNull())
+    by_place = kept(rollup(known, [LOC, ITEM], measures, "count(1) AS users_all"), "by-place")
+    return Ledger(cutoff, params, history, items, cube, pairs, by_item, by_place)

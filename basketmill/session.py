@@ -20,6 +20,8 @@ def tune(spark: SparkSession) -> SparkSession:
     set_conf("spark.sql.session.timeZone", "UTC")
     set_conf("spark.sql.adaptive.enabled", "true")
     set_conf("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Small results keep some parallelism: their rows are wide to compute.
+    set_conf("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     # Rows partitioned by customer serve joins on (customer, item) and
     # (customer, category) too, so a wide table is shuffled once, not per key.
     set_conf("spark.sql.requireAllClusterKeysForCoPartition", "false")
