@@ -225,5 +225,5 @@ def build_candidates(
     params: CandidateParams = CandidateParams(),
 ) -> DataFrame:
     """Candidates of ``users`` (distinct) from the log before ``cutoff``."""
-    ledger = open_ledger(tx, cutoff, items, params, stored=True)
+    ledger = open_ledger(tx, cutoff, items, params, stored=True, for_features=False)
     return candidates_from(ledger, open_audience(ledger, users, stored=True))

@@ -104,20 +104,26 @@ def open_ledger(
     items: DataFrame | None = None,
     params: CandidateParams = CandidateParams(),
     stored: bool = False,
+    for_features: bool = True,
 ) -> Ledger:
+    """``for_features=False`` leaves out the measures that only features read."""
+
     def kept(df: DataFrame, label: str) -> DataFrame:
         return session.stored(df, label) if stored else df
 
     history = history_before(tx, cutoff)
     rows = lift(history, cutoff, (params.recent_days, params.personal_days))
     measures = rows.columns[3:]
+    item_users = ["count(1) AS users_all", "count_if(n_90 > 0) AS users_90"]
+    if not for_features:
+        measures = [f"n_{d}" for d in sorted({params.recent_days, params.personal_days})]
+        measures, item_users = ["n_all", *measures, LAST], []
     items = None if items is None else kept(items, "items")
     cube = kept(rollup(rows, [USER, ITEM, LOC], measures), "cube")
     # Unstored tables are read once: from the rows is a shuffle less than via the cube.
     bare = rollup(cube if stored else rows, [USER, ITEM], measures)
     pairs = kept(with_attributes(bare, items), "pairs")
     # A row of ``pairs`` is one user of the item, a row of ``cube`` one at the place.
-    item_users = ["count(1) AS users_all", "count_if(n_90 > 0) AS users_90"]
     by_item = rollup(pairs if stored else bare, [ITEM], measures, *item_users)
     by_item = kept(with_attributes(by_item, items, hot=False), "by-item")
     known = cube.where(F.col(LOC).isNotNull())

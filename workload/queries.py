@@ -327,7 +327,7 @@ def scored(
 ) -> DataFrame:
     """Labelled candidates of a month under the fixed score."""
     tx, meta, window = purchase_log(spark, sf), catalogue(spark, sf), month_window(month)
-    ledger = open_ledger(tx, window.start, meta, SMALL, stored=True)
+    ledger = open_ledger(tx, window.start, meta, SMALL, stored=True, for_features=False)
     audience = open_audience(ledger, U.target_users(tx, window, universe), stored=True)
     pairs = C.candidates_from(ledger, audience)
     counts = audience.pairs.select(USER, ITEM, F.col("n_all").alias("ui_tx_count"))
