@@ -70,9 +70,10 @@ def pair_features(ledger: Ledger, audience: Audience) -> DataFrame:
 
 
 def user_features(ledger: Ledger, audience: Audience) -> DataFrame:
-    lines = ledger.history.select(USER, BILL).join(audience.users, USER, "left_semi")
-    # A line without a bill counts as one more bill: group by bill keeps the null.
-    bills = lines.distinct().groupBy(USER).agg(F.expr("count(1) AS u_bill_nunique"))
+    # A line without a bill counts as one more bill: distinct keeps the null. Counted
+    # for all users first: a hot user's lines never meet in one task, as in a join.
+    lines = ledger.history.select(USER, BILL).distinct()
+    bills = lines.groupBy(USER).agg(F.expr("count(1) AS u_bill_nunique"))
     sums = ["sum_qty", "sum_spend", "sum_discount", "sum_net", "sum_price"]
     counts = ["n_all", "n_30", "n_90", "n_price", "n_discount"]
     base = rollup(audience.pairs, [USER], counts + sums, "count(1) AS items").selectExpr(

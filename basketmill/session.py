@@ -43,6 +43,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[0].name
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -50,7 +54,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     later reader prune columns, and gives the optimizer the true size.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

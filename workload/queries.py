@@ -32,7 +32,7 @@ from basketmill.operators import training as D
 from basketmill.operators import users as U
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.plans import monthly
-from basketmill.session import scratch_dir, stored, tune
+from basketmill.session import scratch_path, stored, tune
 from basketmill.sources import tables as S
 from workload.tables import catalogue, purchase_log, read
 
@@ -98,11 +98,9 @@ def i04_month_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def _truth_file(spark: SparkSession, sf: str) -> str:
     """The test month's purchases as text entries of a JSON object, in scratch."""
-    import uuid
-
     truth = U.month_truth(purchase_log(spark, sf), month_window(TEST))
     lists = truth.groupBy(USER).agg(F.sort_array(F.collect_list(ITEM)).alias("items"))
-    path = f"{scratch_dir(spark)}/truth-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "truth")
     entry = F.concat(F.lit('"'), F.col(USER).cast("string"), F.lit('": '), F.to_json("items"))
     lists.select(F.concat(entry, F.lit(",")).alias("value")).write.text(path)
     return path
@@ -357,9 +355,7 @@ def r03_all_history_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r04_written_lists(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    path = f"{scratch_dir(spark)}/lists-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "lists")
     R.write_recommendations(R.as_lists(R.top_k(scored(spark, sf))), path)
     return R.read_recommendations(spark, path)
 
