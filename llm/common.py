@@ -58,6 +58,26 @@ def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.concat_batches(held)
 
 
+def code_points(data: bytes, text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Turn byte offsets in ``data``, the UTF-8 of ``text``, into code point offsets."""
+    if not spans or len(data) == len(text):
+        return spans
+    place, at, chars = {}, 0, 0
+    for offset in sorted({x for _, start, end in spans for x in (start, end)}):
+        chars += len(data[at:offset].decode("utf-8", "surrogatepass"))
+        place[offset], at = chars, offset
+    return [(kind, place[start], place[end]) for kind, start, end in spans]
+
+
+def sample_by_hash(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """The rows with the ``rows`` smallest hashes of ``key``: a bounded sample that does not
+    depend on the order of rows. Only keys are sorted; they are broadcast, as they are
+    ``rows`` at most. Rows that share a key come together; a null key is never taken."""
+    keys = df.where(F.col(key).isNotNull()).select(key).distinct()
+    keys = keys.orderBy(F.xxhash64(F.lit(7), key), key).limit(rows)
+    return df.join(F.broadcast(keys), key, "left_semi")
+
+
 def span_digest(spans: list[tuple[str, int, int]]) -> tuple[str, str]:
     """The spans as ``kind:start:end`` joined by commas, and the SHA-256 of that in hex."""
     joined = ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)

@@ -8,12 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, packing, token_counts
+from llm import bpe, packing, pii, secret_scan, simhash, token_counts
 from llm.common import documents
 
 TOKEN_LIMIT = 2048
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and their components of near-duplicates."""
+    made = simhash.near_duplicates(documents(spark, sf_dir))
+    return made.select(
+        F.col("id").alias("doc_id"),
+        simhash.hex_digits(F.col("fp")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the base kinds and all spans."""
+    return secret_scan.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("found")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,7 +49,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("id", "doc_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts of the base kinds and all spans."""
+    return pii.detect(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe, op4_token_counts, op6_packing)
+    f.__name__: f for f in (
+        op1_simhash,
+        op2_secret_scan,
+        op3_bpe,
+        op4_token_counts,
+        op6_packing,
+        op7_pii,
+    )
 }
 ORACLE: dict[str, str] = {}
