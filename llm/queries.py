@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, packing, pii, secret_scan, simhash, token_counts
+from llm import bpe, ctph, embeddings, language, packing, pii, secret_scan, simhash, token_counts, toxicity
 from llm.common import documents
 
 TOKEN_LIMIT = 2048
+TOXIC = 0.3
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95 or more."""
+    made = embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return made.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1,024 tokens, one row per piece."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,14 +66,58 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("found")
 
 
+def op8_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise-hash fingerprints of every document beside an edited text and the next one."""
+    return ctph.against_next(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def in_fold(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether a document is in a fold by the CRC-32 of its id as text; a null id is in none."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the labels of documents that are not held out."""
+    return toxicity.train(docs, labels.where(~in_fold("doc_id", 4, 2)))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
+    docs = documents(spark, sf_dir)
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).select(
+        F.col("id").alias("doc_id"),
+        in_fold("id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Learned from documents with a language that are not held out."""
+    return language.train(docs.where(~in_fold("doc_id", 5, 0)))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = documents(spark, sf_dir)
+    return language.classified(docs, language_model(docs)).select(
+        F.col("id").alias("doc_id"), in_fold("id", 5, 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash,
         op2_secret_scan,
         op3_bpe,
         op4_token_counts,
+        op5_embeddings,
         op6_packing,
         op7_pii,
+        op8_ctph,
+        op9_toxicity,
+        op10_language,
     )
 }
 ORACLE: dict[str, str] = {}
