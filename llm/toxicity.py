@@ -93,7 +93,8 @@ class Model:
             hits.append(doc[known] << BITS | place[known])
         pairs = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
         total = np.bincount(pairs >> BITS, weights=dense[pairs & ((1 << BITS) - 1)], minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(total + self.bias, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-(total + self.bias)))
 
 
 class Ftrl:
