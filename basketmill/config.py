@@ -23,9 +23,8 @@ class CandidateParams:
     user_categories: int = 5
     user_brands: int = 8
     max_anchors: int = 40
-    # Bills with more distinct items than this are counted by membership
-    # signature instead of by pairs; the counts are the same either way.
-    dense_bill_items: int = 5000
+    # Item pairs of one bill that one task counts; larger bills are split by anchor.
+    pairs_per_chunk: int = 1_000_000
 
     @property
     def anchors(self) -> int:
@@ -44,10 +43,11 @@ class RunParams:
     candidates: CandidateParams = CandidateParams()
     # Sampling, model size and ranking depth.
     negative_ratio: float = 6.0
-    max_users: int | None = None
+    # Samples of users to train on, to validate on, and to recommend for; by default all.
+    max_train_users: int | None = None
+    max_validation_users: int | None = None
+    max_test_users: int | None = None
     seed: int = 42
-    trees: int = 500
-    early_stopping_rounds: int = 50
     k: int = 10
 
 

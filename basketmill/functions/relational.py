@@ -1,4 +1,4 @@
-"""Shared relational steps: top-k, skew-proof lookups, exact samples, running sums."""
+"""Shared relational steps: top-k, exact samples, running sums."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from basketmill.session import stored
 
-SALTS = 16
-
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str) -> DataFrame:
     """First ``k`` rows per key; Spark cuts each task to ``k`` before the shuffle."""
@@ -16,24 +14,6 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def spread_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
-) -> DataFrame:
-    """Join a large table to a lookup table (unique on ``keys``) whose keys may be hot.
-
-    Rows of one key are spread over ``SALTS`` tasks by ``spread_by``; the lookup
-    is repeated per salt. Where the lookup turns out small, the optimizer
-    broadcasts it by its measured size instead, with no change of result.
-    """
-    salt = F.expr(f"CAST(pmod(xxhash64({', '.join(spread_by)}), {SALTS}) AS INT)")
-    copies = F.expr(f"explode(sequence(0, {SALTS - 1}))")
-    return (
-        big.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", copies), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
-
-
 def hash_order(seed: int, *keys: str) -> Column:
     """A reproducible random order: md5 of the seed and the keys in decimal text."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -64,7 +44,7 @@ def smallest_hashes(
         .where(F.col("_room") > 0)
         .select(*group, "_bucket", "_rows", "_room")
     )
-    placed = hashed.join(F.broadcast(room), [*group, "_bucket"])  # at most 65,536 rows per group
+    placed = hashed.join(room, [*group, "_bucket"])
     whole = placed.where(F.col("_rows") <= F.col("_room"))
     split = placed.where(F.col("_rows") > F.col("_room"))
     rank = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_hash"))

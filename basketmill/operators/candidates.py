@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from basketmill.columns import BILL, BRAND, CAT, ITEM, LOC, SOURCE_COUNT, SOURCES, USER
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import LAST, rollup
-from basketmill.functions.relational import spread_join, top_per
+from basketmill.functions.relational import top_per
 from basketmill.operators.cobuy import ANCHOR, CO_ITEM, COUNT, shared_bill_counts
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.operators.users import recent
-from basketmill.session import stored
 
 PAIR_SCHEMA = f"{USER} bigint, {ITEM} string"
 
@@ -99,7 +98,7 @@ def attribute_items(ledger: Ledger, attribute: str, top: int) -> DataFrame:
 
 
 def _offer(keyed_users: DataFrame, lists: DataFrame, key: str) -> DataFrame:
-    joined = spread_join(keyed_users.select(USER, key), lists, [key], [USER])
+    joined = keyed_users.select(USER, key).join(lists, key)
     return joined.select(USER, F.explode("items").alias(ITEM))
 
 
@@ -146,18 +145,18 @@ def cobuy_pairs(ledger: Ledger, own_anchors: DataFrame) -> DataFrame:
         baskets(ledger),
         own_anchors.select(ITEM).distinct(),
         params.cobuy_top,
-        params.dense_bill_items,
+        params.pairs_per_chunk,
     )
 
 
 def bought_together(ledger: Ledger, audience: Audience) -> DataFrame:
-    own_anchors = stored(anchors(ledger, audience), "anchors")
+    own_anchors = anchors(ledger, audience)
     partners = (
         cobuy_pairs(ledger, own_anchors)
         .groupBy(ANCHOR)
         .agg(F.collect_list(F.struct(CO_ITEM, COUNT)).alias("partners"))
     )
-    offers = spread_join(own_anchors.withColumnRenamed(ITEM, ANCHOR), partners, [ANCHOR], [USER])
+    offers = own_anchors.withColumnRenamed(ITEM, ANCHOR).join(partners, ANCHOR)
     scored = (
         offers.select(USER, F.inline("partners"))
         .groupBy(USER, F.col(CO_ITEM).alias(ITEM))

@@ -6,115 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketmill.columns import BILL, ITEM
-from basketmill.functions.relational import spread_join, top_per
-from basketmill.session import stored
+from basketmill.functions.relational import top_per
 
 ANCHOR, CO_ITEM, COUNT = "anchor_item", "co_item", "cobuy_count"
 
 
-def _shared_bills(lines: DataFrame) -> DataFrame:
-    """Pair counts over bills of bounded size. ``lines`` is (bill, item, anchor flag)."""
-    anchors = lines.where("is_anchor").select(BILL, F.col(ITEM).alias(ANCHOR))
-    others = lines.select(BILL, F.col(ITEM).alias(CO_ITEM))
-    return (
-        anchors.join(others, BILL)
-        .where(F.col(ANCHOR) != F.col(CO_ITEM))
-        .groupBy(ANCHOR, CO_ITEM)
-        .agg(F.count(F.lit(1)).alias(COUNT))
-    )
-
-
-def _dense_partners(signatures: DataFrame, top: int) -> DataFrame:
-    """Every anchor's possible best partners by dense bills alone.
-
-    ``signatures`` is (item, the dense bills holding it, anchor flag). How many
-    dense bills two items share depends on their signatures only, so partners
-    are ranked per signature: of one signature only its ``top + 1`` smallest
-    items can be among an anchor's best ``top`` (one may be the anchor itself).
-    """
-    heads = top_per(signatures, ["bills"], [F.col(ITEM)], top + 1, "_head").select(
-        "bills", F.col(ITEM).alias(CO_ITEM)
-    )
-    kinds = signatures.where("is_anchor").select("bills").distinct()
-    overlap = (
-        kinds.select("bills", F.explode("bills").alias(BILL))
-        .join(
-            signatures.select(F.col("bills").alias("other"))
-            .distinct()
-            .select("other", F.explode("other").alias(BILL)),
-            BILL,
-        )
-        .groupBy("bills", "other")
-        .agg(F.count(F.lit(1)).alias(COUNT))
-    )
-    offers = overlap.join(heads.withColumnRenamed("bills", "other"), "other").select(
-        "bills", CO_ITEM, COUNT
-    )
-    best = top_per(offers, ["bills"], [F.col(COUNT).desc(), F.col(CO_ITEM)], top + 1, "_best")
-    lists = best.groupBy("bills").agg(F.collect_list(F.struct(CO_ITEM, COUNT)).alias("offers"))
-    anchors = signatures.where("is_anchor").select(F.col(ITEM).alias(ANCHOR), "bills")
-    return (
-        spread_join(anchors, lists, ["bills"], [ANCHOR])
-        .select(ANCHOR, F.inline("offers"))
-        .where(F.col(ANCHOR) != F.col(CO_ITEM))
-    )
-
-
-def _with_dense_counts(counts: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Add the dense bills that both items of a counted pair are in."""
-    own = signatures.select(F.col(ITEM).alias(ANCHOR), F.col("bills").alias("own"))
-    other = signatures.select(F.col(ITEM).alias(CO_ITEM), F.col("bills").alias("other"))
-    with_own = spread_join(counts, own, [ANCHOR], [CO_ITEM], "left")
-    with_both = spread_join(with_own, other, [CO_ITEM], [ANCHOR], "left")
-    shared = F.when(
-        F.col("own").isNotNull() & F.col("other").isNotNull(),
-        F.size(F.array_intersect("own", "other")),
-    ).otherwise(0)
-    return with_both.select(ANCHOR, CO_ITEM, (F.col(COUNT) + shared).alias(COUNT))
-
-
 def shared_bill_counts(
-    baskets: DataFrame, anchors: DataFrame, top: int, dense_bill_items: int
+    baskets: DataFrame, anchors: DataFrame, top: int, pairs_per_chunk: int
 ) -> DataFrame:
     """The ``top`` partners of each anchor by shared bills, ties by item.
 
     ``baskets`` holds distinct (bill, item) rows with known bills, ``anchors``
-    distinct items. Pairing costs the square of a bill's size, so bills above
-    ``dense_bill_items`` (a till's "no bill" number, say) are counted apart, by
-    which of them an item is in; the result is the same as pairing them.
+    distinct items. A bill's anchors meet its items in chunks: as many as its
+    measured number of pairs asks for, one for an ordinary bill. A chunk holds
+    some anchors and all items of the bill, so no task counts a whole large
+    bill (a till's "no bill" number, say); pairs are summed up before the shuffle.
     """
-    marked = stored(
-        spread_join(
-            baskets, anchors.select(ITEM, F.lit(True).alias("is_anchor")), [ITEM], [BILL], "left"
-        ).fillna(False, ["is_anchor"]),
-        "baskets",
+    marked = baskets.join(
+        anchors.select(ITEM, F.lit(True).alias("is_anchor")), ITEM, "left"
+    ).fillna(False, ["is_anchor"])
+    pairs = F.count(F.lit(1)) * F.count_if("is_anchor")
+    sizes = marked.groupBy(BILL).agg(
+        F.greatest(F.ceil(pairs / F.lit(pairs_per_chunk)), F.lit(1)).cast("int").alias("chunks"),
+        F.bool_or("is_anchor").alias("wanted"),
     )
-    dense = stored(
-        marked.groupBy(BILL)
-        .agg(F.count(F.lit(1)).alias("size"), F.bool_or("is_anchor").alias("wanted"))
-        .where(F.col("size") > dense_bill_items)
-        .select(BILL, "wanted"),
-        "dense-bills",
+    lines = marked.join(sizes.where("wanted").drop("wanted"), BILL)
+    own = lines.where("is_anchor").select(
+        BILL,
+        F.expr(f"CAST(pmod(xxhash64({ITEM}), chunks) AS INT) AS chunk"),
+        F.col(ITEM).alias(ANCHOR),
+    )
+    others = lines.select(
+        BILL, F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.col(ITEM).alias(CO_ITEM)
+    )
+    counts = (
+        own.join(others, [BILL, "chunk"])
+        .where(F.col(ANCHOR) != F.col(CO_ITEM))
+        .groupBy(ANCHOR, CO_ITEM)
+        .agg(F.count(F.lit(1)).alias(COUNT))
     )
-    if dense.isEmpty():
-        counts = _shared_bills(marked)
-    else:
-        split = spread_join(marked, dense, [BILL], [ITEM], "left")
-        signatures = stored(
-            split.where("wanted")
-            .groupBy(ITEM)
-            .agg(
-                F.array_sort(F.collect_list(BILL)).alias("bills"),
-                F.bool_or("is_anchor").alias("is_anchor"),
-            ),
-            "dense-signatures",
-        )
-        paired = _with_dense_counts(_shared_bills(split.where("wanted IS NULL")), signatures)
-        # A pair may come both ways; the paired count is then the full, larger one.
-        counts = (
-            paired.unionByName(_dense_partners(signatures, top))
-            .groupBy(ANCHOR, CO_ITEM)
-            .agg(F.max(COUNT).alias(COUNT))
-        )
     order = [F.col(COUNT).desc(), F.col(CO_ITEM)]
     return top_per(counts, [ANCHOR], order, top, "_rank").drop("_rank")

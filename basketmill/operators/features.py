@@ -26,7 +26,6 @@ from basketmill.columns import (
 )
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import FIRST, LAST, rollup
-from basketmill.functions.relational import spread_join
 from basketmill.functions.time import whole_days_sql
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.session import stored
@@ -70,9 +69,8 @@ def pair_features(ledger: Ledger, audience: Audience) -> DataFrame:
 
 
 def user_features(ledger: Ledger, audience: Audience) -> DataFrame:
-    # A line without a bill counts as one more bill: distinct keeps the null. Counted
-    # for all users first: a hot user's lines never meet in one task, as in a join.
-    lines = ledger.history.select(USER, BILL).distinct()
+    # A line without a bill counts as one more bill: distinct keeps the null.
+    lines = ledger.history.select(USER, BILL).join(audience.users, USER, "left_semi").distinct()
     bills = lines.groupBy(USER).agg(F.expr("count(1) AS u_bill_nunique"))
     sums = ["sum_qty", "sum_spend", "sum_discount", "sum_net", "sum_price"]
     counts = ["n_all", "n_30", "n_90", "n_price", "n_discount"]
@@ -140,7 +138,7 @@ def location_item_features(ledger: Ledger) -> DataFrame:
 
 def item_meta(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Catalogue columns of each candidate pair."""
-    return spread_join(pairs.select(USER, ITEM), items, [ITEM], [USER], "left")
+    return pairs.select(USER, ITEM).join(items, ITEM, "left")
 
 
 def user_attribute_features(audience: Audience, attribute: str) -> DataFrame:
@@ -163,7 +161,6 @@ def category_features(ledger: Ledger) -> DataFrame:
 
 
 def location_category_features(ledger: Ledger) -> DataFrame:
-    # An item has one row per place, so no item is hot here.
     known = ledger.by_place.join(ledger.items.select(ITEM, CAT), ITEM)
     return rollup(known.where(F.col(CAT).isNotNull()), [LOC, CAT], ["n_all", "n_90"]).selectExpr(
         LOC, CAT, "n_all AS loc_category_tx_count", "n_90 AS loc_category_tx_90d"
@@ -183,10 +180,8 @@ def _profiles(ledger: Ledger, keys: DataFrame) -> DataFrame:
     )
     if ledger.items is not None:
         profile = profile.join(ledger.items, ITEM, "left")
-        profile = spread_join(profile, category_features(ledger), [CAT], [ITEM], "left")
-        profile = spread_join(
-            profile, location_category_features(ledger), [LOC, CAT], [ITEM], "left"
-        )
+        profile = profile.join(category_features(ledger), CAT, "left")
+        profile = profile.join(location_category_features(ledger), [LOC, CAT], "left")
     return profile.selectExpr("*", PLACE).drop(LOC)
 
 
@@ -214,8 +209,8 @@ def features_from(ledger: Ledger, audience: Audience, candidates: DataFrame) ->
     """(user, item) and the 94 features; one row per candidate of the audience."""
     users = user_features(ledger, audience).join(user_location_features(ledger, audience), USER)
     base = stored(candidates.join(users, USER, "left").selectExpr("*", PLACE), "candidate-users")
-    profiles = stored(_profiles(ledger, base.select(LOC, ITEM).distinct()), "profiles")
-    wide = spread_join(base, profiles, ["place", ITEM], [USER])
+    profiles = _profiles(ledger, base.select(LOC, ITEM).distinct())
+    wide = base.join(profiles, ["place", ITEM])
     wide = wide.join(pair_features(ledger, audience), [USER, ITEM], "left")
     if ledger.items is not None:
         for attribute in ATTRIBUTES:

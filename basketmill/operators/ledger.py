@@ -3,8 +3,9 @@
 ``cube`` holds the measures by (user, item, location), ``pairs`` by (user, item),
 ``by_item`` by item and ``by_place`` by (known location, item); ``pairs`` and
 ``by_item`` also carry the item's catalogue attributes. Kept lazy, they cost
-nothing until read; ``stored`` writes each of them, from the next finer one, so
-that the log is summed once for all of a month's candidates and features.
+nothing until read; ``stored`` writes the cube and the two totals with many readers,
+so that the log is summed once for all of a month's candidates and features. ``pairs``
+is read by ``by_item`` and by the audience only, which stores its users' part.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from basketmill.columns import ATTRIBUTES, ITEM, LOC, USER
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import LAST, lift, rollup
-from basketmill.functions.relational import spread_join
 from basketmill.operators.users import history_before
 from basketmill import session
 
@@ -67,7 +67,10 @@ class Ledger:
 
 @dataclass(frozen=True)
 class Audience:
-    """The users to serve (distinct), their pairs of the ledger, and their places."""
+    """The users to serve (distinct), their pairs of the ledger, and their places.
+
+    ``stored`` writes the users, who come from the log, and their pairs, which nearly
+    every source and feature reads."""
 
     users: DataFrame
     pairs: DataFrame
@@ -81,21 +84,14 @@ def open_audience(ledger: Ledger, users: DataFrame, stored: bool = False) -> Aud
     places = ledger.user_location(users)
     if stored:
         pairs = session.stored(pairs, "user-pairs")
-        places = session.stored(places, "user-places")
     return Audience(users, pairs, places)
 
 
-def with_attributes(df: DataFrame, items: DataFrame | None, hot: bool = True) -> DataFrame:
-    """Add catalogue attributes by item; nulls where there is no catalogue.
-
-    ``hot`` tells that one item may have a large share of the rows, by user.
-    """
+def with_attributes(df: DataFrame, items: DataFrame | None) -> DataFrame:
+    """Add catalogue attributes by item; nulls where there is no catalogue."""
     if items is None:
         return df.selectExpr("*", *[f"CAST(NULL AS STRING) AS {a}" for a in ATTRIBUTES])
-    attributes = items.select(ITEM, *ATTRIBUTES)
-    if hot:
-        return spread_join(df, attributes, [ITEM], [USER], "left")
-    return df.join(attributes, ITEM, "left")
+    return df.join(items.select(ITEM, *ATTRIBUTES), ITEM, "left")
 
 
 def open_ledger(
@@ -118,14 +114,13 @@ def open_ledger(
     if not for_features:
         measures = [f"n_{d}" for d in sorted({params.recent_days, params.personal_days})]
         measures, item_users = ["n_all", *measures, LAST], []
-    items = None if items is None else kept(items, "items")
     cube = kept(rollup(rows, [USER, ITEM, LOC], measures), "cube")
     # Unstored tables are read once: from the rows is a shuffle less than via the cube.
     bare = rollup(cube if stored else rows, [USER, ITEM], measures)
-    pairs = kept(with_attributes(bare, items), "pairs")
-    # A row of ``pairs`` is one user of the item, a row of ``cube`` one at the place.
-    by_item = rollup(pairs if stored else bare, [ITEM], measures, *item_users)
-    by_item = kept(with_attributes(by_item, items, hot=False), "by-item")
+    pairs = with_attributes(bare, items)
+    # A row of ``bare`` is one user of the item, a row of ``cube`` one at the place.
+    by_item = rollup(bare, [ITEM], measures, *item_users)
+    by_item = kept(with_attributes(by_item, items), "by-item")
     known = cube.where(F.col(LOC).isNotNull())
     by_place = kept(rollup(known, [LOC, ITEM], measures, "count(1) AS users_all"), "by-place")
     return Ledger(cutoff, params, history, items, cube, pairs, by_item, by_place)

@@ -36,6 +36,23 @@ def read_recommendations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_rekeyed(lists: DataFrame, path: str) -> None:
+    """Re-keyed lists as JSON, one object per line and user: ``customer_id`` where the key is a
+    number, else ``user_text``; items best first."""
+    entries = F.sort_array(F.collect_list(F.struct("rank", ITEM)))
+    lists.groupBy(USER, "user_text").agg(
+        F.transform(entries, lambda e: e[ITEM]).alias("items")
+    ).write.mode("errorifexists").json(path)
+
+
+def read_rekeyed(spark: SparkSession, path: str) -> DataFrame:
+    """Written re-keyed lists as (user, user text, item, rank)."""
+    lists = spark.read.schema(f"{USER} bigint, user_text string, items array<string>").json(path)
+    return lists.select(USER, "user_text", F.posexplode("items").alias("rank", ITEM)).withColumn(
+        "rank", F.col("rank") + 1
+    )
+
+
 def rekey(lists: DataFrame) -> DataFrame:
     """Lists keyed by user text: whole-number keys to numbers, others kept as text."""
     return lists.select(

@@ -1,35 +0,0 @@
-"""Feature/label association over the sampled datasets of several months."""
-
-from __future__ import annotations
-
-from dataclasses import replace
-
-from pyspark.sql import DataFrame
-
-from basketmill.config import RunParams
-from basketmill.operators.association import Thresholds, feature_report
-from basketmill.plans.monthly import train_frame
-
-# This report's own seed, user cap and size of the popular lists.
-REPORT_SEED, REPORT_USERS, REPORT_POPULAR = 2026, 20_000, 120
-
-
-def report_params(params: RunParams = RunParams()) -> RunParams:
-    return replace(
-        params,
-        max_users=REPORT_USERS,
-        candidates=replace(
-            params.candidates, global_top=REPORT_POPULAR, recent_global_top=REPORT_POPULAR
-        ),
-    )
-
-
-def association_report(
-    tx: DataFrame,
-    months: tuple[str, ...],
-    items: DataFrame | None = None,
-    params: RunParams | None = None,
-    limits: Thresholds = Thresholds(),
-) -> DataFrame:
-    frame = train_frame(tx, months, items, params or report_params(), first_seed=REPORT_SEED)
-    return feature_report(frame, limits=limits)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketmill.columns import ITEM, USER
 from basketmill.config import RunParams, SplitMonths
 from basketmill.functions.time import month_window
 from basketmill.operators import metrics, ranking, training
@@ -32,16 +33,19 @@ def month_features(
     cutoff = month_window(month).start
     ledger = open_ledger(tx, cutoff, items, params.candidates, stored=True)
     audience = open_audience(ledger, users, stored=True)
-    candidates = stored(candidates_from(ledger, audience), "candidates")
-    return features_from(ledger, audience, candidates)
+    return features_from(ledger, audience, candidates_from(ledger, audience))
 
 
 def full_month(
-    tx: DataFrame, month: str, items: DataFrame | None = None, params: RunParams = RunParams()
+    tx: DataFrame,
+    month: str,
+    items: DataFrame | None = None,
+    params: RunParams = RunParams(),
+    max_users: int | None = None,
 ) -> DataFrame:
-    """Labelled rows of all users active in the month, features narrowed; stored."""
+    """Labelled rows of users active in the month (all, or a sample), features narrowed; stored."""
     window = month_window(month)
-    users = active_users(tx, window, params.max_users)
+    users = active_users(tx, window, max_users)
     labelled = training.add_labels(tx, month_features(tx, users, month, items, params), window)
     return stored(
         training.narrow_features(labelled).withColumn(training.MONTH, F.lit(month)), "month"
@@ -53,11 +57,9 @@ def month_dataset(
     month: str,
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
-    downsample: bool = True,
 ) -> DataFrame:
-    rows = full_month(tx, month, items, params)
-    if not downsample:
-        return rows
+    """A train month: labelled rows of its users with their negatives sampled."""
+    rows = full_month(tx, month, items, params, params.max_train_users)
     return training.downsample_negatives(rows, params.negative_ratio, params.seed)
 
 
@@ -102,7 +104,7 @@ def recommend(
     truth_users: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``k`` items of every user of the chosen universe, one row per user."""
-    users = target_users(tx, month_window(month), universe, truth_users, params.max_users)
+    users = target_users(tx, month_window(month), universe, truth_users, params.max_test_users)
     scored = score_month(scorer, tx, users, month, items, params)
     return ranking.as_lists(ranking.top_k(scored, params.k))
 
@@ -128,17 +130,34 @@ def evaluate_month(
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
     rows: DataFrame | None = None,
+    max_users: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The month's report and its recommendations. ``rows`` saves building them again."""
+    """The month's report and its recommendations, for its active users (all, or a
+    sample). ``rows`` saves building them again."""
     window = month_window(month)
-    rows = full_month(tx, month, items, params) if rows is None else rows
+    rows = full_month(tx, month, items, params, max_users) if rows is None else rows
     scored = stored(scorer.score(rows), "scored")
-    users = active_users(tx, window, params.max_users)
-    truth = month_truth(tx, window, users)
+    truth = month_truth(tx, window, active_users(tx, window, max_users))
     report = month_report(scored, truth, params.k, scorer.is_probability)
     return report, ranking.as_lists(ranking.top_k(scored, params.k))
 
 
+@dataclass(frozen=True)
+class RunResult:
+    """What a run gives: each report is one row, ``lists`` one row per user.
+
+    ``coverage`` holds the test month's candidates against its truth, ``list_report`` the
+    delivered lists against it, and ``test_report`` the month's evaluation; each is null
+    unless asked for, as none exists for a month still to come.
+    """
+
+    validation_report: DataFrame
+    lists: DataFrame
+    coverage: DataFrame | None = None
+    list_report: DataFrame | None = None
+    test_report: DataFrame | None = None
+
+
 def run(
     tx: DataFrame,
     months: SplitMonths,
@@ -147,16 +166,42 @@ def run(
     params: RunParams = RunParams(),
     universe: str = "history",
     refit: bool = True,
-    truth_users: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Train, validate, refit on both, and recommend for the test month.
-
-    Returns the validation report and the recommendations.
+    truth: DataFrame | None = None,
+    evaluate_test: bool = False,
+) -> RunResult:
+    """Train, validate, refit on both, recommend for the test month, and close the run.
+
+    ``truth`` (user, item) is the test month's ground truth, where it is known: candidates
+    and lists are then compared with it, and the universe ``truth`` means its users.
+    ``evaluate_test`` evaluates the test month from the log, as validation does.
     """
     train = train_frame(tx, months.train, items, params)
-    validation = month_dataset(tx, months.validation, items, params, downsample=False)
+    validation = full_month(tx, months.validation, items, params, params.max_validation_users)
     fitted = scorer.fit(train, validation)
-    report, _ = evaluate_month(fitted, tx, months.validation, items, params, rows=validation)
+    report, _ = evaluate_month(
+        fitted, tx, months.validation, items, params, validation, params.max_validation_users
+    )
     if refit:
         fitted = scorer.fit(train.unionByName(validation), trees=fitted.best_trees)
-    return report, recommend(fitted, tx, months.test, items, params, universe, truth_users)
+    truth_users = None if truth is None else truth.select(USER).distinct()
+    users = target_users(
+        tx, month_window(months.test), universe, truth_users, params.max_test_users
+    )
+    scored = stored(
+        score_month(fitted, tx, users, months.test, items, params).select(USER, ITEM, "score"),
+        "test-scored",
+    )
+    ranked = ranking.top_k(scored, params.k)
+    result = RunResult(report, ranking.as_lists(ranked))
+    if truth is not None:
+        result = replace(
+            result,
+            coverage=metrics.candidate_coverage(scored, truth),
+            list_report=metrics.evaluate_lists(ranked, truth, params.k),
+        )
+    if evaluate_test:
+        tested, _ = evaluate_month(
+            fitted, tx, months.test, items, params, max_users=params.max_test_users
+        )
+        result = replace(result, test_report=tested)
+    return result

@@ -1,36 +1,59 @@
-"""Session settings and tables written once and read many times."""
+"""Session settings, and tables written once and read many times."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: list[tempfile.TemporaryDirectory] = []
+_scope: ContextVar[str | None] = ContextVar("run scope", default=None)
+
+PARTITION_BYTES = 64 << 20
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_OURS = "basketmill.initialPartitionNum"
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "local").startswith("local")
+    """One process with all its executors; a session that names no master is not."""
+    master = spark.conf.get("spark.master", None) or ""
+    return master == "local" or master.startswith("local[")
+
 
+def tune(spark: SparkSession, *tables: DataFrame) -> SparkSession:
+    """Runtime settings the plans here are written for; none changes a result.
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings the plans here are written for; none changes a result."""
+    With ``tables``, the inputs of a run, shuffles start from as many partitions as
+    their estimated bytes ask for, before adaptive execution merges small ones. A number
+    that the user set is left as it is.
+    """
     set_conf = spark.conf.set
     set_conf("spark.sql.session.timeZone", "UTC")
     set_conf("spark.sql.adaptive.enabled", "true")
+    # Hot keys: the join splits their partitions, also where that costs a later shuffle.
     set_conf("spark.sql.adaptive.skewJoin.enabled", "true")
+    set_conf("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     # Small results keep some parallelism: their rows are wide to compute.
     set_conf("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     # Rows partitioned by customer serve joins on (customer, item) and
     # (customer, category) too, so a wide table is shuffled once, not per key.
     set_conf("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        cores = spark.sparkContext.defaultParallelism
-        set_conf("spark.sql.shuffle.partitions", str(cores if _is_local(spark) else 3 * cores))
+    if tables and spark.conf.get(_INITIAL, None) == spark.conf.get(_OURS, None):
+        number = str(max(spark.sparkContext.defaultParallelism, _bytes(*tables) // PARTITION_BYTES))
+        set_conf(_INITIAL, number)
+        set_conf(_OURS, number)
     return spark
 
 
+def _bytes(*tables: DataFrame) -> int:
+    """The optimizer's estimate of the size of the tables, in bytes."""
+    return sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,7 +67,28 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """A folder for all tables stored inside, deleted when the scope closes.
+
+    Frames that read stored tables are lazy: write or collect them inside.
+    """
+    path = f"{scratch_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _scope.set(path)
+    try:
+        yield path
+    finally:
+        _scope.reset(token)
+        _delete(spark, path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -53,12 +97,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage so that a lost executor costs no recomputation, lets every
     later reader prune columns, and gives the optimizer the true size.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stored(df, label).df
+
+
+class Stored:
+    """A stored table that can be given up before its scope closes."""
 
+    def __init__(self, df: DataFrame, label: str):
+        self.spark = df.sparkSession
+        self.path = scratch_path(self.spark, label)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
+    def discard(self) -> None:
+        _delete(self.spark, self.path)

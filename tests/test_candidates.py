@@ -11,13 +11,17 @@ from basketmill.config import CandidateParams
 from basketmill.operators import candidates as C
 from basketmill.operators import features as Fe
 from basketmill.operators.cobuy import shared_bill_counts
+from basketmill.operators import training as D
+from basketmill.functions.time import month_window
 from basketmill.operators.ledger import open_audience, open_ledger
+from basketmill.session import run_scope
+from pyspark.sql import functions as F
 
 CUTOFF = datetime(2025, 7, 1)
 PARAMS = CandidateParams(
     personal_days=120, recent_days=60, personal_top=3, global_top=3, recent_global_top=2,
     location_top=2, recent_location_top=2, cobuy_top=2, category_top=2, brand_top=2,
-    user_categories=2, user_brands=1, max_anchors=2, dense_bill_items=6,
+    user_categories=2, user_brands=1, max_anchors=2, pairs_per_chunk=6,
 )
 ITEMS = [(f"i{n}", 1.0 + n, n % 3, n, f"l{n % 2}", f"m{n % 3}", f"n{n}", f"c{n % 4}",
           None if n == 5 else f"b{n % 3}") for n in range(12)]
@@ -102,14 +106,14 @@ def brute_force(rows, users):
     return flags
 
 
-@pytest.mark.parametrize("dense", [6, 5000])
-def test_all_sources_match_brute_force(spark, log, catalogue, dense):
+@pytest.mark.parametrize("chunk", [6, 1_000_000])
+def test_all_sources_match_brute_force(spark, log, catalogue, chunk):
     from dataclasses import replace
 
     rows, users = random_rows(), [1, 2, 3, 4, 99]
     got = C.build_candidates(
         log(rows), spark.createDataFrame([(u,) for u in users], "customer_id bigint"), CUTOFF,
-        catalogue(ITEMS), replace(PARAMS, dense_bill_items=dense),
+        catalogue(ITEMS), replace(PARAMS, pairs_per_chunk=chunk),
     ).collect()
     mine = {(r.customer_id, r.item_id): {s for s in SOURCES if r[s]} for r in got}
     assert len(got) == len(mine)
@@ -120,7 +124,7 @@ def test_all_sources_match_brute_force(spark, log, catalogue, dense):
     assert cold == {"candidate_global", "candidate_recent_global"}
 
 
-def test_dense_bills_count_like_pairs(spark):
+def test_split_bills_count_like_pairs(spark):
     rnd = random.Random(5)
     baskets = {(b, f"i{rnd.randrange(30):02d}") for b in range(25) for _ in range(rnd.choice([1, 2, 3, 20]))}
     anchors = [f"i{n:02d}" for n in range(0, 30, 2)]
@@ -132,7 +136,7 @@ def test_dense_bills_count_like_pairs(spark):
         for b in {b for b, i in baskets if i == a}:
             count.update(i for x, i in baskets if x == b and i != a)
         want[a] = sorted(count.items(), key=lambda p: (-p[1], p[0]))[:4]
-    for limit in (2, 4, 10, 100):
+    for limit in (1, 7, 40, 10_000):
         got = defaultdict(list)
         for r in shared_bill_counts(lines, chosen, 4, limit).collect():
             got[r.anchor_item].append((r.co_item, r.cobuy_count))
@@ -219,9 +223,78 @@ def test_plans_have_no_python_and_no_product(spark, log, catalogue):
     ledger = open_ledger(log(random_rows(n=50)), CUTOFF, catalogue(ITEMS), PARAMS)
     users = spark.createDataFrame([(1,)], "customer_id bigint")
     audience = open_audience(ledger, users)
-    for source in (C.personal, C.popular_everywhere, C.popular_at_place, C.popular_in_brands):
-        plan = source(ledger, audience)._jdf.queryExecution().toString()
+    sources = (
+        C.personal, C.repeat_all, C.popular_everywhere, C.recently_popular, C.popular_at_place,
+        C.recently_popular_at_place, C.popular_in_categories, C.popular_in_brands, C.bought_together,
+    )
+    pairs = C.candidates_from(ledger, audience)
+    labelled = D.add_labels(log(random_rows(n=50)), pairs, month_window("2025-07")).withColumn("label_month", F.substring("item_id", 1, 1))
+    plans = [source(ledger, audience) for source in sources]
+    plans += [Fe.features_from(ledger, audience, pairs), D.downsample_negatives(labelled, 2.0, 1)]
+    for df in plans:
+        plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-        assert "Python" not in plan
+        assert "Python" not in plan and "Arrow" not in plan
     limited = C.personal(ledger, audience)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in limited
+
+
+def test_a_hot_item_is_split_by_the_join_and_not_copied(spark, log, catalogue):
+    """Half of all rows are of one item: the skewed partition is split at run time."""
+    rows = [(n, n % 97 + 1, "i0" if n % 2 else f"i{n % 12}", CUTOFF - timedelta(days=n % 80), 1.0, 0.0, 1.0, 1)
+            for n in range(20_000)]
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        from basketmill.operators.ledger import with_attributes
+
+        tx = log(rows).repartition(8)
+        joined = with_attributes(tx, catalogue(ITEMS))
+        assert joined.count() == 20_000
+        out = joined.groupBy("item_id").count()
+        assert {r.item_id: r["count"] for r in out.collect()} == Counter(r[2] for r in rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan and "explode(sequence" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_run_stores_six_tables_and_deletes_them(spark, log, catalogue):
+    import os
+
+    users = spark.createDataFrame([(1,), (2,)], "customer_id bigint")
+    with run_scope(spark) as path:
+        ledger = open_ledger(log(random_rows()), CUTOFF, catalogue(ITEMS), PARAMS, stored=True)
+        audience = open_audience(ledger, users, stored=True)
+        features = Fe.features_from(ledger, audience, C.candidates_from(ledger, audience))
+        assert features.count() > 0
+        assert len(os.listdir(path)) <= 6
+    assert not os.path.exists(path)
+
+
+def test_a_train_cap_leaves_recommendations_whole(spark, log, catalogue):
+    from workload.queries import CountScorer
+
+    from basketmill.config import RunParams, SplitMonths
+    from basketmill.plans import monthly
+
+    tx, items = log(random_rows()), catalogue(ITEMS)
+    months = SplitMonths(("2025-04",), "2025-05", "2025-06")
+    capped = RunParams(candidates=PARAMS, max_train_users=1, max_validation_users=1)
+    free, cut = (
+        monthly.run(tx, months, CountScorer(), items, p).lists for p in (RunParams(candidates=PARAMS), capped)
+    )
+    lists = [{r.customer_id: tuple(r["items"]) for r in df.collect()} for df in (free, cut)]
+    assert lists[0] == lists[1] and len(lists[0]) > 4
+    few = monthly.run(tx, months, CountScorer(), items, RunParams(candidates=PARAMS, max_test_users=2)).lists
+    assert few.count() == 2

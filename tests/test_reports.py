@@ -129,3 +129,32 @@ def test_file_facts(spark, tmp_path):
     spark.range(10).repartition(2).write.parquet(path)
     files = profile.file_table(spark, path).collect()
     assert sum(f.row_count for f in files) == 10 and all(f.file_size > 0 for f in files)
+
+
+def test_absent_kinds_of_columns_give_empty_frames(spark):
+    texts = spark.createDataFrame([("a", [1.0])], "t string, v array<float>")
+    numbers = spark.createDataFrame([(1,)], "n int")
+    assert profile.numeric_summary(texts).collect() == []
+    assert profile.datetime_range(texts).collect() == []
+    assert profile.text_summary(numbers).collect() == []
+    assert {r.column_name: r.unique_count for r in profile.column_profile(texts).collect()} == {"t": 1, "v": 1}
+    for step in (profile.numeric_summary, profile.datetime_range, profile.text_summary):
+        full = step(spark.createDataFrame([(1, "a", None)], "n int, t string, d timestamp_ntz"))
+        assert step(texts).columns == full.columns or step(numbers).columns == full.columns
+
+
+def test_approximate_profile(spark):
+    df = spark.range(10_001).selectExpr("id", "id % 50 AS few")
+    numbers = {r.column_name: r.median for r in profile.numeric_summary(df, approximate=True).collect()}
+    assert abs(numbers["id"] - 5000) <= 5 and abs(numbers["few"] - 25) <= 1
+    plan = profile.numeric_summary(df, approximate=True)._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    unique = {r.column_name: r.unique_count for r in profile.column_profile(df, approximate=True).collect()}
+    assert abs(unique["few"] - 50) <= 5 and abs(unique["id"] - 10_001) < 1_000
+
+
+def test_null_counts_and_lengths_do_not_shuffle_texts(spark):
+    df = spark.createDataFrame([("a" * 50, None), (None, 2)], "t string, n int")
+    rows = {r.column_name: r for r in profile.column_profile(df).collect()}
+    assert (rows["t"].null_count, rows["n"].null_count, rows["t"].null_ratio) == (1, 1, 0.5)
+    assert profile.text_summary(df).first().avg_length == 50

@@ -11,18 +11,19 @@ from basketmill.columns import FEATURES, SOURCES
 from basketmill.config import CandidateParams
 from basketmill.functions.time import month_window, previous_months
 from workload.queries import (
+    COUNTED,
     DIGITS,
     PROFILED,
     REPORT_DIGITS,
     RUN,
     SAMPLE,
-    SHOWN,
     SMALL,
     SUM_DIGITS,
     TEST,
     TRAIN,
     VALIDATION,
 )
+from workload.tables import NAME, NAMED, PART
 
 
 def ts(moment: datetime) -> str:
@@ -41,10 +42,11 @@ def digits(name: str) -> int:
     return SUM_DIGITS if name.endswith(("_sum", "qty_90d")) else DIGITS
 
 
-def log_tables(fine: bool = False) -> dict[str, str]:
+def log_tables(item: str = NAMED, blanks: bool = False) -> dict[str, str]:
     """The purchase log and the catalogue as views over the order tables."""
-    item = "CAST(l_partkey AS VARCHAR)" if fine else "p_name"
-    part_item = "CAST(p_partkey AS VARCHAR)" if fine else "p_name"
+    item = {
+        NAMED: "p_name || ' ' || p_brand", PART: "CAST(p_partkey AS VARCHAR)", NAME: "p_name"
+    }[item]
     return {
         "tx": f"""
 SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_orderkey END AS bill_id,
@@ -55,10 +57,10 @@ SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_orderkey END AS bill_id,
   l_quantity AS quantity,
   CASE WHEN l_suppkey % 10 = 7 THEN NULL ELSE CAST(s_nationkey AS BIGINT) END AS location
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-WHERE o_orderkey % 211 <> 0""",
+JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
+        + (" WHERE o_orderkey % 211 <> 0" if blanks else ""),
         "raw_items": f"""
-SELECT {part_item} AS item_id, p_retailprice AS item_catalog_price, p_type AS category_l1,
+SELECT {item} AS item_id, p_retailprice AS item_catalog_price, p_type AS category_l1,
   split_part(p_name, ' ', 2) AS category_l2, p_name AS category_l3,
   p_type || '/' || split_part(p_name, ' ', 2) AS category,
   CASE WHEN p_size = 1 THEN NULL ELSE p_brand END AS brand,
@@ -91,8 +93,10 @@ def history_tables(month: str = TEST, universe: str = "active") -> dict[str, str
     }
 
 
-def base(month: str = TEST, universe: str = "active", fine: bool = False) -> dict[str, str]:
-    return {**log_tables(fine), **history_tables(month, universe)}
+def base(
+    month: str = TEST, universe: str = "active", item: str = NAMED, blanks: bool = False
+) -> dict[str, str]:
+    return {**log_tables(item, blanks), **history_tables(month, universe)}
 
 
 def top_own(since: str | None, k: int) -> str:
@@ -382,10 +386,10 @@ def shown(names: list[str] | tuple[str, ...], zero: bool = False) -> str:
 
 
 def everything(
-    month: str = TEST, with_items: bool = True, fine: bool = False, universe: str = "active"
+    month: str = TEST, with_items: bool = True, item: str = NAMED, universe: str = "active"
 ) -> dict[str, str]:
     return {
-        **base(month, universe, fine),
+        **base(month, universe, item),
         **candidate_tables(month, SMALL, with_items),
         **feature_tables(month, with_items),
     }
@@ -394,10 +398,12 @@ def everything(
 # --- training -------------------------------------------------------------------
 
 
-def labelled_tables(month: str = VALIDATION, universe: str = "active") -> dict[str, str]:
+def labelled_tables(
+    month: str = VALIDATION, universe: str = "active", item: str = NAMED
+) -> dict[str, str]:
     """``lab``: candidates of the month with label and fixed score."""
     return {
-        **base(month, universe),
+        **base(month, universe, item),
         **candidate_tables(month),
         "lab": f"""
 SELECT c.customer_id, c.item_id, '{month}' AS label_month,
@@ -414,8 +420,8 @@ def nested(tables: dict[str, str], final: str) -> str:
     return "SELECT * FROM (" + with_(tables, final) + ")"
 
 
-def two_months(pick: str) -> str:
-    return "\nUNION ALL ".join(nested(labelled_tables(m), pick) for m in TRAIN)
+def two_months(pick: str, item: str) -> str:
+    return "\nUNION ALL ".join(nested(labelled_tables(m, item=item), pick) for m in TRAIN)
 
 
 def kept(rows: str, seed: str) -> str:
@@ -430,10 +436,10 @@ SELECT * EXCLUDE (place, positives) FROM (
 WHERE label = 1 OR positives = 0 OR place <= floor(positives * {ratio_})"""
 
 
-def month_rows(month: str, seed: int) -> dict[str, str]:
+def month_rows(month: str, seed: int, item: str = NAMED) -> dict[str, str]:
     """``sampled``: the month's labelled features, negatives sampled."""
     return {
-        **everything(month),
+        **everything(month, item=item),
         "full_rows": f"""
 SELECT f.*, '{month}' AS label_month,
   CAST(CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS TINYINT) AS label
@@ -442,22 +448,33 @@ FROM feat f LEFT JOIN truth t ON t.customer_id = f.customer_id AND t.item_id = f
     }
 
 
-SHOWN_SQL = "SELECT customer_id, item_id, label_month, label, " + ", ".join(
-    f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 1) AS {c}" for c in SHOWN
-) + " FROM sampled"
+def narrow(name: str) -> str:
+    """A feature as a 32-bit float, rounded like the query's."""
+    return f"round(CAST(CAST({name} AS FLOAT) AS DOUBLE), {digits(name)}) AS {name}"
+
+
+SHOWN_SQL = (
+    "SELECT customer_id, item_id, label_month, label, "
+    + ", ".join(map(narrow, FEATURES))
+    + " FROM sampled"
+)
 
 
 def simple(final: str, **kwargs) -> str:
     return with_(base(**kwargs), final)
 
 
-def cand(final: str, **kwargs) -> str:
-    return with_({**base(), **candidate_tables(**kwargs)}, final)
+def cand(final: str, item: str = NAMED, **kwargs) -> str:
+    return with_({**base(item=item), **candidate_tables(**kwargs)}, final)
 
 
-def grain(final: str, with_items: bool = True) -> str:
+def grain(final: str, item: str = NAMED, with_items: bool = True) -> str:
     return with_(
-        {**base(), **candidate_tables(with_items=with_items), **grain_tables(TEST, with_items)},
+        {
+            **base(item=item),
+            **candidate_tables(with_items=with_items),
+            **grain_tables(TEST, with_items),
+        },
         final,
     )
 
@@ -466,10 +483,20 @@ ORACLE: dict[str, str] = {}
 
 CUTOFF = month_window(TEST).start
 MONTHS = previous_months(TEST, 12)
+SPLITS = f"""
+SELECT split, role, start FROM (
+  SELECT unnest(['default', 'given', 'full_year']) AS split, DATE '{TEST}-01' AS last)
+JOIN LATERAL (
+  SELECT 'test' AS role, CAST(last AS TIMESTAMP) AS start
+  UNION ALL SELECT 'validation', last - INTERVAL 1 MONTH
+  UNION ALL SELECT 'train', unnest(CASE split
+    WHEN 'default' THEN [last - INTERVAL 2 MONTH, last - INTERVAL 3 MONTH]
+    WHEN 'given' THEN [TIMESTAMP '2001-01-01', TIMESTAMP '2000-12-01']
+    ELSE [last - to_months(CAST(m AS INTEGER)) FOR m IN range(2, 13)] END)) ON true"""
 
 ORACLE |= {
-    "i01_transactions": simple("SELECT * FROM tx"),
-    "i02_items_dedup": simple("SELECT * FROM items"),
+    "i01_transactions": simple("SELECT * FROM tx", item=NAME, blanks=True),
+    "i02_items_dedup": simple("SELECT * FROM items", item=NAME),
     "i04_month_series": simple(
         f"""SELECT strftime(updated_date, '%Y-%m') AS month, count(*) AS n FROM tx
 WHERE updated_date >= {ts(month_window(MONTHS[0]).start)} AND updated_date < {ts(CUTOFF)} GROUP BY 1"""
@@ -486,32 +513,61 @@ WHERE updated_date >= {ts(month_window(MONTHS[0]).start)} AND updated_date < {ts
     "i12_month_truth": simple(
         "SELECT * FROM truth WHERE customer_id IN (SELECT customer_id FROM hist)"
     ),
+    "i13_split_months": simple(
+        f"""SELECT split, role, strftime(start, '%Y-%m') AS month, start,
+  start + INTERVAL 1 MONTH AS stop, coalesce(n, 0) AS n
+FROM ({SPLITS}) LEFT JOIN
+  (SELECT date_trunc('month', updated_date) AS start, count(*) AS n FROM tx GROUP BY 1) USING (start)"""
+    ),
 }
 
-ORACLE |= {
-    name: cand(f'SELECT * FROM "{table}"')
-    for name, table in {
-        "c01_personal": "personal",
-        "c02_repeat_all": "repeat_all",
-        "c03_global": "global",
-        "c04_recent_global": "recent_global",
-        "c05_user_location": "user_location",
-        "c06_location": "location",
-        "c07_recent_location": "recent_location",
-        "c08_user_categories": "user_categories",
-        "c09_recent_category": "recent_category",
-        "c10_user_brands": "user_brands",
-        "c11_recent_brand": "recent_brand",
-        "c12_anchors": "anchors",
-        "c13_cobuy_pairs": "cobuy_pairs",
-        "c14_cobuy": "cobuy",
-        "c15_candidates": "cand",
-    }.items()
+SOURCE_TABLES = {
+    "c01_personal": "personal",
+    "c02_repeat_all": "repeat_all",
+    "c03_global": "global",
+    "c04_recent_global": "recent_global",
+    "c05_user_location": "user_location",
+    "c06_location": "location",
+    "c07_recent_location": "recent_location",
+    "c08_user_categories": "user_categories",
+    "c09_recent_category": "recent_category",
+    "c10_user_brands": "user_brands",
+    "c11_recent_brand": "recent_brand",
+    "c12_anchors": "anchors",
+    "c13_cobuy_pairs": "cobuy_pairs",
+    "c14_cobuy": "cobuy",
+    "c15_candidates": "cand",
 }
-ORACLE["c15_candidates_fine"] = with_(
-    {**base(fine=True), **candidate_tables(params=CandidateParams())}, "SELECT * FROM cand"
-)
-ORACLE["c16_candidates_no_items"] = cand("SELECT * FROM cand", with_items=False)
+
+
+def large_bills(item: str) -> str:
+    """Bills of a day and a seventh of the orders, paired in full."""
+    return with_(
+        {
+            **base(item=item),
+            "bills": f"""
+SELECT DISTINCT strftime(updated_date, '%Y-%m-%d') || '/' || (bill_id % 7) AS bill_id, item_id
+FROM hist WHERE bill_id IS NOT NULL AND updated_date >= {back(CUTOFF, SMALL.personal_days)}""",
+            "wanted": """
+SELECT DISTINCT item_id FROM bills WHERE substr(md5(item_id), 1, 1) IN ('0', '1', '2')""",
+        },
+        f"""
+SELECT anchor_item, co_item, cobuy_count FROM (
+  SELECT a.item_id AS anchor_item, b.item_id AS co_item, count(*) AS cobuy_count,
+    row_number() OVER (PARTITION BY a.item_id ORDER BY count(*) DESC, b.item_id) AS place
+  FROM bills a JOIN bills b ON a.bill_id = b.bill_id AND a.item_id <> b.item_id
+  WHERE a.item_id IN (SELECT item_id FROM wanted) GROUP BY a.item_id, b.item_id)
+WHERE place <= {SMALL.cobuy_top}""",
+    )
+
+
+def candidate_family(item: str) -> dict[str, str]:
+    sources = {n: cand(f'SELECT * FROM "{t}"', item) for n, t in SOURCE_TABLES.items()}
+    return sources | {
+        "c13_cobuy_large_bills": large_bills(item),
+        "c16_candidates_no_items": cand("SELECT * FROM cand", item, with_items=False),
+    }
+
 
 PAIR_COLUMNS = [f for f in FEATURES if f.startswith("ui_") and f not in SHARE_OF]
 USER_COLUMNS = [
@@ -526,80 +582,83 @@ PLACE_COLUMNS = [
     if f.startswith("loc_") and f not in SHARE_OF and f not in ITEM_FEATURES
 ]
 
-ORACLE |= {
-    "f01_pair": grain(
-        f"SELECT customer_id, item_id, {shown(PAIR_COLUMNS)} FROM pair_f SEMI JOIN users USING (customer_id)"
-    ),
-    "f02_user": grain(f"SELECT customer_id, {shown(USER_COLUMNS)} FROM user_f"),
-    "f03_user_location": grain("SELECT * FROM place_f"),
-    "f04_item": grain(f"SELECT item_id, {shown(ITEM_COLUMNS)} FROM item_f"),
-    "f05_location_item": grain(
-        f"SELECT location, item_id, {shown(PLACE_COLUMNS)} FROM loc_item_f"
-    ),
-    "f06_item_meta": cand('SELECT * FROM "global" LEFT JOIN items USING (item_id)'),
-    **{
-        f"f{i:02d}_{name}": grain(
-            f"SELECT * FROM {prefix}_f SEMI JOIN users USING (customer_id)"
-        )
-        for i, (name, prefix) in enumerate(
-            {
-                "user_cat_l1": "u_cat_l1",
-                "user_cat_l2": "u_cat_l2",
-                "user_cat_l3": "u_cat_l3",
-                "user_category": "u_category",
-                "user_brand": "u_brand",
-            }.items(),
-            7,
-        )
-    },
-    "f12_category": grain("SELECT * FROM category_f"),
-    "f13_location_category": grain("SELECT * FROM loc_category_f"),
-    "f14_features": with_(
-        everything(), f"SELECT customer_id, item_id, {shown(FEATURES)} FROM feat"
-    ),
-    "f14_features_fine": with_(
-        everything(fine=True), f"SELECT customer_id, item_id, {shown(FEATURES)} FROM feat"
-    ),
-    "f15_features_no_items": with_(
-        everything(with_items=False),
-        f"SELECT customer_id, item_id, {shown(FEATURES, zero=True)} FROM feat",
-    ),
-}
+def feature_family(item: str) -> dict[str, str]:
+    return {
+        "f01_pair": grain(
+            f"SELECT customer_id, item_id, {shown(PAIR_COLUMNS)} FROM pair_f SEMI JOIN users USING (customer_id)",
+            item,
+        ),
+        "f02_user": grain(f"SELECT customer_id, {shown(USER_COLUMNS)} FROM user_f", item),
+        "f03_user_location": grain("SELECT * FROM place_f", item),
+        "f04_item": grain(f"SELECT item_id, {shown(ITEM_COLUMNS)} FROM item_f", item),
+        "f05_location_item": grain(
+            f"SELECT location, item_id, {shown(PLACE_COLUMNS)} FROM loc_item_f",
+            item,
+        ),
+        "f06_item_meta": cand('SELECT * FROM "global" LEFT JOIN items USING (item_id)', item),
+        **{
+            f"f{i:02d}_{name}": grain(
+                f"SELECT * FROM {prefix}_f SEMI JOIN users USING (customer_id)",
+                item,
+            )
+            for i, (name, prefix) in enumerate(
+                {
+                    "user_cat_l1": "u_cat_l1",
+                    "user_cat_l2": "u_cat_l2",
+                    "user_cat_l3": "u_cat_l3",
+                    "user_category": "u_category",
+                    "user_brand": "u_brand",
+                }.items(),
+                7,
+            )
+        },
+        "f12_category": grain("SELECT * FROM category_f", item),
+        "f13_location_category": grain("SELECT * FROM loc_category_f", item),
+        "f14_features": with_(
+            everything(item=item), f"SELECT customer_id, item_id, {shown(FEATURES)} FROM feat"
+        ),
+        "f15_features_no_items": with_(
+            everything(with_items=False, item=item),
+            f"SELECT customer_id, item_id, {shown(FEATURES, zero=True)} FROM feat",
+        ),
+    }
 
-LAB = labelled_tables()
 
-ORACLE |= {
-    "d01_labels": with_(LAB, "SELECT customer_id, item_id, label FROM lab"),
-    "d02_downsample": with_(
-        {"all_rows": two_months("SELECT * FROM lab")},
-        f"SELECT customer_id, item_id, label_month, label FROM ({kept("all_rows", repr('42'))})",
-    ),
-    "d03_month_dataset": with_(month_rows(VALIDATION, 42), SHOWN_SQL),
-    "d04_train_frame": "\nUNION ALL ".join(
-        nested(month_rows(m, 42 + i * 10_000), SHOWN_SQL) for i, m in enumerate(TRAIN)
-    ),
-    "d05_rank_groups": with_(
-        LAB,
-        """SELECT customer_id, item_id, label, group_size FROM (
-SELECT *, count(*) OVER (PARTITION BY customer_id) AS group_size,
-  sum(label) OVER (PARTITION BY customer_id) AS positives FROM lab) WHERE positives > 0""",
-    ),
-    "d06_class_weight": with_(
-        LAB,
-        f"""SELECT positives, negatives,
-  round(CAST(greatest(positives + negatives - greatest(positives, 1), 1) AS DOUBLE)
-    / greatest(positives, 1), {DIGITS}) AS scale_pos_weight
-FROM (SELECT count(*) FILTER (WHERE label = 1) AS positives,
-  count(*) FILTER (WHERE label = 0) AS negatives FROM lab)""",
-    ),
-    "d07_dataset_summary": with_(
-        {"all_rows": two_months("SELECT * FROM lab"), "kept_rows": kept("all_rows", "'42'")},
-        """SELECT label_month, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives,
-  max(kept) AS kept
-FROM all_rows JOIN (SELECT label_month, count(*) AS kept FROM kept_rows GROUP BY 1)
-  USING (label_month) GROUP BY label_month""",
-    ),
-}
+def training_family(item: str) -> dict[str, str]:
+    lab = labelled_tables(item=item)
+    return {
+        "d01_labels": with_(lab, "SELECT customer_id, item_id, label FROM lab"),
+        "d02_downsample": with_(
+            {"all_rows": two_months("SELECT * FROM lab", item)},
+            f"SELECT customer_id, item_id, label_month, label FROM ({kept("all_rows", repr('42'))})",
+        ),
+        "d03_month_dataset": with_(month_rows(VALIDATION, 42, item), SHOWN_SQL),
+        "d04_train_frame": "\nUNION ALL ".join(
+            nested(month_rows(m, 42 + i * 10_000, item), SHOWN_SQL) for i, m in enumerate(TRAIN)
+        ),
+        "d05_rank_groups": with_(
+            lab,
+            """SELECT customer_id, item_id, label, group_size FROM (
+    SELECT *, count(*) OVER (PARTITION BY customer_id) AS group_size,
+      sum(label) OVER (PARTITION BY customer_id) AS positives FROM lab) WHERE positives > 0""",
+        ),
+        "d06_class_weight": with_(
+            lab,
+            f"""SELECT positives, negatives,
+      round(CAST(greatest(positives + negatives - greatest(positives, 1), 1) AS DOUBLE)
+        / greatest(positives, 1), {DIGITS}) AS scale_pos_weight
+    FROM (SELECT count(*) FILTER (WHERE label = 1) AS positives,
+      count(*) FILTER (WHERE label = 0) AS negatives FROM lab)""",
+        ),
+        "d07_dataset_summary": with_(
+            {"all_rows": two_months("SELECT * FROM lab", item), "kept_rows": kept("all_rows", "'42'")},
+            """SELECT label_month, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives,
+      max(kept) AS kept
+    FROM all_rows JOIN (SELECT label_month, count(*) AS kept FROM kept_rows GROUP BY 1)
+      USING (label_month) GROUP BY label_month""",
+        ),
+    }
+
 
 # --- ranking and evaluation -------------------------------------------------------
 
@@ -609,9 +668,7 @@ SELECT * FROM (SELECT customer_id, item_id, label, score, CAST(row_number() OVER
   PARTITION BY customer_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM lab)
 WHERE rank <= 10""",
 }
-LISTS = {
-    **labelled_tables(VALIDATION, "history"),
-    **RANKED,
+LIST_TABLES = {
     "hits": """
 SELECT r.customer_id, r.rank, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS hit
 FROM ranked r LEFT JOIN truth t ON t.customer_id = r.customer_id AND t.item_id = r.item_id""",
@@ -624,8 +681,7 @@ SELECT customer_id, sum(hit) / CAST(count(*) + max(bought) - sum(hit) AS DOUBLE)
 FROM (SELECT *, sum(hit) OVER (PARTITION BY customer_id ORDER BY rank) AS found FROM hits)
 JOIN sizes USING (customer_id) GROUP BY customer_id""",
 }
-SCORED = {**LAB, **RANKED}
-PROBABLE = {**LAB, "prob": "SELECT *, score / (score + 1.0) AS p FROM lab"}
+PROB = "SELECT *, score / (score + 1.0) AS p FROM lab"
 LOG_LOSS = """avg(-ln(CASE WHEN label = 1 THEN least(greatest(p, 1e-6), 1 - 1e-6)
   ELSE 1 - least(greatest(p, 1e-6), 1 - 1e-6) END))"""
 COVERAGE = {
@@ -649,9 +705,13 @@ STEPS = """
 SELECT {keys} {score}, count(*) AS n, sum(label) AS n_pos FROM {table} GROUP BY ALL"""
 
 
-def metric(name: str) -> str:
+def list_tables(item: str) -> dict[str, str]:
+    return {**labelled_tables(VALIDATION, "history", item), **RANKED, **LIST_TABLES}
+
+
+def metric(name: str, item: str) -> str:
     return with_(
-        LISTS, f"SELECT customer_id, round({name}, {DIGITS}) AS {name} FROM per_user"
+        list_tables(item), f"SELECT customer_id, round({name}, {DIGITS}) AS {name} FROM per_user"
     )
 
 
@@ -662,68 +722,168 @@ METRIC_NAMES = {
     "map": "average_precision",
 }
 
+LISTED = "SELECT customer_id, string_agg(item_id, ',' ORDER BY rank) AS items FROM ranked GROUP BY 1"
+EVALUATED = {
+    "means": "SELECT count(*) AS truth_users, count(p.customer_id) AS common_users, "
+    + ", ".join(f"avg({c}) AS {m}" for m, c in METRIC_NAMES.items())
+    + " FROM sizes LEFT JOIN per_user p USING (customer_id)",
+    "evaluated": "SELECT truth_users,"
+    " (SELECT count(DISTINCT customer_id) FROM ranked) AS submission_users,"
+    " common_users, truth_users - common_users AS missing_users, "
+    + ", ".join(
+        f"round({m}, {DIGITS}) AS {m},"
+        f" round({m} * common_users / truth_users, {DIGITS}) AS {m}_all_users"
+        for m in METRIC_NAMES
+    )
+    + " FROM means",
+}
+
+
+def ranking_family(item: str) -> dict[str, str]:
+    lab = labelled_tables(item=item)
+    ranked = {**lab, **RANKED}
+    probable = {**lab, "prob": PROB}
+    counted = " + ".join(f"coalesce({c}, 0)" for c in COUNTED)
+    return {
+        "r01_scored_month": with_(
+            everything(VALIDATION, item=item),
+            f"SELECT customer_id, item_id, CAST({counted} AS DOUBLE) AS score FROM feat",
+        ),
+        "r02_topk": with_(ranked, "SELECT customer_id, item_id, rank, score FROM ranked"),
+        "r03_all_history_topk": with_(
+            {**labelled_tables(TEST, "history", item), **RANKED}, LISTED
+        ),
+        "r03_truth_topk": with_({**labelled_tables(TEST, item=item), **RANKED}, LISTED),
+        "r04_written_lists": with_(ranked, "SELECT customer_id, item_id, rank FROM ranked"),
+        "e01_coverage": with_({**lab, **COVERAGE}, "SELECT * FROM coverage"),
+        "e02_precision_at_10": with_(
+            {**ranked, "p": PRECISION_10},
+            f"SELECT count(*) AS users, round(avg(p10), {DIGITS}) AS precision_at_k FROM p",
+        ),
+        "e03_iou": metric("iou", item),
+        "e04_mrr": metric("reciprocal_rank", item),
+        "e05_precision_k": metric("precision", item),
+        "e06_map": metric("average_precision", item),
+        "e07_eval_summary": with_({**list_tables(item), **EVALUATED}, "SELECT * FROM evaluated"),
+        "e08_log_loss": with_(
+            probable, f"SELECT count(*) AS rows, round({LOG_LOSS}, {DIGITS}) AS log_loss FROM prob"
+        ),
+        "e09_average_precision": with_(
+            {**lab, "steps": STEPS.format(keys="", score="score", table="lab")},
+            f"""SELECT round(sum(n_pos * hits / CAST(seen AS DOUBLE)) / sum(n_pos), {DIGITS})
+  AS average_precision
+FROM (SELECT *, sum(n) OVER (ORDER BY score DESC) AS seen,
+  sum(n_pos) OVER (ORDER BY score DESC) AS hits FROM steps)""",
+        ),
+        "e10_ndcg_at_10": with_(
+            {
+                **ranked,
+                "ideal": "SELECT n, (SELECT sum(1.0 / log2(i + 1)) FROM range(1, n + 1) t(i))"
+                " AS best FROM range(1, 11) r(n)",
+            },
+            f"""SELECT count(*) AS users, round(avg(gain / best), {DIGITS}) AS ndcg_at_k
+FROM (SELECT customer_id, sum(label / log2(rank + 1.0)) AS gain FROM ranked GROUP BY 1)
+JOIN (SELECT customer_id, least(sum(label), 10) AS n FROM lab GROUP BY 1 HAVING sum(label) > 0)
+  USING (customer_id) JOIN ideal USING (n)""",
+        ),
+        "e12_month_report": with_(
+            {**probable, **RANKED, **COVERAGE, "p10": PRECISION_10},
+            f"""SELECT *, (SELECT round(avg(p10), {DIGITS}) FROM p10) AS precision_at_k,
+  (SELECT round({LOG_LOSS}, {DIGITS}) FROM prob) AS log_loss FROM coverage""",
+        ),
+    }
+
+
+ORACLE["r05_rekeyed"] = simple(
+    """SELECT CASE WHEN customer_id % 10 = 3 THEN NULL ELSE customer_id END AS customer_id,
+  CASE WHEN customer_id % 10 = 3 THEN 'guest-' || customer_id END AS user_text,
+  row_number() OVER (PARTITION BY customer_id ORDER BY item_id) AS rank, item_id FROM truth"""
+)
+
+for family in (candidate_family, feature_family, training_family, ranking_family):
+    ORACLE |= family(NAMED)
+    ORACLE |= {f"{name}_fine": sql for name, sql in family(PART).items()}
+ORACLE["c15_candidates_fine"] = with_(
+    {**base(item=PART), **candidate_tables(params=CandidateParams())}, "SELECT * FROM cand"
+)
+
+# --- scorers --------------------------------------------------------------------------
+
+# The pull of each pair of a bought and an unbought item of a user; ``w`` weighs the pair.
+PULLS = """
+SELECT p.customer_id, p.item_id AS up, n.item_id AS down, 1 / (1 + exp(p.score - n.score)) AS rho,
+  {weight} AS w
+FROM placed p JOIN placed n ON p.customer_id = n.customer_id AND p.label = 1 AND n.label = 0"""
+PLACED = """
+SELECT *, CASE WHEN place <= 10 THEN 1 / log2(place + 1) ELSE 0 END AS discount,
+  (SELECT sum(1 / log2(i + 1)) FROM range(1, CAST(least(bought, 10) AS BIGINT) + 1) t(i)) AS ideal
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, item_id) AS place,
+  sum(label) OVER (PARTITION BY customer_id) AS bought FROM lab)"""
+GRADED = f"""
+SELECT customer_id, item_id, round(sum(g), {DIGITS}) AS grad, round(sum(h), {DIGITS}) AS hess FROM (
+  SELECT customer_id, up AS item_id, -rho * w AS g, rho * (1 - rho) * w AS h FROM pulls
+  UNION ALL SELECT customer_id, down, rho * w, rho * (1 - rho) * w FROM pulls)
+GROUP BY customer_id, item_id"""
+LAB = labelled_tables()
+ALL_SCORED = with_(
+    {**base(VALIDATION), **candidate_tables(VALIDATION)},
+    "SELECT customer_id, item_id, true AS scored FROM cand",
+)
+REPORT_COLUMNS = (
+    "common_users, total_candidates, total_true_items, total_hits, users_with_hit,"
+    " mean_user_recall, candidate_recall, candidate_precision, user_hit_rate"
+)
+
+
+def month_summary(month: str, part: str, precision: bool = True) -> str:
+    value = f"(SELECT round(avg(p10), {DIGITS}) FROM p10)" if precision else "CAST(NULL AS DOUBLE)"
+    return nested(
+        {**labelled_tables(month), **RANKED, **COVERAGE, "p10": PRECISION_10},
+        f"SELECT {REPORT_COLUMNS}, {value} AS precision_at_k, '{part}' AS part FROM coverage",
+    )
+
+
 ORACLE |= {
-    "r01_scored_month": with_(LAB, "SELECT customer_id, item_id, score FROM lab"),
-    "r02_topk": with_(SCORED, "SELECT customer_id, item_id, rank, score FROM ranked"),
-    "r03_all_history_topk": with_(
-        {**labelled_tables(TEST, "history"), **RANKED},
-        "SELECT customer_id, string_agg(item_id, ',' ORDER BY rank) AS items FROM ranked GROUP BY 1",
-    ),
-    "r04_written_lists": with_(SCORED, "SELECT customer_id, item_id, rank FROM ranked"),
-    "r05_rekeyed": simple(
-        """SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY item_id) AS rank,
-  item_id FROM truth"""
+    name: ALL_SCORED
+    for name in (
+        "m01_gbt_scores", "m01_gbt_wide_scores", "m03_pairwise_scores", "m04_ndcg_scores",
+        "m05_linear_scores",
+    )
+}
+ORACLE |= {
+    "m01_gradients": with_(
+        {**LAB, "p": "SELECT *, 1 / (1 + exp(-score)) AS p FROM lab"},
+        f"""SELECT customer_id, item_id,
+  round((CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END) * (p - label), {DIGITS}) AS grad,
+  round((CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END) * p * (1 - p), {DIGITS}) AS hess FROM p""",
     ),
-    "e01_coverage": with_({**LAB, **COVERAGE}, "SELECT * FROM coverage"),
-    "e02_precision_at_10": with_(
-        {**SCORED, "p": PRECISION_10},
-        f"SELECT count(*) AS users, round(avg(p10), {DIGITS}) AS precision_at_k FROM p",
+    "m03_gradients": with_(
+        {**LAB, "placed": PLACED, "pulls": PULLS.format(weight="1.0")}, GRADED
     ),
-    "e03_iou": metric("iou"),
-    "e04_mrr": metric("reciprocal_rank"),
-    "e05_precision_k": metric("precision"),
-    "e06_map": metric("average_precision"),
-    "e07_eval_summary": with_(
+    "m04_gradients": with_(
         {
-            **LISTS,
-            "means": "SELECT count(*) AS truth_users, count(p.customer_id) AS common_users, "
-            + ", ".join(f"avg({c}) AS {m}" for m, c in METRIC_NAMES.items())
-            + " FROM sizes LEFT JOIN per_user p USING (customer_id)",
+            **LAB,
+            "placed": PLACED,
+            "pulls": PULLS.format(weight="abs(p.discount - n.discount) / p.ideal"),
+            "graded": GRADED,
         },
-        "SELECT truth_users, (SELECT count(DISTINCT customer_id) FROM ranked) AS submission_users,"
-        " common_users, truth_users - common_users AS missing_users, "
-        + ", ".join(
-            f"round({m}, {DIGITS}) AS {m},"
-            f" round({m} * common_users / truth_users, {DIGITS}) AS {m}_all_users"
-            for m in METRIC_NAMES
-        )
-        + " FROM means",
+        """SELECT customer_id, item_id, coalesce(grad, 0) AS grad, coalesce(hess, 0) AS hess
+FROM (SELECT customer_id, item_id FROM placed WHERE bought > 0) LEFT JOIN graded
+  USING (customer_id, item_id)""",
     ),
-    "e08_log_loss": with_(
-        PROBABLE, f"SELECT count(*) AS rows, round({LOG_LOSS}, {DIGITS}) AS log_loss FROM prob"
+    "m05_normal_equations": "\nUNION ALL ".join(
+        f"SELECT '{f}' AS feature, true AS orthogonal" for f in FEATURES
     ),
-    "e09_average_precision": with_(
-        {**LAB, "steps": STEPS.format(keys="", score="score", table="lab")},
-        f"""SELECT round(sum(n_pos * hits / CAST(seen AS DOUBLE)) / sum(n_pos), {DIGITS})
-  AS average_precision
-FROM (SELECT *, sum(n) OVER (ORDER BY score DESC) AS seen,
-  sum(n_pos) OVER (ORDER BY score DESC) AS hits FROM steps)""",
-    ),
-    "e10_ndcg_at_10": with_(
-        {
-            **SCORED,
-            "ideal": "SELECT n, (SELECT sum(1.0 / log2(i + 1)) FROM range(1, n + 1) t(i)) AS best"
-            " FROM range(1, 11) r(n)",
-        },
-        f"""SELECT count(*) AS users, round(avg(gain / best), {DIGITS}) AS ndcg_at_k
-FROM (SELECT customer_id, sum(label / log2(rank + 1.0)) AS gain FROM ranked GROUP BY 1)
-JOIN (SELECT customer_id, least(sum(label), 10) AS n FROM lab GROUP BY 1 HAVING sum(label) > 0)
-  USING (customer_id) JOIN ideal USING (n)""",
+    "m09_run": with_({**labelled_tables(TEST), **RANKED}, LISTED),
+    "m09_report": "\nUNION ALL ".join(
+        (
+            month_summary(VALIDATION, "validation"),
+            month_summary(TEST, "test"),
+            month_summary(TEST, "delivered", precision=False),
+        )
     ),
-    "e12_month_report": with_(
-        {**PROBABLE, **RANKED, **COVERAGE, "p10": PRECISION_10},
-        f"""SELECT *, (SELECT round(avg(p10), {DIGITS}) FROM p10) AS precision_at_k,
-  (SELECT round({LOG_LOSS}, {DIGITS}) FROM prob) AS log_loss FROM coverage""",
+    "m09_list_report": with_(
+        {**labelled_tables(TEST), **RANKED, **LIST_TABLES, **EVALUATED}, "SELECT * FROM evaluated"
     ),
 }
 
@@ -796,6 +956,26 @@ def six(*names: str, to: int = REPORT_DIGITS) -> str:
     return ", ".join(f"round({n}, {to}) AS {n}" for n in names)
 
 
+REPORT_ROWS = (
+    six(*REPORT_NUMBERS)
+    + ", "
+    + six("mean_positive", "mean_negative", "mean_delta", to=3)
+    + ", unique_values, status, reason"
+)
+# A column that is not there, in the order of the rows above.
+ABSENT = {
+    **{c: "0.0" for c in REPORT_NUMBERS},
+    "auc_directionless": "0.5",
+    "null_rate": "1.0",
+    "mean_positive": "0.0",
+    "mean_negative": "0.0",
+    "mean_delta": "0.0",
+    "unique_values": "0",
+    "status": "'missing'",
+    "reason": "'column was not produced by the pipeline'",
+}
+
+
 def stats(columns: str, table: str = "lifts") -> str:
     return with_(LONG, f"SELECT feature, {columns} FROM {table}")
 
@@ -811,9 +991,28 @@ ORACLE |= {
     "a06_means": stats(six("mean_positive", "mean_negative", "mean_delta", to=3)),
     "a07_density": stats(six("null_rate", "nonzero_rate") + ", unique_values"),
     "a08_feature_status": stats("status, reason", "report"),
-    "a09_feature_report": stats(
-        six(*REPORT_NUMBERS) + ", unique_values, status, reason", "report"
+    "a09_feature_report": stats(REPORT_ROWS, "report"),
+    "a10_usable": with_(
+        LONG,
+        f"""SELECT feature, {REPORT_ROWS} FROM report WHERE status IN ('usable', 'usable_sparse')
+ORDER BY abs_spearman DESC, feature LIMIT 30""",
+    ),
+    "a10_inspect": with_(
+        LONG,
+        f"""SELECT feature, {REPORT_ROWS} FROM report WHERE status NOT IN ('usable', 'usable_sparse')
+ORDER BY abs_spearman DESC, feature LIMIT 50""",
     ),
+    "a11_absent_columns": with_(
+        LONG,
+        f"SELECT feature, {REPORT_ROWS} FROM report WHERE feature = 'i_tx_count'"
+        + "".join(
+            f"""
+UNION ALL SELECT '{f}', {", ".join("round(rate, 6)" if c == "global_positive_rate" else v
+              for c, v in ABSENT.items())} FROM (SELECT avg(label) AS rate FROM sampled)"""
+            for f in ("ui_tx_count", "not_there")
+        ),
+    ),
+    "p05_report_csv": stats(REPORT_ROWS, "report"),
     "a10_status_counts": with_(
         LONG, "SELECT status, count(*) AS features FROM report GROUP BY status"
     ),
@@ -823,18 +1022,50 @@ ORACLE |= {
 
 # Columns of the driver's tables by kind.
 NUMERIC = {
-    "orders": ("o_orderkey", "o_custkey", "o_totalprice"),
-    "part": ("p_partkey", "p_size", "p_retailprice"),
+    "region": ("r_regionkey",),
+    "nation": ("n_nationkey", "n_regionkey"),
     "customer": ("c_custkey", "c_nationkey", "c_acctbal"),
+    "supplier": ("s_suppkey", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_totalprice"),
+    "lineitem": (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax",
+    ),
     "events": ("event_id", "user_id", "value"),
+    "documents": ("doc_id", "n_chars"),
+    "embeddings": ("vec_id", "label"),
+    "pages": ("page_id",),
+    "benchmark": ("item_id",),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn"),
 }
+FRACTIONAL = {
+    "c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "value",
+}
+WHOLE = {t: tuple(c for c in names if c not in FRACTIONAL) for t, names in NUMERIC.items()}
 MOMENTS = {"orders": ("o_orderdate",), "events": ("ts",), "lineitem": ("l_shipdate",)}
 TEXT = {
-    "orders": ("o_orderstatus", "o_orderpriority"),
-    "part": ("p_name", "p_brand", "p_type"),
+    "region": ("r_name",),
+    "nation": ("n_name",),
     "customer": ("c_name", "c_mktsegment"),
+    "supplier": ("s_name",),
+    "part": ("p_name", "p_brand", "p_type"),
+    "orders": ("o_orderstatus", "o_orderpriority"),
+    "lineitem": ("l_returnflag", "l_linestatus"),
     "events": ("event_type", "props"),
+    "documents": ("text", "lang", "source"),
+    "pages": ("url", "html"),
+    "benchmark": ("text",),
+    "conversations": ("role", "text"),
 }
+NESTED = {"embeddings": ("embedding",)}
+KINDS = (NUMERIC, MOMENTS, TEXT, NESTED)
+TABLE_LIST = ", ".join(f"'{t}'" for t in PROFILED)
+SPARK_TYPE = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END"""
 
 
 def per_column(select: str, kinds: list[dict[str, tuple[str, ...]]], tables) -> str:
@@ -859,7 +1090,7 @@ ORACLE |= {
         """SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count,
   round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 6) AS null_ratio,
   count(DISTINCT {c}) AS unique_count FROM {t}""",
-        [NUMERIC, MOMENTS, TEXT],
+        KINDS,
         PROFILED,
     ),
     "q02_numeric": per_column(
@@ -873,7 +1104,7 @@ ORACLE |= {
         """SELECT '{t}' AS table_name, '{c}' AS column_name, min({c}) AS min_date,
   max({c}) AS max_date FROM {t}""",
         [MOMENTS],
-        ("orders", "events", "lineitem"),
+        PROFILED,
     ),
     "q04_text": per_column(
         """SELECT '{t}' AS table_name, '{c}' AS column_name, round(avg(length({c})), 2) AS avg_length,
@@ -888,19 +1119,24 @@ ORACLE |= {
   CAST({c} AS VARCHAR) AS value, count(*) AS n, CAST(row_number() OVER (
     ORDER BY count(*) DESC, CAST({c} AS VARCHAR) NULLS LAST) AS INTEGER) AS rank
 FROM {t} GROUP BY 3) WHERE rank <= 10""",
-        [NUMERIC, TEXT],
-        ("part", "customer"),
+        [WHOLE, TEXT],
+        PROFILED,
     ),
     "q06_overview": "\nUNION ALL ".join(
         f"""SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count,
-  CAST({len(NUMERIC[t]) + len(MOMENTS.get(t, ())) + len(TEXT[t])} AS BIGINT) AS column_count,
+  CAST({sum(len(kind.get(t, ())) for kind in KINDS)} AS BIGINT) AS column_count,
   (SELECT CAST(sum({" + ".join(
       f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END"
-      for kind in (NUMERIC, MOMENTS, TEXT) for c in kind.get(t, ())
+      for kind in KINDS for c in kind.get(t, ())
   )}) AS BIGINT) FROM {t}) AS missing_cells,
   (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows"""
         for t in PROFILED
     ),
+    "q07_schema": f"""SELECT table_name, column_name, {SPARK_TYPE} AS type
+FROM information_schema.columns WHERE table_name IN ({TABLE_LIST})""",
+    "q07_types": f"""SELECT table_name, {SPARK_TYPE} AS type, count(*) AS columns
+FROM information_schema.columns WHERE table_name IN ({TABLE_LIST}) GROUP BY ALL""",
+    "q07_files": "SELECT 'orders.parquet' AS file_name, count(*) AS row_count FROM orders",
     "q08_positional_diff": with_(
         COMPARED,
         """SELECT count(*) AS total_rows, count(*) FILTER (WHERE same) AS matched_rows,
