@@ -30,7 +30,7 @@ TRAIN_ROWS = 8000
 EPOCHS = 3
 STEM = 4
 SKIPS = (1, 2, 3)  # distance between the two words of a pair
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,13 +49,14 @@ def block_features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     number = numbers.setdefault
     rows = [[number(w, len(numbers)) for w in WORD.findall(t.lower())] for t in texts]
     sizes = np.array([len(r) for r in rows], dtype=np.int64)
-    flat = np.fromiter((w for r in rows for w in r), dtype=np.int64, count=int(sizes.sum()))
+    flat = np.fromiter((w for r in rows for w in r), dtype=np.int32, count=int(sizes.sum()))
+    del rows
     if not len(flat):
         return
     own, stems = word_hashes(list(numbers))
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     shift = np.uint64(64 - BITS)
-    place = lambda h: (h * MIX >> shift).astype(np.int64)
+    place = lambda h: (h * MIX >> shift).astype(np.int32)
     yield doc, place(own)[flat]
     yield doc, place(stems)[flat]
     hashes = own[flat]
@@ -72,7 +73,7 @@ def feature_sets(texts: list[str]) -> list[np.ndarray]:
         cuts = np.searchsorted(doc, np.arange(1, len(texts)))
         for held, own in zip(parts, np.split(place, cuts)):
             held.append(own)
-    return [np.unique(np.concatenate(p)) if p else np.zeros(0, np.int64) for p in parts]
+    return [np.unique(np.concatenate(p)) if p else np.zeros(0, np.int32) for p in parts]
 
 
 @dataclass
@@ -90,7 +91,7 @@ class Model:
         hits = []
         for doc, place in block_features(texts):
             known = dense[place] != 0
-            hits.append(doc[known] << BITS | place[known])
+            hits.append(doc[known].astype(np.int64) << BITS | place[known])
         pairs = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
         total = np.bincount(pairs >> BITS, weights=dense[pairs & ((1 << BITS) - 1)], minlength=len(texts))
         with np.errstate(over="ignore"):
@@ -153,7 +154,7 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
-            sets = [s.astype(np.int32) for s in feature_sets(texts_of(block))]
+            sets = feature_sets(texts_of(block))
             yield pa.RecordBatch.from_arrays(
                 [block.column("at"), block.column("label"), pa.array(sets, pa.list_(pa.int32()))], ["at", "label", "places"]
             )
@@ -166,7 +167,7 @@ def train(
     made = made.take(pc.sort_indices(made, sort_keys=[("at", "ascending"), ("label", "ascending")]))
     labels = made.column("label").to_pylist()
     lists = made.column("places").combine_chunks()
-    return fit([(lists[i].values.to_numpy().astype(np.int64), int(y > 0)) for i, y in enumerate(labels)])
+    return fit([(lists[i].values.to_numpy(), int(y > 0)) for i, y in enumerate(labels)])
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
