@@ -172,7 +172,7 @@ def classify(report: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
         (F.greatest("abs_pearson", "abs_spearman") >= limits.min_abs_corr)
         | (F.col("auc_lift") >= limits.min_auc_lift)
         | (F.abs("positive_rate_lift") >= limits.min_positive_rate_lift)
-        | (F.col("ap_lift") > 0)
+        | (F.round("ap_lift", 12) > 0)  # not by the order of summing
     )
     sparse = F.col("nonzero_rate") < limits.min_nonzero_rate
     # The statuses and their reasons.

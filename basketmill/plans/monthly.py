@@ -63,14 +63,25 @@ def month_dataset(
     return training.downsample_negatives(rows, params.negative_ratio, params.seed)
 
 
+def read_once(tx: DataFrame) -> DataFrame:
+    """The log's typed columns in the run's own folder: a run over several months reads the
+    log itself once, and each month this narrow copy, in which Parquet's statistics skip what
+    lies outside a month's window wherever the log is kept in order of time."""
+    return stored(tx, "log")
+
+
 def train_frame(
     tx: DataFrame,
     months: tuple[str, ...],
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
     first_seed: int = TRAIN_SEED,
+    copied: bool = False,
 ) -> DataFrame:
-    """All train months, each sampled with its own seed; an error if there are no rows."""
+    """All train months, each sampled with its own seed; an error if there are no rows.
+
+    ``copied`` tells that ``tx`` is already a run's copy of the log."""
+    tx = tx if copied else read_once(tx)
     parts = [
         month_dataset(tx, month, items, replace(params, seed=first_seed + i * SEED_STEP))
         for i, month in enumerate(months)
@@ -175,7 +186,8 @@ def run(
     and lists are then compared with it, and the universe ``truth`` means its users.
     ``evaluate_test`` evaluates the test month from the log, as validation does.
     """
-    train = train_frame(tx, months.train, items, params)
+    tx = read_once(tx)
+    train = train_frame(tx, months.train, items, params, copied=True)
     validation = full_month(tx, months.validation, items, params, params.max_validation_users)
     fitted = scorer.fit(train, validation)
     report, _ = evaluate_month(

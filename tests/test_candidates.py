@@ -282,6 +282,29 @@ def test_a_run_stores_six_tables_and_deletes_them(spark, log, catalogue):
     assert not os.path.exists(path)
 
 
+def test_a_run_reads_the_log_once(spark, log, catalogue):
+    from workload.queries import CountScorer
+
+    from basketmill.config import RunParams, SplitMonths
+    from basketmill.plans import monthly
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = random_rows()
+    tx = log(rows)
+    tx = tx.mapInArrow(counted, tx.schema)
+    months = SplitMonths(("2025-03", "2025-04"), "2025-05", "2025-06")
+    with run_scope(spark):
+        result = monthly.run(tx, months, CountScorer(), catalogue(ITEMS), RunParams(candidates=PARAMS))
+        assert result.lists.count() > 4 and result.validation_report.count() == 1
+    assert read.value == len(rows)
+
+
 def test_a_train_cap_leaves_recommendations_whole(spark, log, catalogue):
     from workload.queries import CountScorer
 

@@ -933,7 +933,7 @@ SELECT *, auc_directionless - 0.5 AS auc_lift, abs(pearson) AS abs_pearson,
   abs(spearman) AS abs_spearman, average_precision - global_positive_rate AS ap_lift FROM stats""",
     "verdicts": """
 SELECT *, greatest(abs_pearson, abs_spearman) >= 0.01 OR auc_lift >= 0.01
-  OR abs(positive_rate_lift) >= 0.005 OR ap_lift > 0 AS signal FROM lifts""",
+  OR abs(positive_rate_lift) >= 0.005 OR round(ap_lift, 12) > 0 AS signal FROM lifts""",
     "report": """
 SELECT *, CASE WHEN unique_values <= 1 THEN 'constant' WHEN nonzero_rate = 0 THEN 'all_zero'
   WHEN signal AND nonzero_rate < 0.001 THEN 'usable_sparse' WHEN signal THEN 'usable'

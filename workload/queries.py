@@ -556,8 +556,8 @@ def _gradients(step: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def m05_normal_equations(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every feature, the correlation-like product with the residuals of least squares on
-    the rows it was fitted on: zero, as it has a part in the fit."""
+    """Of every feature, whether its product with the residuals of least squares on the rows it
+    was fitted on is zero (against the lengths of feature and label), as of the best fit."""
     rows = stored(month_rows(spark, sf, TRAIN[1]), "normal-equations")
     fitted = M.make_scorer("linear_regression").fit(rows).score(rows)
     off = F.col(D.LABEL).cast("double") - F.col("score")
@@ -566,7 +566,7 @@ def m05_normal_equations(spark: SparkSession, sf: str) -> DataFrame:
             (
                 F.sum(F.col(f).cast("double") * F.col("_off"))
                 / F.greatest(
-                    F.sqrt(F.sum(F.col(f).cast("double") ** 2) * F.sum(F.col("_off") ** 2)),
+                    F.sqrt(F.sum(F.col(f).cast("double") ** 2) * F.sum(F.col(D.LABEL).cast("double"))),
                     F.lit(1e-9),
                 )
             ).alias(f)
