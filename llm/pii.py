@@ -36,7 +36,7 @@ SAMPLE_DOCS = 6000  # bound of the sample of documents that training windows com
 WINDOWS_PER_DOC = 8
 AROUND = 8
 BUCKETS = 4096
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 DOMAIN = re.compile(rb"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,23 +122,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- features -----------------------------------------------------------------------------
 
 CLASSES = str.maketrans(
-    {chr(c): "x" for c in range(97, 123)} | {chr(c): "X" for c in range(65, 91)} | {chr(c): "d" for c in range(48, 58)}
+    {chr(c): "x" for c in range(97, 123)}
+    | {chr(c): "X" for c in range(65, 91)}
+    | {chr(c): "d" for c in range(48, 58)}
+    | {chr(c): "x" for c in range(128, 0x250) if chr(c).isalpha()}
 )
 RUN = re.compile(r"([xXd])\1+")
 WORD = re.compile(r"\S+")
+SHAPE_CHARS = 64
 
 
-def features(word: str) -> tuple[int, int, int]:
-    """Buckets of a word's shape with runs as one, of its first twelve classes, and of its
-    number of digits, marked characters included."""
-    shape = word[:64].translate(CLASSES)
+def shape_of(word: str) -> str:
+    """The classes of a word's first characters; features depend on nothing else."""
+    return word[:SHAPE_CHARS].translate(CLASSES)
+
+
+def shape_features(shape: str) -> tuple[int, int, int]:
+    """Buckets of a shape with runs as one, of its first twelve classes, and of its number of
+    digits with marked characters."""
     if not shape.isascii():
         shape = "".join(c if c.isascii() else "x" for c in shape)
-    digits = sum(map(word.count, "0123456789"))
-    facts = (RUN.sub(r"\1", shape), shape[:12], f"{min(digits, 20)}{'@' in word}{'+' in word}")
+    facts = (RUN.sub(r"\1", shape), shape[:12], f"{min(shape.count('d'), 20)}{'@' in shape}{'+' in shape}")
     return tuple(zlib.crc32(f"{i}{fact}".encode()) % BUCKETS for i, fact in enumerate(facts))
 
 
+def features(word: str) -> tuple[int, int, int]:
+    return shape_features(shape_of(word))
+
+
 @dataclass
 class Model:
     """Weights by place (word before, word itself, word after), feature bucket and label."""
@@ -305,12 +316,15 @@ def decode(model: Model, docs: list[list[str]], cells: int = 1 << 20) -> list[di
     """Of each document (its words), the places whose label is not "none", and the label."""
     numbers: dict[str, int] = {}
     number = numbers.setdefault
-    flat = np.fromiter((number(w, len(numbers)) for d in docs for w in d), dtype=np.int64)
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    words = np.fromiter((number(w, len(numbers)) for d in docs for w in d), np.int32, int(sizes.sum()))
     out: list[dict[int, int]] = [{} for _ in docs]
-    if not len(flat):
+    if not len(words):
         return out
-    after, own, before = model.emissions(np.array([features(w) for w in numbers]))
+    shapes: dict[str, int] = {}
+    shape = shapes.setdefault
+    flat = np.fromiter((shape(shape_of(w), len(shapes)) for w in numbers), np.int32, len(numbers))[words]
+    after, own, before = model.emissions(np.array([shape_features(x) for x in shapes]))
     # A label can win at a word only if some neighbours' scores and labels let it.
     lead = own[:, :1] - own + (after[:, :1] - after).min(axis=0) + (before[:, :1] - before).min(axis=0)
     lead += (model.step[:, :1] - model.step).min(axis=0) + (model.step[:1] - model.step).min(axis=1)
