@@ -7,8 +7,8 @@ landmarks; a text's kernel values with them, whitened by the landmarks' own kern
 its coordinates, and one ridge regression per language (1 for its texts, -1 for others) gives
 scores. A batch of texts is scored by two matrix products.
 
-Training sees at most ``TRAIN_ROWS`` texts of each language, those with the smallest hashes of
-their ids; the first ``LANDMARKS`` of each are landmarks. Texts are read whole. A null text and
+Training sees at most ``TRAIN_ROWS`` texts of each of the ``LANGUAGES`` most frequent languages,
+those with the smallest hashes of their ids; the first ``LANDMARKS`` of each are landmarks. Texts are read whole. A null text and
 a text without a letter are ``und`` with score 0, as is every text where nothing could be
 learned; other scores are the softmax of the regressions. Ties go to the language that sorts first.
 """
@@ -30,6 +30,7 @@ PLACES = 1 << 13
 LONGEST = 4
 TRAIN_ROWS = 600
 LANDMARKS = 24
+LANGUAGES = 64
 RIDGE = 1e-2
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -92,35 +93,47 @@ class Model:
         return names, scores
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from languages and presence rows, in the order in which landmarks are taken."""
+def unpacked(marks: list[bytes]) -> np.ndarray:
+    """Unit rows from packed presence bits."""
+    bits = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(len(marks), PLACES // 8)
+    return unit_rows(np.unpackbits(bits, axis=1).astype(np.float32))
+
+
+def fit(rows: list[tuple[str, bytes]]) -> Model:
+    """A model from languages and packed presence bits, in the order in which landmarks are
+    taken. Only the landmarks and sums over blocks of rows are held unpacked."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return Model([], np.zeros((0, PLACES), np.float32), np.zeros((0, 0), np.float32))
-    x = unit_rows(np.array([row for _, row in rows], dtype=np.float32))
     label = np.array([languages.index(lang) for lang, _ in rows])
     marks = np.concatenate([np.flatnonzero(label == k)[:LANDMARKS] for k in range(len(languages))])
-    landmarks = x[marks]
+    landmarks = unpacked([rows[i][1] for i in marks])
     own = (landmarks @ landmarks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(own)
     good = values > 1e-6 * values[-1]
     white = vectors[:, good] / np.sqrt(values[good])
-    points = (x @ landmarks.T).astype(np.float64) @ white
-    y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Every language counts alike, however many texts it has.
     share = 1.0 / np.bincount(label)[label]
-    weighted = points * share[:, None]
-    ridge = weighted.T @ points + RIDGE * np.eye(points.shape[1])
-    weights = white @ np.linalg.solve(ridge, weighted.T @ y)
+    ridge = RIDGE * np.eye(white.shape[1])
+    target = np.zeros((white.shape[1], len(languages)))
+    for at in range(0, len(rows), BATCH):
+        own_label = label[at : at + BATCH]
+        points = (unpacked([m for _, m in rows[at : at + BATCH]]) @ landmarks.T).astype(np.float64) @ white
+        weighted = points * share[at : at + BATCH, None]
+        ridge += weighted.T @ points
+        target += weighted.T @ np.where(own_label[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    weights = white @ np.linalg.solve(ridge, target)
     return Model(languages, landmarks, weights.astype(np.float32))
 
 
 def train(df: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most ``rows`` texts of each language; rows without a language, a text
-    with letters or an id are left out."""
+    """A model from at most ``rows`` texts of each of the ``LANGUAGES`` most frequent languages;
+    rows without a language, a text with letters or an id are left out."""
     table = df.selectExpr(f"`{id_col}` id", f"`{text_col}` text", f"`{lang_col}` lang").where(
         "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"
     )
+    common = table.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    table = table.join(F.broadcast(common.select("lang")), "lang", "left_semi")
     at = F.xxhash64(F.lit(9), "id")
     order = Window.partitionBy("lang").orderBy(at, "id")
     # Spark keeps ``rows`` of each language per task before it shuffles.
@@ -142,7 +155,7 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
     made = map_batches(sample.select("lang", "place", "text"), run, "lang string, place int, marks binary, known boolean")
     table = made.where("known").drop("known").toArrow().to_pylist()
     table.sort(key=lambda r: (r["place"], r["lang"], r["marks"]))
-    return fit([(r["lang"], np.unpackbits(np.frombuffer(r["marks"], dtype=np.uint8))) for r in table])
+    return fit([(r["lang"], r["marks"]) for r in table])
 
 
 def classified(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

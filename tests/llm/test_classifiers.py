@@ -127,7 +127,7 @@ def test_batches_score_like_single_texts(corpus):
     for r in rows[:200]:
         row = np.zeros(language.PLACES, dtype=np.uint8)
         language.presence(r[1], row)
-        marked.append((r[2] or "aa", row))
+        marked.append((r[2] or "aa", np.packbits(row).tobytes()))
     model = language.fit(marked)
     texts = [r[1] for r in rows[200:300]] + TEXTS
     names, scores = model.classify(texts)
@@ -141,3 +141,10 @@ def test_training_is_bounded_by_its_parameters(spark, corpus):
     docs = spark.createDataFrame(rows, SCHEMA)
     small = language.train(docs, rows=5)
     assert small.languages == ["aa", "bb", "cc"] and len(small.landmarks) == 15
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, corpus, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows, _ = corpus
+    often = sorted({r[2] for r in rows if r[2]}, key=lambda x: (-sum(r[2] == x for r in rows), x))
+    assert language.train(spark.createDataFrame(rows, SCHEMA)).languages == sorted(often[:2])
