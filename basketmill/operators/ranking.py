@@ -49,7 +49,7 @@ def read_rekeyed(spark: SparkSession, path: str) -> DataFrame:
     """Written re-keyed lists as (user, user text, item, rank)."""
     lists = spark.read.schema(f"{USER} bigint, user_text string, items array<string>").json(path)
     return lists.select(USER, "user_text", F.posexplode("items").alias("rank", ITEM)).withColumn(
-        "rank", F.col("rank") + 1
+        "rank", (F.col("rank") + 1).cast("bigint")
     )
 
 
