@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from llm import secret_scan, simhash
+from llm import secret_scan, shingles, simhash
 from llm.queries import QUERIES, language_model, toxicity_model
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -103,6 +103,40 @@ def test_stages_on_nulls_repeats_and_no_rows(spark, save, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def edited(rng, words, changes):
+    words = list(words)
+    for i in rng.sample(range(len(words)), changes):
+        words[i] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def plain_similarity(one, two):
+    one, two = ({tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in (one, two))
+    return len(one & two) / len(one | two)
+
+
+def test_near_dedup_removes_copies_of_a_few_changed_words(spark):
+    """Also in a large group whose members are alike to their source rather than to each other."""
+    rng = random.Random(43)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (60, 100, 200, 500) for _ in range(12)]
+    texts = [w for b in bases for w in (b, edited(rng, b, 1), edited(rng, b, max(1, len(b) // 50)))]
+    texts += [edited(rng, bases[30], 3) for _ in range(60)] + [edited(rng, bases[20], 12) for _ in range(20)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t), "keep") for i, t in enumerate(texts)], "doc_id int, text string, extra string")
+    groups = smallest_reachable(range(len(texts)), lambda a, b: plain_similarity(texts[a], texts[b]) >= 0.8)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups.values()))
+    assert len(kept) < len(bases) + 25
+
+
+def test_pairs_at_the_threshold_share_a_key():
+    rng = np.random.default_rng(44)
+    pool = rng.integers(0, 1 << 64, (3000, 100), dtype=np.uint64)
+    pairs = [(np.sort(x[:90]), np.sort(x[10:])) for x in pool]
+    assert all(shingles.similarity(*p) == 0.8 for p in pairs)
+    assert np.mean([bool(set(shingles.keys(a)) & set(shingles.keys(b))) for a, b in pairs]) > 0.999
+
+
 def test_every_operator_is_registered_once():
     import __spark_entry__
 
