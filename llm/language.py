@@ -63,6 +63,10 @@ def presence(text: str | None, out: np.ndarray) -> bool:
     return found
 
 
+def has_letter(text: str | None) -> bool:
+    return any(c.isalpha() for c in text or "")
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 

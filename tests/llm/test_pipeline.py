@@ -103,6 +103,17 @@ def test_stages_on_nulls_repeats_and_no_rows(spark, save, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_language_stage_where_nothing_can_be_learned(spark):
+    """No language at all, and languages in the held-out fold only."""
+    held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    for own in (None, held_out):
+        rows = [(i, t, "en" if i == own else None, "s", 1, "x", 1, 2, 3) for i, t in enumerate([*TEXTS, *["text"] * 100])]
+        docs = spark.createDataFrame(rows, SCHEMA)
+        assert not language_model(docs).languages
+        made = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+        assert made == {r[0] for r in rows if any(c.isalpha() for c in r[1] or "")}
+
+
 def edited(rng, words, changes):
     words = list(words)
     for i in rng.sample(range(len(words)), changes):
