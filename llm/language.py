@@ -7,8 +7,11 @@ landmarks; a text's kernel values with them, whitened by the landmarks' own kern
 its coordinates, and one ridge regression per language (1 for its texts, -1 for others) gives
 scores. A batch of texts is scored by two matrix products.
 
-Training sees at most ``TRAIN_ROWS`` texts of each of the ``LANGUAGES`` most frequent languages,
-those with the smallest hashes of their ids; the first ``LANDMARKS`` of each are landmarks. Texts are read whole. A null text and
+Every language is learned. Training sees at most ``TRAIN_ROWS`` texts of each, those with the
+smallest hashes of their ids, and the first ``LANDMARKS`` of each are landmarks. Where there are
+many languages they share ``ALL_ROWS`` texts and ``ALL_LANDMARKS`` landmarks evenly, at least one
+of each a language. ``LANGUAGES`` may limit them to the most frequent ones; by default nothing
+does. Texts are read whole. A null text and
 a text without a letter are ``und`` with score 0, as is every text where nothing could be
 learned; other scores are the softmax of the regressions. Ties go to the language that sorts first.
 """
@@ -30,7 +33,9 @@ PLACES = 1 << 13
 LONGEST = 4
 TRAIN_ROWS = 600
 LANDMARKS = 24
-LANGUAGES = 64
+ALL_ROWS = 64 * TRAIN_ROWS
+ALL_LANDMARKS = 64 * LANDMARKS
+LANGUAGES: int | None = None
 RIDGE = 1e-2
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -109,8 +114,10 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return Model([], np.zeros((0, PLACES), np.float32), np.zeros((0, 0), np.float32))
-    label = np.array([languages.index(lang) for lang, _ in rows])
-    marks = np.concatenate([np.flatnonzero(label == k)[:LANDMARKS] for k in range(len(languages))])
+    number = {lang: k for k, lang in enumerate(languages)}
+    label = np.array([number[lang] for lang, _ in rows])
+    each = min(LANDMARKS, max(1, ALL_LANDMARKS // len(languages)))
+    marks = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(languages))])
     landmarks = unpacked([rows[i][1] for i in marks])
     own = (landmarks @ landmarks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(own)
@@ -131,13 +138,15 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
 
 
 def train(df: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from at most ``rows`` texts of each of the ``LANGUAGES`` most frequent languages;
+    """A model from at most ``rows`` texts of each language, ``ALL_ROWS`` in all but one of each;
     rows without a language, a text with letters or an id are left out."""
     table = df.selectExpr(f"`{id_col}` id", f"`{text_col}` text", f"`{lang_col}` lang").where(
         "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"
     )
-    common = table.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    table = table.join(F.broadcast(common.select("lang")), "lang", "left_semi")
+    if LANGUAGES is not None:
+        common = table.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+        table = table.join(F.broadcast(common.select("lang")), "lang", "left_semi")
+    rows = min(rows, max(1, ALL_ROWS // max(1, table.select("lang").distinct().count())))
     at = F.xxhash64(F.lit(9), "id")
     order = Window.partitionBy("lang").orderBy(at, "id")
     # Spark keeps ``rows`` of each language per task before it shuffles.

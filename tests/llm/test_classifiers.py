@@ -143,6 +143,28 @@ def test_training_is_bounded_by_its_parameters(spark, corpus):
     assert small.languages == ["aa", "bb", "cc"] and len(small.landmarks) == 15
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(36)
+    rows = []
+    for k in range(70):
+        parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)]
+        for _ in range(8 if k < 66 else 4):
+            text = " ".join("".join(rng.choices(parts, k=3)) for _ in range(40))
+            rows.append((len(rows), text, f"l{k:02d}", "s", 0, "x", 1, 2, 3))
+    model = language.train(spark.createDataFrame(rows, SCHEMA))
+    assert len(model.languages) == 70
+    names, _ = model.classify([r[1] for r in rows])
+    assert np.mean([n == r[2] for n, r in zip(names, rows)]) > 0.98
+    assert {n for n, r in zip(names, rows) if r[2] >= "l66"} == {"l66", "l67", "l68", "l69"}
+
+
+def test_shared_bounds_leave_every_language_a_text(spark, corpus, monkeypatch):
+    monkeypatch.setattr(language, "ALL_ROWS", 7)
+    monkeypatch.setattr(language, "ALL_LANDMARKS", 2)
+    model = language.train(spark.createDataFrame(corpus[0], SCHEMA))
+    assert model.languages == ["aa", "bb", "cc"] and len(model.landmarks) == 3
+
+
 def test_only_the_most_frequent_languages_are_learned(spark, corpus, monkeypatch):
     monkeypatch.setattr(language, "LANGUAGES", 2)
     rows, _ = corpus
