@@ -145,6 +145,27 @@ def test_split_bills_count_like_pairs(spark):
         }, limit
 
 
+def test_every_item_of_large_bills_is_an_anchor(spark, log, monkeypatch):
+    from workload import queries as Q
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(30)]), 1, f"i{rnd.randrange(60)}", Q.CUTOFF - timedelta(days=rnd.randrange(1, 9)),
+             1.0, 0.0, 1.0, 1) for _ in range(1500)]
+    monkeypatch.setattr(Q, "purchase_log", lambda *_: log(rows))
+    bills = defaultdict(set)
+    for bill, _, item, day, *_ in rows:
+        if bill is not None:
+            bills[day.date(), bill % 7].add(item)
+    shared = Counter((a, b) for items in bills.values() for a in items for b in items if a != b)
+    want = defaultdict(list)
+    for (a, b), n in shared.items():
+        want[a].append((-n, b))
+    want = {(a, b, -n) for a, best in want.items() for n, b in sorted(best)[: Q.SMALL.cobuy_top]}
+    made = Q.QUERIES["c13_cobuy_all_anchors"](spark, "").collect()
+    assert {tuple(r) for r in made} == want and len(made) == len(want)
+    assert len({a for a, _, _ in want}) == 60
+
+
 def test_window_edges(spark, log):
     def ago(**kw):
         return CUTOFF - timedelta(**kw)

@@ -210,15 +210,27 @@ def c13_cobuy_pairs(spark: SparkSession, sf: str, item: str = NAMED) -> DataFram
     return C.cobuy_pairs(ledger, C.anchors(ledger, audience))
 
 
-def c13_cobuy_large_bills(spark: SparkSession, sf: str, item: str = NAMED) -> DataFrame:
-    """Bills of a whole day and a seventh of the orders, split into chunks of 500 pairs."""
+def day_bills(spark: SparkSession, sf: str, item: str) -> DataFrame:
+    """Items of large bills: those of a whole day and a seventh of the orders."""
     lines = U.recent(purchase_log(spark, sf, item), CUTOFF, SMALL.personal_days)
     day = F.concat_ws("/", F.to_date("updated_date"), F.pmod(F.col("bill_id"), F.lit(7)))
-    bills = lines.where("bill_id IS NOT NULL").select(day.alias("bill_id"), ITEM).distinct()
+    return lines.where("bill_id IS NOT NULL").select(day.alias("bill_id"), ITEM).distinct()
+
+
+def c13_cobuy_large_bills(spark: SparkSession, sf: str, item: str = NAMED) -> DataFrame:
+    """Large bills split into chunks of 500 pairs, for three in sixteen of the items as anchors,
+    as its SQL has them; ``c13_cobuy_all_anchors`` has all."""
+    bills = day_bills(spark, sf, item)
     anchors = bills.select(ITEM).distinct().where(F.substring(F.md5(ITEM), 1, 1).isin("0", "1", "2"))
     return shared_bill_counts(bills, anchors, SMALL.cobuy_top, 500)
 
 
+def c13_cobuy_all_anchors(spark: SparkSession, sf: str, item: str = NAMED) -> DataFrame:
+    """Large bills split into chunks of 500 pairs, for every item as an anchor. It has no SQL."""
+    bills = day_bills(spark, sf, item)
+    return shared_bill_counts(bills, bills.select(ITEM).distinct(), SMALL.cobuy_top, 500)
+
+
 def candidates(
     spark: SparkSession,
     sf: str,
@@ -251,6 +263,7 @@ CANDIDATES: dict[str, Query] = _on_parts({
     "c12_anchors": _source(C.anchors),
     "c13_cobuy_pairs": c13_cobuy_pairs,
     "c13_cobuy_large_bills": c13_cobuy_large_bills,
+    "c13_cobuy_all_anchors": c13_cobuy_all_anchors,
     "c14_cobuy": _source(C.bought_together),
     "c15_candidates": candidates,
     "c15_candidates_fine": partial(candidates, item=PART, params=CandidateParams()),
