@@ -140,6 +140,17 @@ def test_near_dedup_removes_copies_of_a_few_changed_words(spark):
     assert len(kept) < len(bases) + 25
 
 
+def test_near_dedup_decides_by_row(spark):
+    """A repeated id is kept with the text that no other document has."""
+    rng = random.Random(45)
+    a, b, c = (sentence(rng, "aa", 40) for _ in range(3))
+    rows = [(5, a, "x"), (5, b, "y"), (2, a, "z"), (7, c, "q"), (7, c.upper(), "p"), (7, c, "p"), (9, c, "a")]
+    want = [(2, a, "z"), (5, b, "y"), (7, c.upper(), "p")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id int, text string, extra string")
+        assert sorted(tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+
+
 def test_pairs_at_the_threshold_share_a_key():
     rng = np.random.default_rng(44)
     pool = rng.integers(0, 1 << 64, (3000, 100), dtype=np.uint64)
