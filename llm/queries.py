@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, ctph, embeddings, language, packing, pii, secret_scan, simhash, token_counts, toxicity
+from llm import (
+    bpe,
+    ctph,
+    embeddings,
+    language,
+    packing,
+    pii,
+    secret_scan,
+    simhash,
+    spelling,
+    token_counts,
+    toxicity,
+)
 from llm.common import documents
 
 TOKEN_LIMIT = 2048
@@ -106,6 +118,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, with those at one edit counted, their forms and roots."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash,
@@ -118,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ctph,
         op9_toxicity,
         op10_language,
+        op11_spelling,
     )
 }
 ORACLE: dict[str, str] = {}
