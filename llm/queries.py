@@ -13,6 +13,7 @@ from llm import (
     ctph,
     embeddings,
     language,
+    licenses,
     packing,
     pii,
     secret_scan,
@@ -123,6 +124,21 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and expressions in every document."""
+    places = F.transform("base", lambda b: b["word"])
+    return licenses.scan(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash,
@@ -136,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_language,
         op11_spelling,
+        op12_licenses,
     )
 }
 ORACLE: dict[str, str] = {}
