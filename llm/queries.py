@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,6 +15,7 @@ from llm import (
     embeddings,
     language,
     licenses,
+    merkle,
     packing,
     pii,
     secret_scan,
@@ -139,6 +141,36 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def manifest_leaves(docs: DataFrame, tampered: Column) -> DataFrame:
+    """A leaf per document, and where ``tampered`` the one that its text in lower case gives."""
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.col("lang").alias("grouping"),
+        merkle.leaf_digest([*map(F.col, columns), F.col("text")]).alias("digest"),
+        F.when(tampered, merkle.leaf_digest([*map(F.col, columns), lower])).alias("other"),
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, and whether its text still gives the root."""
+    made = merkle.manifest(manifest_leaves(documents(spark, sf_dir), in_fold("doc_id", 3, 0)))
+    shown = merkle.folded(F.coalesce("other", "leaf"), F.col("path"))
+    return (
+        made.proofs()
+        .select(
+            F.col("id").alias("doc_id"),
+            "leaf",
+            "subroot",
+            "root",
+            merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+            shown.alias("folded_root"),
+        )
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash,
@@ -153,6 +185,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language,
         op11_spelling,
         op12_licenses,
+        op13_merkle,
     )
 }
-ORACLE: dict[str, str] = {}
+
+# CRC-32 of the decimal id, bit by bit; lists start with the value they are folded from.
+_CRC = """xor(list_reduce(
+    list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, byte: list_reduce(
+        list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+        lambda x, zero: xor(x >> 1, (x & 1) * 3988292384 + zero))), 4294967295::UBIGINT)"""
+_LOWER = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def _leaf_sql(text: str) -> str:
+    parts = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({p})::VARCHAR || ':' || {p}, '-')" for p in parts) + "))"
+
+
+ORACLE: dict[str, str] = {
+    "op13_merkle": f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql(_LOWER)} ELSE {_leaf_sql("text")} END AS shown
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER () AS row,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+        count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves
+), up AS (
+    SELECT 0 AS h, lang, i, n, leaf AS d FROM placed
+    UNION ALL
+    SELECT h + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i))
+    FROM up WHERE n > 1 GROUP BY h, lang, i // 8, n
+), tops AS (
+    SELECT lang, h AS height, d AS subroot, count(*) OVER () AS n,
+        row_number() OVER (ORDER BY coalesce('=' || lang, '')) - 1 AS i
+    FROM up WHERE n = 1
+), above AS (
+    SELECT 0 AS h, i, n, subroot AS d FROM tops
+    UNION ALL
+    SELECT h + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY h, i // 8, n
+), around AS (
+    SELECT p.row, s.h, string_agg(s.d, '' ORDER BY s.i) FILTER (s.i < p.i >> (3 * s.h)) AS l,
+        string_agg(s.d, '' ORDER BY s.i) FILTER (s.i > p.i >> (3 * s.h)) AS r
+    FROM placed p JOIN up s ON s.lang IS NOT DISTINCT FROM p.lang AND s.n > 1 AND s.i // 8 = p.i >> (3 * (s.h + 1))
+    GROUP BY p.row, s.h
+    UNION ALL
+    SELECT p.row, t.height + s.h, string_agg(s.d, '' ORDER BY s.i) FILTER (s.i < t.i >> (3 * s.h)),
+        string_agg(s.d, '' ORDER BY s.i) FILTER (s.i > t.i >> (3 * s.h))
+    FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang
+    JOIN above s ON s.n > 1 AND s.i // 8 = t.i >> (3 * (s.h + 1))
+    GROUP BY p.row, t.height + s.h
+), path AS (
+    SELECT row, h, coalesce(l, '') AS l, coalesce(r, '') AS r FROM around
+), fold AS (
+    SELECT row, 0 AS h, shown AS d FROM placed
+    UNION ALL
+    SELECT row, h + 1, sha256(l || d || r) FROM fold JOIN path USING (row, h)
+)
+SELECT doc_id, leaf, subroot, (SELECT d FROM above WHERE n = 1) AS root,
+    sha256(coalesce((SELECT string_agg(l || r, '' ORDER BY h) FROM path WHERE path.row = placed.row), '')) AS proof_sha256,
+    folded.d AS folded_root, folded.d = (SELECT d FROM above WHERE n = 1) AS verified
+FROM placed JOIN tops ON tops.lang IS NOT DISTINCT FROM placed.lang
+JOIN (SELECT row, max_by(d, h) AS d FROM fold GROUP BY row) folded USING (row)
+""",
+}
