@@ -70,13 +70,22 @@ def code_points(data: bytes, text: str, spans: list[tuple[str, int, int]]) -> li
     return [(kind, place[start], place[end]) for kind, start, end in spans]
 
 
-def sample_by_hash(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """The rows with the ``rows`` smallest hashes of ``key``: a bounded sample that does not
-    depend on the order of rows. Only keys are sorted; they are broadcast, as they are
-    ``rows`` at most. Rows that share a key come together; a null key is never taken."""
+def one_row_each(df: DataFrame, keys: DataFrame, by: list[str], text: str) -> DataFrame:
+    """The rows of ``df`` whose ``by`` are in ``keys``, one per key: that whose ``text`` has the
+    smallest hash. ``keys`` is unique on ``by`` and of bounded size, so it is broadcast; rows that
+    repeat a key are cut to one in each task, so the result is as bounded as the keys."""
+    marked = df.withColumn("_mark", F.xxhash64(text)).join(F.broadcast(keys), by)
+    first = marked.groupBy(*by).agg(F.min("_mark").alias("_mark"))
+    return marked.join(F.broadcast(first), [*by, "_mark"], "left_semi").dropDuplicates(by).drop("_mark")
+
+
+def sample_by_hash(df: DataFrame, rows: int, key: str, text: str) -> DataFrame:
+    """A row for each of the ``rows`` smallest hashes of ``key``: a sample of bounded size that does
+    not depend on the order of rows. Of rows that share a key the one whose ``text`` has
+    the smallest hash is taken; a null key never is."""
     keys = df.where(F.col(key).isNotNull()).select(key).distinct()
     keys = keys.orderBy(F.xxhash64(F.lit(7), key), key).limit(rows)
-    return df.join(F.broadcast(keys), key, "left_semi")
+    return one_row_each(df, keys, [key], text)
 
 
 def span_digest(spans: list[tuple[str, int, int]]) -> tuple[str, str]:

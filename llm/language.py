@@ -14,6 +14,11 @@ of each a language. ``LANGUAGES`` may limit them to the most frequent ones; by d
 does. Texts are read whole. A null text and
 a text without a letter are ``und`` with score 0, as is every text where nothing could be
 learned; other scores are the softmax of the regressions. Ties go to the language that sorts first.
+Rows that repeat are classified each, null ids too.
+
+As a filter the model accepts a text whose language it is asked to keep, if the score is at least
+``SURE`` times what chance gives. A text in no learned language shares few n-grams with any
+landmark and scores hardly more than that. Where nothing was learned, letters decide.
 """
 
 from __future__ import annotations
@@ -24,10 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import map_batches
+from basketmill.functions.relational import smallest_hashes
+from llm.common import map_batches, one_row_each, stored
 
 PLACES = 1 << 13
 LONGEST = 4
@@ -38,6 +44,7 @@ ALL_LANDMARKS = 64 * LANDMARKS
 LANGUAGES: int | None = None
 RIDGE = 1e-2
 SHARPNESS = 4.0
+SURE = 1.3
 UNKNOWN = "und"
 BATCH = 256
 CHUNK = 1 << 20
@@ -101,6 +108,16 @@ class Model:
             scores[at : at + len(part)] = np.where(known, share[np.arange(len(part)), best], 0.0)
         return names, scores
 
+    def accepts(self, texts: list[str | None], keep: set[str] | None = None, sure: float = SURE) -> list[bool]:
+        """Which texts are in one of the languages to ``keep`` (None: in any learned one)."""
+        if not self.languages:
+            return [has_letter(t) for t in texts]
+        least = min(1.0, sure / len(self.languages)) if len(self.languages) > 1 else 0.0
+        return [
+            name != UNKNOWN and score >= least and (keep is None or name in keep)
+            for name, score in zip(*self.classify(texts))
+        ]
+
 
 def unpacked(marks: list[bytes]) -> np.ndarray:
     """Unit rows from packed presence bits."""
@@ -137,21 +154,27 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     return Model(languages, landmarks, weights.astype(np.float32))
 
 
+def order_of(key: str) -> Column:
+    """A reproducible random order of keys, as 16 hex digits."""
+    return F.lower(F.lpad(F.hex(F.xxhash64(F.lit(9), key)), 16, "0"))
+
+
 def train(df: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from at most ``rows`` texts of each language, ``ALL_ROWS`` in all but one of each;
-    rows without a language, a text with letters or an id are left out."""
+    rows without a language, a text with letters or an id are left out. Of rows that share
+    id and language the one whose text has the smallest hash is taken."""
     table = df.selectExpr(f"`{id_col}` id", f"`{text_col}` text", f"`{lang_col}` lang").where(
         "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"
     )
     if LANGUAGES is not None:
         common = table.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
         table = table.join(F.broadcast(common.select("lang")), "lang", "left_semi")
-    rows = min(rows, max(1, ALL_ROWS // max(1, table.select("lang").distinct().count())))
-    at = F.xxhash64(F.lit(9), "id")
-    order = Window.partitionBy("lang").orderBy(at, "id")
-    # Spark keeps ``rows`` of each language per task before it shuffles.
-    picked = table.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
-    sample = table.join(F.broadcast(picked.select("id", "lang", "place").distinct()), ["id", "lang"])
+    pairs = stored(table.select("id", "lang").distinct().withColumn("at", order_of("id")), "language-pairs")
+    languages = pairs.select("lang").distinct()
+    quota = languages.withColumn("quota", F.lit(min(rows, max(1, ALL_ROWS // max(1, languages.count())))))
+    # Exactly the smallest hashes of each language, found by counts of buckets of hashes.
+    picked = stored(smallest_hashes(pairs, F.col("at"), quota, ["lang"]), "language-picked")
+    sample = one_row_each(table, picked, ["id", "lang"], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,13 +184,13 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
                 known.append(presence(text, row))
                 marks.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("place"), pa.array(marks, pa.binary()), pa.array(known)],
-                ["lang", "place", "marks", "known"],
+                [batch.column("lang"), batch.column("at"), pa.array(marks, pa.binary()), pa.array(known)],
+                ["lang", "at", "marks", "known"],
             )
 
-    made = map_batches(sample.select("lang", "place", "text"), run, "lang string, place int, marks binary, known boolean")
+    made = map_batches(sample.select("lang", "at", "text"), run, "lang string, at string, marks binary, known boolean")
     table = made.where("known").drop("known").toArrow().to_pylist()
-    table.sort(key=lambda r: (r["place"], r["lang"], r["marks"]))
+    table.sort(key=lambda r: (r["at"], r["lang"], r["marks"]))
     return fit([(r["lang"], r["marks"]) for r in table])
 
 

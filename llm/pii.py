@@ -13,11 +13,13 @@ whatever stands beside it splits the sequence; the runs between such words are d
 together, padded by length.
 
 A null text is empty and has no spans. Offsets are code points, end exclusive. Other columns
-are ignored. With no documents the model is trained on the fixed list alone.
+are ignored. With no documents the model is trained on the fixed list alone. Rows that repeat
+are scanned each, null ids too; of rows that share an id one may be in the sample.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,9 @@ BASE = ("email", "ip", "card", "phone")
 LABELS = ("none", *BASE)
 KINDS = (*BASE, *(f"crf_{k}" for k in BASE))
 SAMPLE_DOCS = 6000  # bound of the sample of documents that training windows come from
-WINDOWS_PER_DOC = 8
+WINDOWS_PER_DOC = 8  # of them around personal data, at most
+WINDOWS = 3000  # bound of the windows with personal data, and of those without
+LEAST_PLAIN = 1000
 AROUND = 8
 BUCKETS = 4096
 BLOCK_BYTES = 8 << 20
@@ -46,22 +50,23 @@ CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
 
-#: Labelled spellings that the base rules miss: ``{kind|text}`` marks a span.
+#: Labelled spellings that the base rules miss: ``{kind|text}`` marks a span. ``#`` stands for a
+#: digit and ``~`` for a number up to 255, which a seeded generator fills in.
 FORMATS = (
-    "call {phone|(017) 555-7713} today",
-    "phone {phone|017-555-7713} or write",
-    "tel {phone|017 555 7713} please",
-    "fax: {phone|(407) 555-7710} and more",
-    "ring {phone|407.555.7710} now",
-    "at {phone|1 (504) 555-2652} we are",
-    "card {card|4952 9359 0025 3052} was paid",
-    "number {card|5927-2430-7427-3351} is valid",
-    "with {card|4225039295678253} as given",
-    "mail {email|anna.72[at]example.com} for it",
+    "call {phone|(###) ###-####} today",
+    "phone {phone|###-###-####} or write",
+    "tel {phone|### ### ####} please",
+    "fax: {phone|(###) ###-####} and more",
+    "ring {phone|###.###.####} now",
+    "at {phone|# (###) ###-####} we are",
+    "card {card|#### #### #### ####} was paid",
+    "number {card|####-####-####-####} is valid",
+    "with {card|################} as given",
+    "mail {email|anna.##[at]example.com} for it",
     "write to {email|tom@mailhost} soon",
     "from {email|ben(at)example.org} we heard",
-    "host {ip|169.122.221.182:8080} is down",
-    "server {ip|[10.4.0.7]} answers",
+    "host {ip|~.~.~.~:####} is down",
+    "server {ip|[~.~.~.~]} answers",
     "page 12 of 40 in 2019",
     "in 1998 there were 250 of them",
     "price 19.99 and 5.50 in all",
@@ -129,12 +134,11 @@ CLASSES = str.maketrans(
 )
 RUN = re.compile(r"([xXd])\1+")
 WORD = re.compile(r"\S+")
-SHAPE_CHARS = 64
 
 
 def shape_of(word: str) -> str:
-    """The classes of a word's first characters; features depend on nothing else."""
-    return word[:SHAPE_CHARS].translate(CLASSES)
+    """The classes of a word's characters; features depend on nothing else."""
+    return word.translate(CLASSES)
 
 
 def shape_features(shape: str) -> tuple[int, int, int]:
@@ -240,53 +244,82 @@ def labelled(words: list[tuple[int, int]], spans: list[tuple[str, int, int]]) ->
     return out
 
 
-def formats() -> list[tuple[list[str], list[int]]]:
-    """``FORMATS`` as words and labels."""
+def filled(kind: str, body: str, rng: random.Random) -> str:
+    """``body`` with digits and numbers; a card's last digit is its check digit."""
+    body = re.sub("~", lambda m: str(rng.randrange(256)), re.sub("#", lambda m: str(rng.randrange(10)), body))
+    if kind == "card":
+        body = next(x for x in (body[:-1] + str(d) for d in range(10)) if luhn(x.encode().translate(None, NOT_DIGIT)))
+    return body
+
+
+def formats(copies: int = 1, seed: int = 11) -> list[tuple[list[str], list[int]]]:
+    """``FORMATS`` as words and labels, each ``copies`` times with other digits."""
+    rng = random.Random(seed)
     out = []
-    for line in FORMATS:
+    for line in FORMATS * copies:
         words, labels = [], []
         for part in re.split(r"(\{\w+\|[^}]*\})", line):
             kind, _, body = part.strip("{}").partition("|") if part.startswith("{") else ("none", "", part)
+            body = filled(kind, body, rng)
             words += body.split()
             labels += [LABELS.index(kind)] * len(body.split())
         out.append((words, labels))
     return out
 
 
-def training_windows(df: DataFrame, id_col: str, text_col: str, docs: int) -> list[tuple[list[str], list[int]]]:
-    """Windows around base spans, and one from the start, of at most ``docs`` documents and
-    ``WINDOWS_PER_DOC`` windows each: the labelled table has a fixed bound."""
+Window = tuple[list[tuple], list[int]]  # features and labels of its words
+
+
+def training_windows(df: DataFrame, id_col: str, text_col: str, docs: int, per_doc: int) -> list[Window]:
+    """Windows of at most ``docs`` documents, by the hashes of their words: around base spans,
+    ``per_doc`` of them at most, and one at a place that the text's own hash names. Only features
+    and labels leave the tasks, so the size of what is collected is bounded, however long words are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, labels = [], []
+            order, rows, labels = [], [], []
             for text in texts_of(batch):
                 places = [(m.start(), m.end()) for m in WORD.finditer(text)]
+                if not places:
+                    continue
                 own = labelled(places, base_spans(text))
                 marked = [i for i, y in enumerate(own) if y and (i == 0 or own[i - 1] != y)]
-                for i in [0, *marked[: WINDOWS_PER_DOC - 1]]:
+                marked.sort(key=lambda i: zlib.crc32(b"%d" % i))
+                anywhere = zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(places)
+                for i in [anywhere, *marked[:per_doc]]:
                     low, high = max(0, i - AROUND), i + AROUND + 4
-                    if own[low:high]:
-                        words.append([text[a:b][:64] for a, b in places[low:high]])
-                        labels.append(own[low:high])
+                    words = [text[a:b] for a, b in places[low:high]]
+                    order.append(zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass")))
+                    rows.append([bucket for w in words for bucket in features(w)])
+                    labels.append(own[low:high])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.int32()))], ["words", "labels"]
+                [pa.array(order, pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.int32()))],
+                ["order", "rows", "labels"],
             )
 
-    sample = sample_by_hash(df.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), docs, "id")
-    table = map_batches(sample.select("text"), run, "words array<string>, labels array<int>").toArrow()
-    return sorted(zip(table.column("words").to_pylist(), table.column("labels").to_pylist()))
-
-
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = SAMPLE_DOCS) -> Model:
-    """A model from a bounded sample of documents and the fixed list, which counts tenfold.
-    Of windows without personal data as many are used as there are others, 1,000 at least."""
-    windows = training_windows(df, id_col, text_col, docs)
-    having = [w for w in windows if any(w[1])]
-    plain = [w for w in windows if not any(w[1])][: max(1000, len(having))]
+    sample = sample_by_hash(df.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), docs, "id", "text")
+    table = map_batches(sample.select("text"), run, "order bigint, rows array<int>, labels array<int>").toArrow()
+    found = sorted(zip(*(table.column(c).to_pylist() for c in ("order", "rows", "labels"))))
+    return [(list(zip(rows[::3], rows[1::3], rows[2::3])), labels) for _, rows, labels in found]
+
+
+def train(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    docs: int = SAMPLE_DOCS,
+    per_doc: int = WINDOWS_PER_DOC,
+    windows: int = WINDOWS,
+) -> Model:
+    """A model from windows of a bounded sample of documents and the fixed list, ten times with
+    other digits. Of windows with personal data and of those without, the ``windows`` with the
+    smallest hashes are used; of the latter no more than of the former, or ``LEAST_PLAIN``."""
+    found = training_windows(df, id_col, text_col, docs, per_doc)
+    having = [w for w in found if any(w[1])][:windows]
+    plain = [w for w in found if not any(w[1])][: min(windows, max(LEAST_PLAIN, len(having)))]
     known: dict[str, tuple] = {}
-    rows = having[:3000] + plain[:3000] + formats() * 10
-    return fit([([known.setdefault(w, features(w)) for w in words], labels) for words, labels in rows])
+    fixed = [([known.setdefault(w, features(w)) for w in words], labels) for words, labels in formats(10)]
+    return fit(having + plain + fixed)
 
 
 # ---- decoding -----------------------------------------------------------------------------

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import blocks, map_batches, texts_of
+from llm.common import blocks, map_batches, one_row_each, texts_of
 
 BITS = 20
 TRAIN_ROWS = 8000
@@ -145,12 +145,12 @@ def train(
     label_col: str = "toxic",
 ) -> Model:
     """A model from the ``rows`` labelled ids with the smallest hashes; only they are broadcast.
-    Null labels and ids are left out, the largest label of an id counts, and labels without a
-    text teach nothing."""
+    Null labels and ids are left out, the largest label of an id counts, labels without a text
+    teach nothing, and of rows that share an id the text with the smallest hash teaches."""
     known = labels.selectExpr(f"`{id_col}` id", f"int(`{label_col}`) label").dropna()
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     picked = known.withColumn("at", F.xxhash64(F.lit(8), "id")).orderBy("at", "id").limit(rows)
-    sample = docs.selectExpr(f"`{id_col}` id", f"`{text_col}` text").join(F.broadcast(picked), "id")
+    sample = one_row_each(docs.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), picked, ["id"], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
