@@ -4,14 +4,13 @@
 DataFrame; ``run`` writes each result as Parquet to the shared folder and reads it back as the
 next stage's ``docs``. All stages but the last return the columns of ``docs``, extra ones included.
 
-* ``language`` keeps the documents that get a language (not ``und``): those with text and letters,
-  whichever language it is. Where no language can be learned (no document outside the held-out
-  fold has one) it keeps the same documents.
+* ``language`` keeps the documents that the language model accepts: those whose language is to be
+  kept (by default any learned one) with a score that is surer than chance. Texts that are null
+  or without a letter always go; where no language can be learned only they do.
 * ``toxicity`` keeps the documents that score below the threshold.
-* ``near_dedup`` keeps one document of each component of near copies (five-word shingles, Jaccard
-  similarity of 0.8 or more, see ``llm.shingles``): that with the smallest id. Rows count one
-  by one, also those that repeat an id: if their texts differ, several may stay. Documents without an id are kept, as nothing
-  can name them.
+* ``near_dedup`` keeps one row of each component of SimHash fingerprints within two bits: that with
+  the smallest id, then the smallest digest of its text, then the smallest text and other columns.
+  Rows count one by one, also those that repeat an id; rows without an id come after all others.
 * ``secrets`` keeps all documents and replaces every secret in their texts by a label; ``n_chars``
   follows where a text changes. Null texts stay null.
 * ``packing`` returns pieces in sequences of 1,024 tokens with their ids.
@@ -25,31 +24,29 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm import packing, secret_scan, shingles
+from llm import packing, secret_scan, simhash
 from llm.common import blocks, documents, map_batches, stored
-from llm.language import UNKNOWN, has_letter
+from llm.language import SURE
 from llm.queries import TOXIC, language_model, toxicity_model
 from llm.toxicity import BLOCK_BYTES
 
 #: Columns that near_dedup adds for a while.
-ROW, PLACE = "_near_dedup_digest", "_near_dedup_place"
+ROW, PLACE = "_near_dedup_row", "_near_dedup_place"
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that get a language by a model learned from ``docs``; where nothing could be
-    learned only texts that are null or without a letter go."""
+def language(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, keep: set[str] | None = None, sure: float = SURE
+) -> DataFrame:
+    """Documents that a model learned from ``docs`` accepts as one of the languages to ``keep``
+    (None: of all learned), with a score of at least ``sure`` times what chance gives."""
     model = language_model(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if model.languages:
-                kept = [n != UNKNOWN for n in model.classify(texts)[0]]
-            else:
-                kept = [has_letter(t) for t in texts]
+            kept = model.accepts(batch.column("text").to_pylist(), keep, sure)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
@@ -67,19 +64,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return map_batches(docs, run, docs.schema)
 
 
+def row_key() -> Column:
+    """Sorts rows by id, null last, and then by a digest of the text; equal only where both are."""
+    place = F.lpad(F.hex(F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    text = F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))
+    return F.concat(F.coalesce(place, F.lit("~")), F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: of those with the smallest id the one whose
-    text has the smallest digest, then the smallest text and other columns."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = shingles.near_copies(named)
-    first = found.groupBy("group").agg(F.min(F.struct("id", "fp")).alias("first"))
-    kept = first.select(F.col("first.id").alias("doc_id"), F.col("first.fp").alias(ROW))
-    # Rows of one id and digest differ in case, white space or other columns at most.
+    """One row of each component of near-duplicate fingerprints: that with the smallest key."""
+    keyed = docs.withColumn(ROW, row_key())
+    found = simhash.near_duplicates(keyed, ROW)
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id").alias(ROW)).distinct()
+    # Rows of one id and text differ in other columns at most; a task passes on one of each.
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id", ROW).orderBy("text", F.to_json(F.struct(*others)) if others else "text")
-    rows = shingles.with_digest(named, ROW).join(kept, ["doc_id", ROW], "left_semi")
-    rows = rows.withColumn(PLACE, F.row_number().over(order)).where(F.col(PLACE) == 1)
-    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    order = Window.partitionBy(ROW).orderBy(F.to_json(F.struct(*others)) if others else ROW)
+    rows = keyed.withColumn(PLACE, F.row_number().over(order)).where(F.col(PLACE) == 1)
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Tokenizers, trained models and shingle hashes are beyond SQL; tests hold the stages against brute force.
+#: Tokenizers, trained models and fingerprints are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
