@@ -850,6 +850,69 @@ ORACLE |= {
         "m05_linear_scores",
     )
 }
+# Each feature's best first split, by sums over its values in order.
+PULLED_ZERO = """
+SELECT *, sum(label) OVER (PARTITION BY customer_id) AS bought,
+  sum(1 - label) OVER (PARTITION BY customer_id) AS not_bought FROM full_rows"""
+
+
+def root_splits(grad: str, hess: str, rows: str, child_weight: float, child_rows: int) -> str:
+    long = "\nUNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS FLOAT) AS value, {grad} AS g, {hess} AS h FROM graded" for f in FEATURES
+    )
+    return with_(
+        {
+            **month_rows(VALIDATION, 42),
+            "pulled": PULLED_ZERO,
+            "graded": f"SELECT * FROM pulled WHERE {rows}",
+            "picked": """
+SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('7|' || customer_id || '|' || item_id)) AS turn
+  FROM full_rows) WHERE turn <= 32768""",
+            "sample": "\nUNION ALL ".join(
+                f"SELECT '{f}' AS feature, CAST({f} AS FLOAT) AS value FROM picked" for f in FEATURES
+            ),
+            "spread": """
+SELECT feature, count(*) AS n, count(DISTINCT value) AS kinds, max(value) AS top FROM sample GROUP BY feature""",
+            "cuts": """
+SELECT DISTINCT s.feature, s.value AS cut FROM (
+  SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS pos FROM sample) s
+JOIN spread USING (feature)
+WHERE s.value < top AND (kinds <= 256 OR pos IN (SELECT i * n // 256 FROM range(1, 256) r(i)))""",
+            "long": long,
+            "binned": """
+SELECT l.feature, c.cut, count(*) AS n, sum(g) AS g, sum(h) AS h
+FROM long l ASOF LEFT JOIN cuts c ON l.feature = c.feature AND l.value <= c.cut GROUP BY l.feature, c.cut""",
+            "sides": """
+SELECT feature, cut, sum(n) OVER up AS nl, sum(g) OVER up AS gl, sum(h) OVER up AS hl,
+  sum(n) OVER whole AS n, sum(g) OVER whole AS g, sum(h) OVER whole AS h FROM binned
+WINDOW up AS (PARTITION BY feature ORDER BY cut NULLS LAST), whole AS (PARTITION BY feature)""",
+            "gained": f"""
+SELECT feature, cut, nl, gl * gl / (hl + 2.0) + (g - gl) * (g - gl) / (h - hl + 2.0) - g * g / (h + 2.0) AS gain
+FROM sides WHERE cut IS NOT NULL AND nl >= {child_rows} AND n - nl >= {child_rows}
+  AND hl >= {child_weight} AND h - hl >= {child_weight}""",
+        },
+        """SELECT feature, round(CAST(cut AS DOUBLE), 3) AS upto, CAST(nl AS BIGINT) AS left_rows, round(gain, 6) AS gain
+FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, cut) AS place FROM gained)
+WHERE place = 1 AND gain > 1e-6""",
+    )
+
+
+LOGISTIC = (
+    "CAST((CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END) * (0.5 - label) AS DOUBLE)",
+    "CAST((CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END) * 0.25 AS DOUBLE)",
+    "true",
+)
+PAIRWISE = (
+    "CAST(CASE WHEN label = 1 THEN -0.5 * not_bought ELSE 0.5 * bought END AS DOUBLE)",
+    "CAST(CASE WHEN label = 1 THEN 0.25 * not_bought ELSE 0.25 * bought END AS DOUBLE)",
+    "bought > 0 AND not_bought > 0",
+)
+ORACLE |= {
+    "m01_root_splits": root_splits(*LOGISTIC, 10.0, 1),
+    "m01_wide_root_splits": root_splits(*LOGISTIC, 0.001, 40),
+    "m03_root_splits": root_splits(*PAIRWISE, 10.0, 1),
+}
+
 ORACLE |= {
     "m01_gradients": with_(
         {**LAB, "p": "SELECT *, 1 / (1 + exp(-score)) AS p FROM lab"},

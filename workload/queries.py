@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from basketmill.config import (
 )
 from basketmill.functions.time import month_window, previous_months
 from basketmill.operators import association as A
+from basketmill.operators import boosting as B
 from basketmill.operators import candidates as C
 from basketmill.operators import compare as Q8
 from basketmill.operators import features as Fe
@@ -568,6 +570,32 @@ def _gradients(step: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
+def _root_splits(step: Callable[[DataFrame], DataFrame], params: M.TreeParams) -> Query:
+    """The best first split of every feature over a whole month, from margins of zero: the limit
+    up to which rows go left, how many do, and the gain. Features that gain nothing are left out."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = monthly.full_month(purchase_log(spark, sf), VALIDATION, catalogue(spark, sf), RUN)
+        cuts = B.cuts_for(rows)
+        placed = stored(B.binned(rows, cuts), "root-rows")
+        data = placed.select(USER, ITEM, B.CODES).join(step(placed), [USER, ITEM])
+        sums = B.passes(data, ROOT_SCALE)(B.Shape(), [0])[0]
+        size = B.GrowParams(params.depth, params.leaves, params.child_weight, params.child_rows, params.l2)
+        found = []
+        for f, name in enumerate(FEATURES):
+            split = B.best_split(sums, np.array([f]), ROOT_SCALE, size)
+            if split:
+                found.append((name, float(cuts[f][split.code]), split.left[2], split.gain))
+        made = spark.createDataFrame(found, "feature string, upto double, left_rows bigint, gain double")
+        return made.select("feature", F.round("upto", 3).alias("upto"), "left_rows", F.round("gain", 6).alias("gain"))
+
+    return query
+
+
+# At margins of zero gradients are multiples of a quarter.
+ROOT_SCALE = 4.0
+
+
 def m05_normal_equations(spark: SparkSession, sf: str) -> DataFrame:
     """Of every feature, whether its product with the residuals of least squares on the rows it
     was fitted on is zero (against the lengths of feature and label), as of the best fit."""
@@ -631,6 +659,11 @@ def m09_recommendations(spark: SparkSession, sf: str) -> DataFrame:
 SCORERS: dict[str, Query] = {
     "m01_gbt_scores": _scores(lambda: M.make_scorer("boosted_trees", "binary", FEW)),
     "m01_gbt_wide_scores": _scores(lambda: M.make_scorer("boosted_trees_wide", "binary", FEW)),
+    "m01_root_splits": _root_splits(lambda rows: G.logistic(rows, 3.0), M.TreeParams()),
+    "m01_wide_root_splits": _root_splits(
+        lambda rows: G.logistic(rows, 3.0), M.TreeParams(**M.WIDE)
+    ),
+    "m03_root_splits": _root_splits(G.pairwise, M.TreeParams()),
     "m01_gradients": _gradients(lambda rows: G.logistic(rows, 3.0)),
     "m03_pairwise_scores": _scores(lambda: M.make_scorer(objective="rank_pairwise", params=FEW)),
     "m03_gradients": _gradients(G.pairwise),
