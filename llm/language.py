@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketmill.functions.relational import smallest_hashes
 from llm.common import map_batches, one_row_each, stored
 
 PLACES = 1 << 13
@@ -170,10 +169,18 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
         common = table.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
         table = table.join(F.broadcast(common.select("lang")), "lang", "left_semi")
     pairs = stored(table.select("id", "lang").distinct().withColumn("at", order_of("id")), "language-pairs")
-    languages = pairs.select("lang").distinct()
-    quota = languages.withColumn("quota", F.lit(min(rows, max(1, ALL_ROWS // max(1, languages.count())))))
-    # Exactly the smallest hashes of each language, found by counts of buckets of hashes.
-    picked = stored(smallest_hashes(pairs, F.col("at"), quota, ["lang"]), "language-picked")
+    sizes = pairs.groupBy("lang").agg(F.count("*").alias("n"))
+    quota = min(rows, max(1, ALL_ROWS // max(1, sizes.count())))
+    # The smallest hashes of a language are below a bound that leaves several times as many as are
+    # wanted, and fewer with a probability below 1e-12; so no task and no group holds a language.
+    share = F.conv(F.substring("at", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    thin = pairs.join(sizes, "lang").where(share * F.col("n") < 8 * quota + 40).select(*pairs.columns).toArrow().sort_by(
+        [("lang", "ascending"), ("at", "ascending"), ("id", "ascending")]
+    )
+    names = thin.column("lang").to_numpy()
+    first = np.searchsorted(names, names) if len(names) else np.zeros(0, dtype=np.int64)
+    chosen = thin.filter(pa.array(np.arange(len(names)) - first < quota))
+    picked = df.sparkSession.createDataFrame(chosen.to_pandas(), pairs.schema) if len(names) else pairs.limit(0)
     sample = one_row_each(table, picked, ["id", "lang"], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

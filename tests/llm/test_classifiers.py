@@ -170,3 +170,85 @@ def test_only_the_most_frequent_languages_are_learned(spark, corpus, monkeypatch
     rows, _ = corpus
     often = sorted({r[2] for r in rows if r[2]}, key=lambda x: (-sum(r[2] == x for r in rows), x))
     assert language.train(spark.createDataFrame(rows, SCHEMA)).languages == sorted(often[:2])
+
+
+def plain_ftrl(examples, epochs, alpha=1.0, beta=1.0, l1=3.0, l2=1.0):
+    """FTRL-proximal one coordinate at a time, as published; the bias has no L1."""
+    z, n = {}, {}
+
+    def weight(i):
+        own = 0.0 if i == "bias" else l1
+        if abs(z.get(i, 0.0)) <= own:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * own) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for places, label in examples:
+            active = [*places.tolist(), "bias"]
+            p = 1 / (1 + np.exp(-sum(weight(i) for i in active)))
+            g = p - label
+            for i in active:
+                w, before = weight(i), n.get(i, 0.0)
+                sigma = ((before + g * g) ** 0.5 - before**0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_training_equals_plain_ftrl(corpus):
+    rows, labels = corpus
+    toxic = {i: t for i, _, t, _ in labels}
+    sets = toxicity.feature_sets([r[1] for r in rows[:150]])
+    examples = [(s, toxic[i]) for i, s in enumerate(sets) if i in toxic]
+    model = toxicity.fit(examples, epochs=2)
+    want = plain_ftrl(examples, 2)
+    assert model.bias == pytest.approx(want.pop("bias", 0.0))
+    assert dict(zip(model.places.tolist(), model.weights.tolist())) == pytest.approx(want)
+
+
+def test_scores_equal_a_plain_kernel_ridge(corpus):
+    """Kernel values counted over sets of places, whitened by an eigenbasis of the landmarks'
+    kernel, and one weighted ridge regression per language solved from its normal equations."""
+    rows, _ = corpus
+    known = [(r[2], r[1]) for r in rows if r[2]][:160]
+    marks = []
+    for lang, text in known:
+        row = np.zeros(language.PLACES, dtype=np.uint8)
+        language.presence(text, row)
+        marks.append((lang, row))
+    model = language.fit([(lang, np.packbits(row).tobytes()) for lang, row in marks])
+    sets = [set(np.flatnonzero(row).tolist()) for _, row in marks]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    langs = sorted({lang for lang, _ in marks})
+    chosen = [i for want in langs for i in [j for j, (lang, _) in enumerate(marks) if lang == want][: language.LANDMARKS]]
+    k = np.array([[kernel(sets[i], sets[j]) for j in chosen] for i in chosen])
+    values, vectors = np.linalg.eigh(k)
+    good = values > 1e-6 * values[-1]
+    points = np.array([[kernel(s, sets[j]) for j in chosen] for s in sets]) @ (vectors[:, good] / values[good] ** 0.5)
+    weight = np.array([1 / sum(x == lang for x, _ in marks) for lang, _ in marks])
+    left = points.T @ (weight[:, None] * points) + language.RIDGE * np.eye(points.shape[1])
+    target = np.array([[1.0 if x == lang else -1.0 for x in langs] for lang, _ in marks])
+    raw = points @ np.linalg.solve(left, points.T @ (weight[:, None] * target))
+    share = np.exp(language.SHARPNESS * raw)
+    share /= share.sum(axis=1, keepdims=True)
+    names, scores = model.classify([text for _, text in known])
+    assert names == [langs[b] for b in raw.argmax(axis=1)]
+    assert np.allclose(scores, share.max(axis=1), atol=1e-3)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """An id on a third of all rows is one example; what reaches the driver keeps the bounds."""
+    rng = random.Random(47)
+    rows = [(7 if i % 3 == 0 else i, sentence(rng, "aa bb".split()[i % 2], 12), "aa bb".split()[i % 2]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(12)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6000)] + [(7, 1)] * 2000, "doc_id bigint, toxic int")
+    seen = {}
+    fit_language, fit_toxicity = language.fit, toxicity.fit
+    monkeypatch.setattr(language, "fit", lambda x: seen.update(language=len(x)) or fit_language(x))
+    monkeypatch.setattr(toxicity, "fit", lambda x: seen.update(toxicity=len(x)) or fit_toxicity(x[:50]))
+    assert len(language.train(docs, rows=100).languages) == 2
+    toxicity.train(docs, labels, rows=500)
+    assert seen["language"] == 200 and seen["toxicity"] <= 500
+    toxicity.train(docs, labels, rows=9000)
+    assert seen["toxicity"] == len({r[0] for r in rows})
