@@ -28,26 +28,37 @@ DISCOUNTED = f"coalesce({DISCOUNT}, 0D)"
 NET = f"greatest({SPEND} - {DISCOUNTED}, 0D)"
 
 
+# What a row of the log adds to its totals, whatever the cutoff.
+AMOUNTS = {
+    "n_price": f"CAST({PRICE} IS NOT NULL AS BIGINT)",
+    "n_discount": f"CAST({DISCOUNT} IS NOT NULL AS BIGINT)",
+    "n_qty": f"CAST({QTY} IS NOT NULL AS BIGINT)",
+    "sum_price": PRICE,
+    "sum_qty": QTY,
+    "sum_spend": SPEND,
+    "sum_discount": DISCOUNTED,
+    "sum_net": NET,
+    FIRST: DATE,
+    LAST: DATE,
+}
+
+
 def lift(history: DataFrame, cutoff: datetime, windows: Iterable[int] = ()) -> DataFrame:
-    """Each history row as (user, item, location) and its measures."""
+    """Each history row as (user, item, location) and its measures.
+
+    A history of totals, which have the columns of ``AMOUNTS`` and ``n_all`` already, is lifted
+    likewise if all rows of a total are on the same side of the cutoff and of each window."""
     days = sorted({*FEATURE_WINDOWS, *windows})
+    totals = "n_all" in history.columns
+    when, rows, qty = (FIRST, "n_all", "sum_qty") if totals else (DATE, "1L", QTY)
     return history.selectExpr(
         USER,
         ITEM,
         LOC,
-        "1L AS n_all",
-        *[f"CAST({DATE} >= {back_sql(cutoff, d)} AS BIGINT) AS n_{d}" for d in days],
-        f"CAST({PRICE} IS NOT NULL AS BIGINT) AS n_price",
-        f"CAST({DISCOUNT} IS NOT NULL AS BIGINT) AS n_discount",
-        f"CAST({QTY} IS NOT NULL AS BIGINT) AS n_qty",
-        f"{PRICE} AS sum_price",
-        f"{QTY} AS sum_qty",
-        f"CASE WHEN {DATE} >= {back_sql(cutoff, 90)} THEN {QTY} END AS sum_qty_90",
-        f"{SPEND} AS sum_spend",
-        f"{DISCOUNTED} AS sum_discount",
-        f"{NET} AS sum_net",
-        f"{DATE} AS {FIRST}",
-        f"{DATE} AS {LAST}",
+        f"{rows} AS n_all",
+        *[f"CASE WHEN {when} >= {back_sql(cutoff, d)} THEN {rows} ELSE 0L END AS n_{d}" for d in days],
+        f"CASE WHEN {when} >= {back_sql(cutoff, 90)} THEN {qty} END AS sum_qty_90",
+        *[name if totals else f"{amount} AS {name}" for name, amount in AMOUNTS.items()],
     )
 
 

@@ -13,19 +13,18 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketmill.columns import BILL, BRAND, CAT, ITEM, LOC, SOURCE_COUNT, SOURCES, USER
+from basketmill.columns import BRAND, CAT, ITEM, LOC, SOURCE_COUNT, SOURCES, USER
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import LAST, rollup
 from basketmill.functions.relational import top_per
 from basketmill.operators.cobuy import ANCHOR, CO_ITEM, COUNT, shared_bill_counts
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
-from basketmill.operators.users import recent
 
 PAIR_SCHEMA = f"{USER} bigint, {ITEM} string"
 
 
 def _no_pairs(ledger: Ledger) -> DataFrame:
-    return ledger.history.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    return ledger.cube.sparkSession.createDataFrame([], PAIR_SCHEMA)
 
 
 def _often_then_latest(rows: str, tie: str) -> list[Column]:
@@ -135,8 +134,7 @@ def popular_in_brands(ledger: Ledger, audience: Audience) -> DataFrame:
 
 
 def baskets(ledger: Ledger) -> DataFrame:
-    lines = recent(ledger.history, ledger.cutoff, ledger.params.personal_days)
-    return lines.where(F.col(BILL).isNotNull()).select(BILL, ITEM).distinct()
+    return ledger.lines.distinct()
 
 
 def cobuy_pairs(ledger: Ledger, own_anchors: DataFrame) -> DataFrame:

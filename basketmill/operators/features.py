@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from basketmill.columns import (
     ATTRIBUTES,
-    BILL,
     CAT,
     FEATURES,
     ITEM,
@@ -27,7 +26,7 @@ from basketmill.columns import (
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import FIRST, LAST, rollup
 from basketmill.functions.time import whole_days_sql
-from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
+from basketmill.operators.ledger import NEW_BILLS, Audience, Ledger, open_audience, open_ledger
 from basketmill.session import stored
 
 
@@ -69,9 +68,8 @@ def pair_features(ledger: Ledger, audience: Audience) -> DataFrame:
 
 
 def user_features(ledger: Ledger, audience: Audience) -> DataFrame:
-    # A line without a bill counts as one more bill: distinct keeps the null.
-    lines = ledger.history.select(USER, BILL).join(audience.users, USER, "left_semi").distinct()
-    bills = lines.groupBy(USER).agg(F.expr("count(1) AS u_bill_nunique"))
+    own = ledger.bills.join(audience.users, USER, "left_semi")
+    bills = own.groupBy(USER).agg(F.sum(NEW_BILLS).alias("u_bill_nunique"))
     sums = ["sum_qty", "sum_spend", "sum_discount", "sum_net", "sum_price"]
     counts = ["n_all", "n_30", "n_90", "n_price", "n_discount"]
     base = rollup(audience.pairs, [USER], counts + sums, "count(1) AS items").selectExpr(

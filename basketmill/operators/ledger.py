@@ -16,19 +16,23 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketmill.columns import ATTRIBUTES, ITEM, LOC, USER
+from basketmill.columns import ATTRIBUTES, BILL, ITEM, LOC, USER
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import LAST, lift, rollup
-from basketmill.operators.users import history_before
+from basketmill.operators.users import history_before, recent
 from basketmill import session
 
+NEW_BILLS = "new_bills"
+
 
 @dataclass(frozen=True)
 class Ledger:
     cutoff: datetime
     params: CandidateParams
-    history: DataFrame
     items: DataFrame | None
+    # (user, new_bills), to be added up, and the (bill, item) of the personal window.
+    bills: DataFrame
+    lines: DataFrame
     cube: DataFrame
     pairs: DataFrame
     by_item: DataFrame
@@ -103,12 +107,29 @@ def open_ledger(
     for_features: bool = True,
 ) -> Ledger:
     """``for_features=False`` leaves out the measures that only features read."""
+    history = history_before(tx, cutoff)
+    # A line without a bill counts as one more bill: distinct keeps the null.
+    bills = history.select(USER, BILL).distinct().select(USER, F.lit(1).cast("bigint").alias(NEW_BILLS))
+    lines = recent(history, cutoff, params.personal_days).where(F.col(BILL).isNotNull()).select(BILL, ITEM)
+    rows = lift(history, cutoff, (params.recent_days, params.personal_days))
+    return ledger_of(rows, cutoff, items, params, bills, lines, stored, for_features)
+
+
+def ledger_of(
+    rows: DataFrame,
+    cutoff: datetime,
+    items: DataFrame | None,
+    params: CandidateParams,
+    bills: DataFrame,
+    lines: DataFrame,
+    stored: bool = False,
+    for_features: bool = True,
+) -> Ledger:
+    """The ledger of lifted ``rows``."""
 
     def kept(df: DataFrame, label: str) -> DataFrame:
         return session.stored(df, label) if stored else df
 
-    history = history_before(tx, cutoff)
-    rows = lift(history, cutoff, (params.recent_days, params.personal_days))
     measures = rows.columns[3:]
     item_users = ["count(1) AS users_all", "count_if(n_90 > 0) AS users_90"]
     if not for_features:
@@ -123,4 +144,4 @@ def open_ledger(
     by_item = kept(with_attributes(by_item, items), "by-item")
     known = cube.where(F.col(LOC).isNotNull())
     by_place = kept(rollup(known, [LOC, ITEM], measures, "count(1) AS users_all"), "by-place")
-    return Ledger(cutoff, params, history, items, cube, pairs, by_item, by_place)
+    return Ledger(cutoff, params, items, bills, lines, cube, pairs, by_item, by_place)

@@ -1,4 +1,6 @@
-"""Whole months: datasets, scored pairs, validation and recommendations."""
+"""Whole months: datasets, scored pairs, validation and recommendations.
+
+A log is a table of purchases or a timeline of it; plans over several months open one."""
 
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ from basketmill.operators import metrics, ranking, training
 from basketmill.operators.candidates import candidates_from
 from basketmill.operators.features import features_from
 from basketmill.operators.ledger import open_audience, open_ledger
+from basketmill.operators.timeline import Timeline, open_timeline
 from basketmill.operators.users import active_users, month_truth, target_users
 from basketmill.session import stored
 
@@ -22,8 +25,16 @@ from basketmill.session import stored
 TRAIN_SEED, SEED_STEP = 42, 10_000
 
 
+Log = DataFrame | Timeline
+
+
+def rows_of(tx: Log) -> DataFrame:
+    """(user, item, date) for questions about months."""
+    return tx.rows if isinstance(tx, Timeline) else tx
+
+
 def month_features(
-    tx: DataFrame,
+    tx: Log,
     users: DataFrame,
     month: str,
     items: DataFrame | None = None,
@@ -31,13 +42,16 @@ def month_features(
 ) -> DataFrame:
     """Candidates and their features for the users, as of the month's first instant."""
     cutoff = month_window(month).start
-    ledger = open_ledger(tx, cutoff, items, params.candidates, stored=True)
+    if isinstance(tx, Timeline):
+        ledger = tx.ledger(cutoff, items, params.candidates)
+    else:
+        ledger = open_ledger(tx, cutoff, items, params.candidates, stored=True)
     audience = open_audience(ledger, users, stored=True)
     return features_from(ledger, audience, candidates_from(ledger, audience))
 
 
 def full_month(
-    tx: DataFrame,
+    tx: Log,
     month: str,
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
@@ -45,15 +59,15 @@ def full_month(
 ) -> DataFrame:
     """Labelled rows of users active in the month (all, or a sample), features narrowed; stored."""
     window = month_window(month)
-    users = active_users(tx, window, max_users)
-    labelled = training.add_labels(tx, month_features(tx, users, month, items, params), window)
+    users = active_users(rows_of(tx), window, max_users)
+    labelled = training.add_labels(rows_of(tx), month_features(tx, users, month, items, params), window)
     return stored(
         training.narrow_features(labelled).withColumn(training.MONTH, F.lit(month)), "month"
     )
 
 
 def month_dataset(
-    tx: DataFrame,
+    tx: Log,
     month: str,
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
@@ -63,25 +77,16 @@ def month_dataset(
     return training.downsample_negatives(rows, params.negative_ratio, params.seed)
 
 
-def read_once(tx: DataFrame) -> DataFrame:
-    """The log's typed columns in the run's own folder: a run over several months reads the
-    log itself once, and each month this narrow copy, in which Parquet's statistics skip what
-    lies outside a month's window wherever the log is kept in order of time."""
-    return stored(tx, "log")
-
-
 def train_frame(
-    tx: DataFrame,
+    tx: Log,
     months: tuple[str, ...],
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
     first_seed: int = TRAIN_SEED,
-    copied: bool = False,
 ) -> DataFrame:
-    """All train months, each sampled with its own seed; an error if there are no rows.
-
-    ``copied`` tells that ``tx`` is already a run's copy of the log."""
-    tx = tx if copied else read_once(tx)
+    """All train months, each sampled with its own seed; an error if there are no rows. However
+    many months there are, the log is summed once."""
+    tx = tx if isinstance(tx, Timeline) else open_timeline(tx, months, params.candidates)
     parts = [
         month_dataset(tx, month, items, replace(params, seed=first_seed + i * SEED_STEP))
         for i, month in enumerate(months)
@@ -94,7 +99,7 @@ def train_frame(
 
 def score_month(
     scorer,
-    tx: DataFrame,
+    tx: Log,
     users: DataFrame,
     month: str,
     items: DataFrame | None = None,
@@ -107,7 +112,7 @@ def score_month(
 
 def recommend(
     scorer,
-    tx: DataFrame,
+    tx: Log,
     month: str,
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
@@ -115,7 +120,7 @@ def recommend(
     truth_users: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``k`` items of every user of the chosen universe, one row per user."""
-    users = target_users(tx, month_window(month), universe, truth_users, params.max_test_users)
+    users = target_users(rows_of(tx), month_window(month), universe, truth_users, params.max_test_users)
     scored = score_month(scorer, tx, users, month, items, params)
     return ranking.as_lists(ranking.top_k(scored, params.k))
 
@@ -136,7 +141,7 @@ def month_report(
 
 def evaluate_month(
     scorer,
-    tx: DataFrame,
+    tx: Log,
     month: str,
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
@@ -148,7 +153,7 @@ def evaluate_month(
     window = month_window(month)
     rows = full_month(tx, month, items, params, max_users) if rows is None else rows
     scored = stored(scorer.score(rows), "scored")
-    truth = month_truth(tx, window, active_users(tx, window, max_users))
+    truth = month_truth(rows_of(tx), window, active_users(rows_of(tx), window, max_users))
     report = month_report(scored, truth, params.k, scorer.is_probability)
     return report, ranking.as_lists(ranking.top_k(scored, params.k))
 
@@ -170,7 +175,7 @@ class RunResult:
 
 
 def run(
-    tx: DataFrame,
+    tx: Log,
     months: SplitMonths,
     scorer,
     items: DataFrame | None = None,
@@ -186,8 +191,8 @@ def run(
     and lists are then compared with it, and the universe ``truth`` means its users.
     ``evaluate_test`` evaluates the test month from the log, as validation does.
     """
-    tx = read_once(tx)
-    train = train_frame(tx, months.train, items, params, copied=True)
+    tx = open_timeline(tx, (*months.train, months.validation, months.test), params.candidates)
+    train = train_frame(tx, months.train, items, params)
     validation = full_month(tx, months.validation, items, params, params.max_validation_users)
     fitted = scorer.fit(train, validation)
     report, _ = evaluate_month(
@@ -197,7 +202,7 @@ def run(
         fitted = scorer.fit(train.unionByName(validation), trees=fitted.best_trees)
     truth_users = None if truth is None else truth.select(USER).distinct()
     users = target_users(
-        tx, month_window(months.test), universe, truth_users, params.max_test_users
+        tx.rows, month_window(months.test), universe, truth_users, params.max_test_users
     )
     scored = stored(
         score_month(fitted, tx, users, months.test, items, params).select(USER, ITEM, "score"),

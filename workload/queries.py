@@ -42,6 +42,7 @@ from basketmill.operators import training as D
 from basketmill.operators import users as U
 from basketmill.operators.cobuy import shared_bill_counts
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
+from basketmill.operators.timeline import open_timeline
 from basketmill.plans import monthly
 from basketmill.session import scratch_path, stored, tune
 from basketmill.sources import tables as S
@@ -546,6 +547,7 @@ def _scores(make: Callable[[], object]) -> Query:
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         tx, meta = purchase_log(spark, sf), catalogue(spark, sf)
+        tx = open_timeline(tx, (TRAIN[1], VALIDATION), SMALL)
         fitted = make().fit(monthly.month_dataset(tx, TRAIN[1], meta, RUN))
         rows = monthly.full_month(tx, VALIDATION, meta, RUN)
         score = F.col("score")
