@@ -42,7 +42,7 @@ LEAST_COUNT = 2
 FACTOR = 10  # how much more often a form occurs
 
 SAMPLE = 1 << 15  # points that the dealing tree is fitted to, twice as many at most
-LEAF_WORDS = 4000  # words a leaf of the dealing tree is meant to hold
+LEAF_WORDS = 16000  # words a leaf of the dealing tree is meant to hold
 LEAF_BYTES = 8 << 20  # and letters and counts, for very long words
 TIP_WORDS = 96  # words that are compared at once at the end of a descent
 CELLS = 1 << 22  # of a matrix of distances
@@ -394,7 +394,8 @@ def links(words: DataFrame, trees: dict[int, Tree], tasks: int) -> DataFrame:
                     ["a", "a_n", "b", "b_n"],
                 )
 
-    placed = dealt(words, trees).repartition(tasks, *keys).sortWithinPartitions(*keys)
+    # Words arrive as few large files; dealing them takes longer than reading them.
+    placed = dealt(words.repartition(tasks, "word"), trees).repartition(tasks, *keys).sortWithinPartitions(*keys)
     return map_batches(placed, run, LINKS)
 
 
