@@ -49,6 +49,9 @@ class RunParams:
     max_test_users: int | None = None
     seed: int = 42
     k: int = 10
+    # A folder that keeps item lists from run to run, and whether to build them anew.
+    lists: str | None = None
+    refresh_lists: bool = False
 
 
 def resolve_months(

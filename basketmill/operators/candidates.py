@@ -19,6 +19,7 @@ from basketmill.functions.measures import LAST, rollup
 from basketmill.functions.relational import top_per
 from basketmill.operators.cobuy import ANCHOR, CO_ITEM, COUNT, shared_bill_counts
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
+from basketmill.operators.listbook import ListBook, set_digest
 
 PAIR_SCHEMA = f"{USER} bigint, {ITEM} string"
 
@@ -56,9 +57,13 @@ def anchors(ledger: Ledger, audience: Audience) -> DataFrame:
 
 def popular_items(ledger: Ledger, rows: str, top: int) -> DataFrame:
     """The ``top`` items over all users as one row holding an array."""
-    bought = ledger.by_item.where(F.col(rows) > 0)
-    ranked = bought.orderBy(F.col(rows).desc(), F.col(ITEM)).limit(top)
-    return ranked.agg(F.sort_array(F.collect_list(ITEM)).alias("items"))
+
+    def build() -> DataFrame:
+        bought = ledger.by_item.where(F.col(rows) > 0)
+        ranked = bought.orderBy(F.col(rows).desc(), F.col(ITEM)).limit(top)
+        return ranked.agg(F.sort_array(F.collect_list(ITEM)).alias("items"))
+
+    return ledger.listed("popular", build, rows=rows, top=top)
 
 
 def _to_every_user(users: DataFrame, items: DataFrame) -> DataFrame:
@@ -84,16 +89,23 @@ def _as_lists(ranked: DataFrame, key: str) -> DataFrame:
 
 
 def place_items(ledger: Ledger, rows: str, top: int) -> DataFrame:
-    bought = ledger.by_place.where(F.col(rows) > 0)
-    order = [F.col(rows).desc(), F.col(ITEM)]
-    return _as_lists(top_per(bought, [LOC], order, top, "_rank"), LOC)
+    def build() -> DataFrame:
+        bought = ledger.by_place.where(F.col(rows) > 0)
+        order = [F.col(rows).desc(), F.col(ITEM)]
+        return _as_lists(top_per(bought, [LOC], order, top, "_rank"), LOC)
+
+    return ledger.listed("by-place", build, rows=rows, top=top)
 
 
 def attribute_items(ledger: Ledger, attribute: str, top: int) -> DataFrame:
     rows = ledger.recent_rows
-    bought = ledger.by_item.where((F.col(rows) > 0) & F.col(attribute).isNotNull())
-    order = _often_then_latest(rows, ITEM)
-    return _as_lists(top_per(bought, [attribute], order, top, "_rank"), attribute)
+
+    def build() -> DataFrame:
+        bought = ledger.by_item.where((F.col(rows) > 0) & F.col(attribute).isNotNull())
+        order = _often_then_latest(rows, ITEM)
+        return _as_lists(top_per(bought, [attribute], order, top, "_rank"), attribute)
+
+    return ledger.listed(f"by-{attribute}", build, rows=rows, top=top)
 
 
 def _offer(keyed_users: DataFrame, lists: DataFrame, key: str) -> DataFrame:
@@ -138,12 +150,17 @@ def baskets(ledger: Ledger) -> DataFrame:
 
 
 def cobuy_pairs(ledger: Ledger, own_anchors: DataFrame) -> DataFrame:
-    params = ledger.params
-    return shared_bill_counts(
-        baskets(ledger),
-        own_anchors.select(ITEM).distinct(),
-        params.cobuy_top,
-        params.pairs_per_chunk,
+    """The best partners of the anchors; a kept list hangs on which items these are."""
+    params, wanted = ledger.params, own_anchors.select(ITEM).distinct()
+
+    def build() -> DataFrame:
+        return shared_bill_counts(baskets(ledger), wanted, params.cobuy_top, params.pairs_per_chunk)
+
+    if ledger.book is None:
+        return build()
+    anchors_digest = set_digest(wanted, ITEM)
+    return ledger.listed(
+        "cobuy", build, anchors=anchors_digest, days=params.personal_days, top=params.cobuy_top
     )
 
 
@@ -220,7 +237,9 @@ def build_candidates(
     cutoff: datetime,
     items: DataFrame | None = None,
     params: CandidateParams = CandidateParams(),
+    book: ListBook | None = None,
 ) -> DataFrame:
-    """Candidates of ``users`` (distinct) from the log before ``cutoff``."""
-    ledger = open_ledger(tx, cutoff, items, params, stored=True, for_features=False)
+    """Candidates of ``users`` (distinct) from the log before ``cutoff``; item lists that
+    another run has kept in the ``book`` are not built again."""
+    ledger = open_ledger(tx, cutoff, items, params, stored=True, for_features=False, book=book)
     return candidates_from(ledger, open_audience(ledger, users, stored=True))

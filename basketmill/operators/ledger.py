@@ -10,8 +10,10 @@ is read by ``by_item`` and by the audience only, which stores its users' part.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from basketmill.columns import ATTRIBUTES, BILL, ITEM, LOC, USER
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import LAST, lift, rollup
+from basketmill.operators.listbook import Facts, ListBook, input_digest
 from basketmill.operators.users import history_before, recent
 from basketmill import session
 
@@ -35,8 +38,26 @@ class Ledger:
     lines: DataFrame
     cube: DataFrame
     pairs: DataFrame
-    by_item: DataFrame
-    by_place: DataFrame
+    # Totals that are taken (and stored) when they are first asked for.
+    item_totals: Callable[[], DataFrame]
+    place_totals: Callable[[], DataFrame]
+    # Where lists are kept from run to run, and what they hang on besides their own sizes.
+    book: ListBook | None = None
+    facts: Facts = field(default_factory=dict)
+
+    @property
+    def by_item(self) -> DataFrame:
+        return self.item_totals()
+
+    @property
+    def by_place(self) -> DataFrame:
+        return self.place_totals()
+
+    def listed(self, name: str, build: Callable[[], DataFrame], **facts: object) -> DataFrame:
+        """A list by name: from the book where it holds one for these facts, else built."""
+        if self.book is None:
+            return build()
+        return self.book.keep(name, {**self.facts, **facts}, build)
 
     @property
     def recent_rows(self) -> str:
@@ -105,14 +126,22 @@ def open_ledger(
     params: CandidateParams = CandidateParams(),
     stored: bool = False,
     for_features: bool = True,
+    book: ListBook | None = None,
 ) -> Ledger:
-    """``for_features=False`` leaves out the measures that only features read."""
+    """``for_features=False`` leaves out the measures that only features read. With a ``book``,
+    item lists of the same cutoff, log and catalogue are kept there and taken from there."""
+    facts = list_facts(tx, items) if book else {}
     history = history_before(tx, cutoff)
     # A line without a bill counts as one more bill: distinct keeps the null.
     bills = history.select(USER, BILL).distinct().select(USER, F.lit(1).cast("bigint").alias(NEW_BILLS))
     lines = recent(history, cutoff, params.personal_days).where(F.col(BILL).isNotNull()).select(BILL, ITEM)
     rows = lift(history, cutoff, (params.recent_days, params.personal_days))
-    return ledger_of(rows, cutoff, items, params, bills, lines, stored, for_features)
+    return ledger_of(rows, cutoff, items, params, bills, lines, stored, for_features, book, facts)
+
+
+def list_facts(tx: DataFrame, items: DataFrame | None) -> Facts:
+    """What lists hang on besides the cutoff: the log and the catalogue."""
+    return {"log": input_digest(tx), "catalogue": None if items is None else input_digest(items)}
 
 
 def ledger_of(
@@ -124,6 +153,8 @@ def ledger_of(
     lines: DataFrame,
     stored: bool = False,
     for_features: bool = True,
+    book: ListBook | None = None,
+    facts: Facts | None = None,
 ) -> Ledger:
     """The ledger of lifted ``rows``."""
 
@@ -140,8 +171,14 @@ def ledger_of(
     bare = rollup(cube if stored else rows, [USER, ITEM], measures)
     pairs = with_attributes(bare, items)
     # A row of ``bare`` is one user of the item, a row of ``cube`` one at the place.
-    by_item = rollup(bare, [ITEM], measures, *item_users)
-    by_item = kept(with_attributes(by_item, items), "by-item")
-    known = cube.where(F.col(LOC).isNotNull())
-    by_place = kept(rollup(known, [LOC, ITEM], measures, "count(1) AS users_all"), "by-place")
-    return Ledger(cutoff, params, items, bills, lines, cube, pairs, by_item, by_place)
+    @cache
+    def by_item() -> DataFrame:
+        return kept(with_attributes(rollup(bare, [ITEM], measures, *item_users), items), "by-item")
+
+    @cache
+    def by_place() -> DataFrame:
+        known = cube.where(F.col(LOC).isNotNull())
+        return kept(rollup(known, [LOC, ITEM], measures, "count(1) AS users_all"), "by-place")
+
+    facts = {"cutoff": cutoff.isoformat(), **(facts or {})}
+    return Ledger(cutoff, params, items, bills, lines, cube, pairs, by_item, by_place, book, facts)

@@ -24,7 +24,8 @@ from basketmill.columns import BILL, DATE, ITEM, LOC, USER
 from basketmill.config import CandidateParams
 from basketmill.functions.measures import AMOUNTS, FEATURE_WINDOWS, FIRST, lift, rollup
 from basketmill.functions.time import month_window, ntz_sql
-from basketmill.operators.ledger import NEW_BILLS, Ledger, ledger_of
+from basketmill.operators.ledger import NEW_BILLS, Ledger, ledger_of, list_facts
+from basketmill.operators.listbook import ListBook
 from basketmill.operators.users import history_before, recent
 from basketmill.session import stored
 
@@ -52,6 +53,7 @@ class Timeline:
     cube: DataFrame
     bills: DataFrame
     lines: DataFrame
+    log: DataFrame
 
     @property
     def rows(self) -> DataFrame:
@@ -69,6 +71,7 @@ class Timeline:
         items: DataFrame | None = None,
         params: CandidateParams = CandidateParams(),
         for_features: bool = True,
+        book: ListBook | None = None,
     ) -> Ledger:
         """The stored ledger as of a cutoff."""
         windows = (params.recent_days, params.personal_days)
@@ -76,7 +79,8 @@ class Timeline:
         rows = lift(self.cube.where(f"{FIRST} < {ntz_sql(cutoff)}"), cutoff, windows)
         bills = history_before(self.bills, cutoff).select(USER, NEW_BILLS)
         lines = recent(self.lines, cutoff, params.personal_days).select(BILL, ITEM)
-        return ledger_of(rows, cutoff, items, params, bills, lines, True, for_features)
+        facts = list_facts(self.log, items) if book else {}
+        return ledger_of(rows, cutoff, items, params, bills, lines, True, for_features, book, facts)
 
 
 def open_timeline(
@@ -101,4 +105,5 @@ def open_timeline(
         stored(cube, "timeline-cube"),
         stored(bills.drop(STRETCH), "timeline-bills"),
         stored(lines.drop(STRETCH), "timeline-lines"),
+        tx,
     )

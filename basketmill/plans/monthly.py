@@ -17,6 +17,7 @@ from basketmill.operators import metrics, ranking, training
 from basketmill.operators.candidates import candidates_from
 from basketmill.operators.features import features_from
 from basketmill.operators.ledger import open_audience, open_ledger
+from basketmill.operators.listbook import ListBook
 from basketmill.operators.timeline import Timeline, open_timeline
 from basketmill.operators.users import active_users, month_truth, target_users
 from basketmill.session import stored
@@ -40,12 +41,14 @@ def month_features(
     items: DataFrame | None = None,
     params: RunParams = RunParams(),
 ) -> DataFrame:
-    """Candidates and their features for the users, as of the month's first instant."""
+    """Candidates and their features for the users, as of the month's first instant. Item lists
+    are kept in the folder ``params.lists``, if there is one."""
     cutoff = month_window(month).start
+    book = ListBook(users.sparkSession, params.lists, params.refresh_lists) if params.lists else None
     if isinstance(tx, Timeline):
-        ledger = tx.ledger(cutoff, items, params.candidates)
+        ledger = tx.ledger(cutoff, items, params.candidates, book=book)
     else:
-        ledger = open_ledger(tx, cutoff, items, params.candidates, stored=True)
+        ledger = open_ledger(tx, cutoff, items, params.candidates, stored=True, book=book)
     audience = open_audience(ledger, users, stored=True)
     return features_from(ledger, audience, candidates_from(ledger, audience))
 

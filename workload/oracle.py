@@ -548,15 +548,13 @@ def large_bills(item: str) -> str:
             "bills": f"""
 SELECT DISTINCT strftime(updated_date, '%Y-%m-%d') || '/' || (bill_id % 7) AS bill_id, item_id
 FROM hist WHERE bill_id IS NOT NULL AND updated_date >= {back(CUTOFF, SMALL.personal_days)}""",
-            "wanted": """
-SELECT DISTINCT item_id FROM bills WHERE substr(md5(item_id), 1, 1) IN ('0', '1', '2')""",
         },
         f"""
 SELECT anchor_item, co_item, cobuy_count FROM (
   SELECT a.item_id AS anchor_item, b.item_id AS co_item, count(*) AS cobuy_count,
     row_number() OVER (PARTITION BY a.item_id ORDER BY count(*) DESC, b.item_id) AS place
   FROM bills a JOIN bills b ON a.bill_id = b.bill_id AND a.item_id <> b.item_id
-  WHERE a.item_id IN (SELECT item_id FROM wanted) GROUP BY a.item_id, b.item_id)
+  GROUP BY a.item_id, b.item_id)
 WHERE place <= {SMALL.cobuy_top}""",
     )
 
@@ -564,7 +562,8 @@ WHERE place <= {SMALL.cobuy_top}""",
 def candidate_family(item: str) -> dict[str, str]:
     sources = {n: cand(f'SELECT * FROM "{t}"', item) for n, t in SOURCE_TABLES.items()}
     return sources | {
-        "c13_cobuy_large_bills": large_bills(item),
+        "c13_cobuy_all_anchors": large_bills(item),
+        "c17_kept_lists": cand("SELECT * FROM cand", item),
         "c16_candidates_no_items": cand("SELECT * FROM cand", item, with_items=False),
     }
 

@@ -41,6 +41,7 @@ from basketmill.operators import scorers as M
 from basketmill.operators import training as D
 from basketmill.operators import users as U
 from basketmill.operators.cobuy import shared_bill_counts
+from basketmill.operators.listbook import ListBook
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.operators.timeline import open_timeline
 from basketmill.plans import monthly
@@ -220,20 +221,25 @@ def day_bills(spark: SparkSession, sf: str, item: str) -> DataFrame:
     return lines.where("bill_id IS NOT NULL").select(day.alias("bill_id"), ITEM).distinct()
 
 
-def c13_cobuy_large_bills(spark: SparkSession, sf: str, item: str = NAMED) -> DataFrame:
-    """Large bills split into chunks of 500 pairs, for three in sixteen of the items as anchors,
-    as its SQL has them; ``c13_cobuy_all_anchors`` has all."""
-    bills = day_bills(spark, sf, item)
-    anchors = bills.select(ITEM).distinct().where(F.substring(F.md5(ITEM), 1, 1).isin("0", "1", "2"))
-    return shared_bill_counts(bills, anchors, SMALL.cobuy_top, 500)
-
-
 def c13_cobuy_all_anchors(spark: SparkSession, sf: str, item: str = NAMED) -> DataFrame:
-    """Large bills split into chunks of 500 pairs, for every item as an anchor. It has no SQL."""
+    """Large bills split into chunks of 500 pairs, for every item as an anchor."""
     bills = day_bills(spark, sf, item)
     return shared_bill_counts(bills, bills.select(ITEM).distinct(), SMALL.cobuy_top, 500)
 
 
+def c17_kept_lists(spark: SparkSession, sf: str, item: str = NAMED) -> DataFrame:
+    """All candidates from lists that an earlier run has kept; none is built a second time."""
+    tx, window, root = purchase_log(spark, sf, item), month_window(TEST), scratch_path(spark, "lists")
+    meta, users = catalogue(spark, sf, item), U.active_users(tx, window)
+    first = ListBook(spark, root)
+    C.build_candidates(tx, users, window.start, meta, SMALL, first)
+    again = ListBook(spark, root)
+    made = C.build_candidates(tx, users, window.start, meta, SMALL, again)
+    if again.built or not first.built:
+        raise AssertionError(f"lists were built again: {again.built}")
+    return made
+
+
 def candidates(
     spark: SparkSession,
     sf: str,
@@ -265,12 +271,12 @@ CANDIDATES: dict[str, Query] = _on_parts({
     "c11_recent_brand": _source(C.popular_in_brands),
     "c12_anchors": _source(C.anchors),
     "c13_cobuy_pairs": c13_cobuy_pairs,
-    "c13_cobuy_large_bills": c13_cobuy_large_bills,
     "c13_cobuy_all_anchors": c13_cobuy_all_anchors,
     "c14_cobuy": _source(C.bought_together),
     "c15_candidates": candidates,
     "c15_candidates_fine": partial(candidates, item=PART, params=CandidateParams()),
     "c16_candidates_no_items": partial(candidates, items=False),
+    "c17_kept_lists": c17_kept_lists,
 })
 
 # --- features -------------------------------------------------------------------
