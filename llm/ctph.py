@@ -207,17 +207,25 @@ def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     beginning of the text that follows in descending order of ids (the last is followed by the
     first), and beside that next text.
 
-    The table is range-partitioned by id once and each range read in order. The text after
+    The table is range-partitioned by id and a hash of the text once, so that many rows of one id
+    are many ranges, and each range is read in order. The text after
     the last of a range is the first of the next range that has rows: the ends of ranges, two
     rows for each at most, are stored with their texts and matched in a second small step.
-    Repeated ids follow each other by text; null ids come last.
+    Repeated ids follow each other by the hash of their texts; null ids come last.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = df.selectExpr(f"`{id_col}` id", f"coalesce(`{text_col}`, '') text")
-    order = [F.col("id").desc_nulls_last(), F.col("text").desc()]
-    ranged = rows.repartitionByRange(parts, *order[:1]).sortWithinPartitions(*order)
+    # Rows of one id are dealt by a hash of their text, and equal rows by their number.
+    order = [F.col("id").desc_nulls_last(), F.col("mark"), F.col("text").desc()]
+    ranged = (
+        rows.withColumn("mark", F.xxhash64("text"))
+        .withColumn("number", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *order[:2], "number")
+        .sortWithinPartitions(*order)
+        .select("id", "text")
+    )
     fact_types = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

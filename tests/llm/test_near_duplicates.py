@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import xxhash
 import pytest
 from llm_cases import SCHEMA, TEXTS, plain_fingerprint, rows_of, smallest_reachable
 
@@ -223,6 +224,26 @@ def test_op8(spark, partitions, odd_docs):
         )
 
 
+def test_op8_with_one_id_on_most_rows(spark):
+    """Rows of one id, with texts of their own or equal ones, go to many ranges."""
+    rng = random.Random(15)
+    rows = [(7, "w" * rng.randint(1, 40) + str(i) if i % 3 else "same text here") for i in range(600)]
+    rows += [(i, f"text {i} of its own") for i in range(200)] + [(None, f"nobody {i % 5}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = []
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        moved = len(text) // 3
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - moved] + after[:moved]).encode()).hexdigest()))
+    made = ctph.against_next(docs, partitions=12)
+    assert sorted((tuple(r)[:3] for r in made.collect()), key=str) == sorted(want, key=str)
+    stored_at = re.search(r"ctph-ranges-[0-9a-f]+", " ".join(made.inputFiles()))[0]
+    folder = next(f for f in made.inputFiles() if stored_at in f).rsplit("/", 1)[0]
+    sizes = [r["count"] for r in spark.read.parquet(folder).where("place <> 1").groupBy("part").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 300
+
+
 def test_op8_query_and_small_tables(spark, odd_docs, no_docs, save):
     rows = op8_ctph(spark, save(documents=odd_docs)).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(TEXTS)))
