@@ -7,6 +7,7 @@ follows from that table, however many rows share a value.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,11 +197,32 @@ def feature_report(
     df: DataFrame, features: tuple[str, ...] = FEATURES, limits: Thresholds = Thresholds()
 ) -> DataFrame:
     """One row per feature, also for features that ``df`` lacks."""
-    spark = df.sparkSession
     counts = stored(value_counts(df, features), "value-counts")
-    ranked = _ranked(counts)
-    names = spark.createDataFrame([(f,) for f in features], f"{FEATURE} string")
     positives = df.agg(F.coalesce(F.avg(F.col(LABEL).cast("double")), F.lit(0.0)))
+    return report_of_counts(counts, positives, features, limits)
+
+
+def merged(counts: list[DataFrame]) -> DataFrame:
+    """The counts of all rows from the counts of parts of them."""
+    every = reduce(DataFrame.unionByName, counts)
+    return every.groupBy(FEATURE, VALUE).agg(*[F.sum(c).alias(c) for c in ("n", "n_pos", "n_null")])
+
+
+def positive_rate(counts: DataFrame) -> DataFrame:
+    """The share of positives, which any one feature's counts give; 0 without rows."""
+    rate = F.max(F.col("positives") / F.col("rows"))
+    return totals(counts).agg(F.coalesce(rate, F.lit(0.0)))
+
+
+def report_of_counts(
+    counts: DataFrame,
+    positives: DataFrame,
+    features: tuple[str, ...] = FEATURES,
+    limits: Thresholds = Thresholds(),
+) -> DataFrame:
+    """The report from stored counts; ``positives`` holds one value, the share of positives."""
+    ranked = _ranked(counts)
+    names = counts.sparkSession.createDataFrame([(f,) for f in features], f"{FEATURE} string")
     report = names
     for part in (
         pearson(counts),

@@ -10,8 +10,12 @@ from basketmill.columns import FEATURES, ITEM, USER
 from basketmill.config import CandidateParams, RunParams
 from basketmill.functions.time import month_window, previous_months
 from basketmill.operators import timeline as T
+from basketmill.operators.association import feature_report
+from basketmill.operators.listbook import ListBook
 from basketmill.operators import users as U
+from basketmill.plans import association_report as R
 from basketmill.plans import monthly
+from basketmill.session import stored
 
 SMALL = CandidateParams(personal_top=3, global_top=4, recent_global_top=4, location_top=3, recent_location_top=3, cobuy_top=3,
                         category_top=3, brand_top=3, recent_days=30, personal_days=100)
@@ -90,3 +94,22 @@ def test_only_months_it_was_opened_with(spark, tables):
 def test_an_empty_log(spark, log, catalogue):
     with pytest.raises(ValueError):
         monthly.train_frame(log([]), MONTHS, catalogue(ITEMS), PARAMS)
+
+
+def test_association_of_months_adds_up_kept_counts(spark, tables, tmp_path):
+    """The report of several months equals that of their rows together, and a longer one counts
+    only the months that are new."""
+    tx, items = tables
+    tx.write.parquet(f"{tmp_path}/log")
+    tx = spark.read.parquet(f"{tmp_path}/log")
+    params = RunParams(candidates=SMALL, lists=f"{tmp_path}/book")
+    frame = monthly.train_frame(tx, MONTHS[-2:], items, PARAMS, first_seed=R.REPORT_SEED)
+    rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    want = rounded(feature_report(stored(frame, "frame")))
+    assert rounded(R.association_report(tx, MONTHS[-2:], items, params)) == want
+    book = ListBook(spark, params.lists)
+    assert sorted(e["facts"]["month"] for e in book.entries() if e["name"] == "value-counts") == sorted(MONTHS[-2:])
+    before = {e["path"] for e in book.entries()}
+    R.month_counts(tx, (*MONTHS[-2:], MONTHS[0]), items, params)
+    new = [e for e in book.entries() if e["path"] not in before]
+    assert [e["facts"]["month"] for e in new if e["name"] == "value-counts"] == [MONTHS[0]]

@@ -1054,6 +1054,16 @@ ORACLE |= {
     "a07_density": stats(six("null_rate", "nonzero_rate") + ", unique_values"),
     "a08_feature_status": stats("status, reason", "report"),
     "a09_feature_report": stats(REPORT_ROWS, "report"),
+    "a09_months_report": with_(
+        {
+            "sampled": "\nUNION ALL ".join(
+                nested(month_rows(m, 2026 + i * 10_000), "SELECT * FROM sampled")
+                for i, m in enumerate((*TRAIN, VALIDATION))
+            ),
+            **{k: v for k, v in LONG.items() if list(LONG).index(k) >= list(LONG).index("long")},
+        },
+        f"SELECT feature, {REPORT_ROWS} FROM report",
+    ),
     "a10_usable": with_(
         LONG,
         f"""SELECT feature, {REPORT_ROWS} FROM report WHERE status IN ('usable', 'usable_sparse')

@@ -45,6 +45,7 @@ from basketmill.operators.listbook import ListBook
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
 from basketmill.operators.timeline import open_timeline
 from basketmill.plans import monthly
+from basketmill.plans.association_report import association_report
 from basketmill.session import scratch_path, stored, tune
 from basketmill.sources import tables as S
 from workload.tables import NAME, NAMED, PART, catalogue, purchase_log, read
@@ -719,6 +720,13 @@ def _report_rows(report: DataFrame) -> DataFrame:
     return _six(report.withColumns({m: F.round(m, 3) for m in means}))
 
 
+def a09_months_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report over three months, its counts kept and added up."""
+    tx, meta = purchase_log(spark, sf), catalogue(spark, sf)
+    params = replace(RUN, lists=scratch_path(spark, "association"))
+    return _report_rows(association_report(tx, (*TRAIN, VALIDATION), meta, params))
+
+
 def p05_report_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The report written as CSV and read back."""
     path = scratch_path(spark, "report")
@@ -741,6 +749,7 @@ ASSOCIATION: dict[str, Query] = {
         A.FEATURE, "status", "reason"
     ),
     "a09_feature_report": lambda spark, sf: _report_rows(A.sorted_report(_report(spark, sf))),
+    "a09_months_report": a09_months_report,
     "a10_status_counts": lambda spark, sf: A.status_counts(_report(spark, sf)),
     "a10_usable": lambda spark, sf: _report_rows(A.usable_features(_report(spark, sf))),
     "a10_inspect": lambda spark, sf: _report_rows(A.features_to_inspect(_report(spark, sf))),
