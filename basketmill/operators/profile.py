@@ -1,19 +1,21 @@
 """Column profiles of any table, in long form (one row per column).
 
 Missing cells, ranges, means and text lengths are taken in one pass without a shuffle.
-``value_table`` counts each column's values; distinct and frequent values, samples and
-exact medians are read from it. A table without columns of a kind gives an empty frame.
+``value_table`` counts each column's values; distinct and frequent values and samples are
+read from it. Exact medians take four passes that shuffle counts only. A table without columns of a kind gives an empty frame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketmill.functions.relational import running_sums, top_per
+from basketmill.functions.relational import top_per
 
 COLUMN, VALUE, ROWS = "column_name", "value", "n"
 
@@ -65,19 +67,74 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     return made.fillna(0)
 
 
+SLOTS = 1 << 16
+COLUMNS_AT_ONCE = 64  # whose counts a task holds
+
+
+def order_keys(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order; -0 is 0, and NaN is above all others."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _of_key(key: int) -> float:
+    bits = key & ~(1 << 63) if key >> 63 else ~key & (1 << 64) - 1
+    return float(np.array([bits], dtype=np.uint64).view(np.float64)[0])
+
+
+def _slot_counts(table: DataFrame, wanted: list[tuple[str, int]], passed: int) -> np.ndarray:
+    """Of each ``(column, prefix)``, among values whose key starts with the prefix of ``passed``
+    bits, how many have each value of the next 16 bits. One pass; a task adds up its rows."""
+    names = sorted({c for c, _ in wanted})
+    shift = np.uint64(48 - passed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(wanted), SLOTS), dtype=np.int64)
+        for batch in batches:
+            keys = {c: order_keys(batch.column(c).drop_null().to_numpy()) for c in names}
+            for i, (c, prefix) in enumerate(wanted):
+                own = keys[c]
+                if passed:
+                    own = own[own >> np.uint64(64 - passed) == np.uint64(prefix)]
+                slots = (own >> shift & np.uint64(SLOTS - 1)).astype(np.int64)
+                total[i] += np.bincount(slots, minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", ROWS])
+
+    parts = table.select(*names).mapInArrow(run, f"at bigint, {ROWS} bigint")
+    found = parts.groupBy("at").agg(F.sum(ROWS).alias(ROWS)).toArrow()
+    out = np.zeros(len(wanted) * SLOTS, dtype=np.int64)
+    out[found.column("at").to_numpy()] = found.column(ROWS).to_numpy()
+    return out.reshape(len(wanted), SLOTS)
+
+
 def _medians(df: DataFrame, names: list[str]) -> DataFrame:
-    """Exact medians: the values at the middle positions of the ordered counts."""
-    counts = value_table(df.select(*names), "numeric", "double").where(F.col(VALUE).isNotNull())
-    placed = running_sums(counts, [COLUMN], VALUE, [ROWS])
-    sizes = placed.groupBy(COLUMN).agg(F.sum(ROWS).alias("size"))
-    first, last = F.col(f"{ROWS}_before"), F.col(f"{ROWS}_before") + F.col(ROWS) - 1
-    low, high = (F.floor((F.col("size") - F.lit(1)) / 2), F.floor(F.col("size") / 2))
-    return (
-        placed.join(F.broadcast(sizes), COLUMN)  # one row per column
-        .where((first <= high) & (last >= low))
-        .groupBy(COLUMN)
-        .agg(((F.min(VALUE) + F.max(VALUE)) / F.lit(2.0)).alias("median"))
-    )
+    """Exact medians by radix selection: four passes, each of which settles 16 more bits of the
+    two middle values of every column. No value is shuffled or sorted, only counts of slots."""
+    rows: list[tuple[str, float | None]] = []
+    for first in range(0, len(names), COLUMNS_AT_ONCE):
+        some = names[first : first + COLUMNS_AT_ONCE]
+        table = df.select(*[F.col(c).cast("double").alias(c) for c in some])
+        # Of each column and side (lower, upper middle): the prefix so far, and the place among
+        # the values that share it.
+        prefix = {(c, side): 0 for c in some for side in (0, 1)}
+        place: dict[tuple[str, int], int] = {}
+        for passed in range(0, 64, 16):
+            wanted = sorted({(c, p) for (c, _), p in prefix.items()})
+            counts = dict(zip(wanted, _slot_counts(table, wanted, passed))) if wanted else {}
+            if not passed:
+                sizes = {c: int(counts[c, 0].sum()) for c in some}
+                prefix = {(c, side): 0 for c in some if sizes[c] for side in (0, 1)}
+                place = {(c, side): (sizes[c] - 1 + side) // 2 for c, side in prefix}
+            for (c, side), p in prefix.items():
+                upto = counts[c, p].cumsum()
+                slot = int(np.searchsorted(upto, place[c, side], side="right"))
+                place[c, side] -= int(upto[slot] - counts[c, p][slot])
+                prefix[c, side] = p << 16 | slot
+        for c in some:
+            middle = [_of_key(prefix[c, side]) for side in (0, 1) if (c, side) in prefix]
+            rows.append((c, sum(middle) / 2 if middle else None))
+    return df.sparkSession.createDataFrame(rows, f"{COLUMN} string, median double")
 
 
 def _per_column(df: DataFrame, names: list[str], **stats) -> DataFrame:

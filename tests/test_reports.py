@@ -158,3 +158,23 @@ def test_null_counts_and_lengths_do_not_shuffle_texts(spark):
     rows = {r.column_name: r for r in profile.column_profile(df).collect()}
     assert (rows["t"].null_count, rows["n"].null_count, rows["t"].null_ratio) == (1, 1, 0.5)
     assert profile.text_summary(df).first().avg_length == 50
+
+
+def test_medians_by_radix_equal_sorted_middles(spark):
+    """Signs, zeros, huge and tiny values, infinities, NaN, nulls, even and odd sizes."""
+    rnd = random.Random(17)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), float("nan"), None]
+    rows = []
+    for i in range(1001):
+        rows.append((rnd.gauss(0, 1e6), rnd.choice(odd), float(rnd.randrange(5)), -rnd.random() if i else None, None, rnd.choice([1.5, None]) if i < 3 else None, i, rnd.randrange(-3, 3)))
+    df = spark.createDataFrame(rows, "a double, b double, c float, d double, e double, f double, g bigint, h int").repartition(7)
+    got = {r.column_name: r.median for r in profile._medians(df, df.columns).collect()}
+    for i, name in enumerate(df.columns):
+        values = sorted((float(r[i]) for r in rows if r[i] is not None), key=lambda v: (v != v, v))
+        if not values:
+            assert got[name] is None
+            continue
+        want = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+        assert got[name] == want or (want != want and got[name] != got[name])
+    keys = profile.order_keys(np.array([-np.inf, -2.0, -5e-324, 0.0, 5e-324, 1.0, np.inf, np.nan]))
+    assert (np.diff(keys.astype(object)) > 0).all() and profile.order_keys(np.array([-0.0])) == profile.order_keys(np.array([0.0]))
