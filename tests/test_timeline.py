@@ -3,15 +3,17 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from basketmill.columns import FEATURES, ITEM, USER
-from basketmill.config import CandidateParams, RunParams
+from basketmill.config import CandidateParams, RunParams, SplitMonths
 from basketmill.functions.time import month_window, previous_months
 from basketmill.operators import timeline as T
 from basketmill.operators.association import feature_report
 from basketmill.operators.listbook import ListBook
+from basketmill.operators.scorers import make_scorer
 from basketmill.operators import users as U
 from basketmill.plans import association_report as R
 from basketmill.plans import monthly
@@ -113,3 +115,35 @@ def test_association_of_months_adds_up_kept_counts(spark, tables, tmp_path):
     R.month_counts(tx, (*MONTHS[-2:], MONTHS[0]), items, params)
     new = [e for e in book.entries() if e["path"] not in before]
     assert [e["facts"]["month"] for e in new if e["name"] == "value-counts"] == [MONTHS[0]]
+
+
+def test_a_trained_run_equals_its_steps_in_numpy(spark, tables):
+    """Least squares fitted on train months, refitted with validation, and the lists it gives."""
+    tx, items = tables
+    months = SplitMonths(MONTHS[-4:-2], MONTHS[-2], MONTHS[-1])
+    result = monthly.run(tx, months, make_scorer("linear_regression"), items, PARAMS, universe="active")
+    lists = {r.customer_id: list(r["items"]) for r in result.lists.collect()}
+
+    def frame(df):
+        made = df.select(USER, ITEM, "label", *[F.col(f).cast("float").alias(f) for f in FEATURES]).toPandas()
+        return made, np.column_stack([made[list(FEATURES)].to_numpy(np.float64), np.ones(len(made))])
+
+    train = monthly.train_frame(tx, months.train, items, PARAMS)
+    validation = monthly.full_month(tx, months.validation, items, PARAMS)
+    table, x = frame(train.unionByName(validation))
+    weights = np.linalg.lstsq(x, table["label"].to_numpy(float), rcond=1e-11)[0]
+    test, x = frame(monthly.full_month(tx, months.test, items, PARAMS))
+    test["score"] = x @ weights
+    assert set(lists) == set(test[USER])
+    for user, rows in test.groupby(USER):
+        scores = dict(zip(rows[ITEM], rows["score"]))
+        want = sorted(scores, key=lambda i: (-scores[i], i))[: PARAMS.k]
+        assert len(lists[user]) == len(want)
+        # The same scores in the same order; items may change places where scores are equal.
+        assert np.allclose([scores[i] for i in lists[user]], [scores[i] for i in want], atol=1e-4)
+    train_only, x = frame(train)
+    first = np.linalg.lstsq(x, train_only["label"].to_numpy(float), rcond=1e-11)[0]
+    held, x = frame(validation)
+    held["score"] = x @ first
+    best = held.sort_values(["score", ITEM], ascending=[False, True]).groupby(USER).head(PARAMS.k)
+    assert result.validation_report.first().precision_at_k == pytest.approx((best.groupby(USER)["label"].sum() / PARAMS.k).mean(), abs=0.02)
