@@ -62,11 +62,11 @@ def lift(history: DataFrame, cutoff: datetime, windows: Iterable[int] = ()) -> D
     )
 
 
-def _total(measure: str) -> str:
+def total(measure: str) -> str:
     how = {FIRST: "min", LAST: "max"}.get(measure, "sum")
     return f"{how}({measure}) AS {measure}"
 
 
 def rollup(df: DataFrame, keys: list[str], measures: list[str], *extra: str) -> DataFrame:
     """Total the measures of ``df`` by ``keys``; ``extra`` are further aggregates."""
-    return df.groupBy(*keys).agg(*[F.expr(e) for e in (*map(_total, measures), *extra)])
+    return df.groupBy(*keys).agg(*[F.expr(e) for e in (*map(total, measures), *extra)])

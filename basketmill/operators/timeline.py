@@ -5,10 +5,10 @@ into stretches. Every total is taken inside a stretch, so all of its rows are on
 cutoff and of any window, and its first instant tells which. As of a cutoff the totals before it
 add up to the ledger that the log itself would give; the log is not read again.
 
-Three tables are stored, each from the columns that it needs: ``cube`` holds the measures by
-(user, item, location, stretch), ``bills`` the number of bills by (user, stretch in which they were
-first seen), which makes an exact distinct count a sum, and ``lines`` the (bill, item) of each
-stretch. What a user buys again and again within a stretch is one row.
+One pass over the log gives three tables: ``cube`` holds the measures by (user, item, location,
+stretch), ``bills`` the number of bills by (user, stretch in which they were first seen), which makes
+an exact distinct count a sum, and ``lines`` the (bill, item) of each stretch. What a user buys
+again and again within a stretch is one row.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from basketmill.columns import BILL, DATE, ITEM, LOC, USER
 from basketmill.config import CandidateParams
-from basketmill.functions.measures import AMOUNTS, FEATURE_WINDOWS, FIRST, lift, rollup
+from basketmill.functions.measures import AMOUNTS, FEATURE_WINDOWS, FIRST, lift, total
 from basketmill.functions.time import month_window, ntz_sql
 from basketmill.operators.ledger import NEW_BILLS, Ledger, ledger_of, list_facts
 from basketmill.operators.listbook import ListBook
 from basketmill.operators.users import history_before, recent
 from basketmill.session import stored
 
-STRETCH = "stretch"
+STRETCH, KIND = "stretch", "kind"
+CUBE, BILLS, LINES = [USER, ITEM, LOC, STRETCH], [USER, BILL], [BILL, ITEM, STRETCH]
 
 
 def edges_of(months: Iterable[str], params: CandidateParams) -> tuple[datetime, ...]:
@@ -90,20 +91,35 @@ def open_timeline(
     edges = edges_of(months, params)
     passed = " + ".join(f"CAST({DATE} >= {ntz_sql(e)} AS INT)" for e in edges)
     log = history_before(tx, edges[-1]).withColumn(STRETCH, F.expr(passed))
-    amounts = [f"{amount} AS {name}" for name, amount in AMOUNTS.items()]
-    rows = log.selectExpr(USER, ITEM, LOC, STRETCH, "1L AS n_all", *amounts)
-    cube = rollup(rows, [USER, ITEM, LOC, STRETCH], ["n_all", *AMOUNTS]).drop(STRETCH)
-    # A line without a bill counts as one more bill of its user.
-    seen = log.groupBy(USER, BILL).agg(F.min(STRETCH).alias(STRETCH), F.min(DATE).alias(DATE))
-    bills = seen.groupBy(USER, STRETCH).agg(
-        F.count(F.lit(1)).alias(NEW_BILLS), F.min(DATE).alias(DATE)
+    rows = log.selectExpr(
+        USER,
+        ITEM,
+        LOC,
+        BILL,
+        STRETCH,
+        f"{STRETCH} AS seen",
+        "1L AS n_all",
+        *[f"{amount} AS {name}" for name, amount in AMOUNTS.items()],
+    )
+    keys = (USER, ITEM, LOC, BILL, STRETCH)
+    # One pass for all three: of each row one copy for each set of keys.
+    sums = rows.groupingSets([CUBE, BILLS, LINES], *keys).agg(
+        *[F.expr(e) for e in map(total, ("n_all", *AMOUNTS))],
+        F.min("seen").alias("seen"),
+        F.grouping_id(*keys).alias(KIND),
     )
-    known = log.where(F.col(BILL).isNotNull())
-    lines = known.groupBy(BILL, ITEM, STRETCH).agg(F.min(DATE).alias(DATE))
+    table = stored(sums, "timeline", (KIND,))
+
+    def of(kind: list[str]) -> DataFrame:
+        return table.where(F.col(KIND) == sum(1 << len(keys) - 1 - i for i, k in enumerate(keys) if k not in kind))
+
+    # A line without a bill counts as one more bill of its user.
+    bills = of(BILLS).groupBy(USER, "seen").agg(F.count(F.lit(1)).alias(NEW_BILLS), F.min(FIRST).alias(DATE))
+    lines = of(LINES).where(F.col(BILL).isNotNull()).select(BILL, ITEM, F.col(FIRST).alias(DATE))
     return Timeline(
         edges,
-        stored(cube, "timeline-cube"),
-        stored(bills.drop(STRETCH), "timeline-bills"),
-        stored(lines.drop(STRETCH), "timeline-lines"),
+        of(CUBE).select(USER, ITEM, LOC, "n_all", *AMOUNTS),
+        stored(bills.drop("seen"), "timeline-bills"),
+        lines,
         tx,
     )

@@ -91,22 +91,22 @@ def run_scope(spark: SparkSession) -> Iterator[str]:
         _delete(spark, path)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, parted ``by`` columns, and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, lets every
     later reader prune columns, and gives the optimizer the true size.
     """
-    return Stored(df, label).df
+    return Stored(df, label, by).df
 
 
 class Stored:
     """A stored table that can be given up before its scope closes."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, by: tuple[str, ...] = ()):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, label)
-        df.write.parquet(self.path)
+        df.write.partitionBy(*by).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def discard(self) -> None:
