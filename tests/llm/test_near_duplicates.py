@@ -92,16 +92,17 @@ def vector_rows(rng):
             rows.append(base + rng.normal(size=64) * rng.choice([0.05, 0.2, 0.3, 0.4]))
         rows += [base * 2.5, base.copy()]
     rows = [[float(x) for x in r] for r in rows]
-    odd = [None, [], [0.0] * 64, [1.0] * 63, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] + [1.0] * 63]
-    return rows + odd + odd
+    short = [r[:63] for r in rows[::3]] + [r[:3] for r in rows[::9]] + [[2.0], [-3.0], [5.0]]
+    odd = [None, [], [0.0] * 64, [0.0] * 63, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [None] + [1.0] * 63]
+    return rows + short + odd + odd
 
 
 def brute_links(rows):
     unit = {}
     for i, r in enumerate(rows):
-        if r and len(r) == 64 and None not in r and np.isfinite(r).all() and any(r):
+        if r and None not in r and np.isfinite(r).all() and any(r):
             unit[i] = np.array(r) / np.linalg.norm(r)
-    return {i: {j for j in unit if j != i and unit[i] @ unit[j] >= 0.95} if i in unit else set() for i in range(len(rows))}
+    return {i: {j for j in unit if j != i and len(rows[j]) == len(rows[i]) and unit[i] @ unit[j] >= 0.95} if i in unit else set() for i in range(len(rows))}
 
 
 @pytest.mark.parametrize("block", [4, 512])
@@ -120,19 +121,42 @@ def test_op5_at_any_block_size(spark, save, monkeypatch, block):
     assert max(map(len, links.values())) > 3
 
 
-def test_bucket_recall_at_the_threshold():
-    """Pairs at a cosine of exactly 0.95 share a bucket in at least 99 of 100 cases."""
+@pytest.mark.parametrize("dim, hashes", [(16, 4), (64, 2), (64, 3), (64, 4), (256, 3), (768, 2), (768, 3)])
+def test_bucket_recall_at_the_threshold(dim, hashes):
+    """Pairs at a cosine of exactly 0.95 share a bucket in at least 99 of 100 cases, however
+    many axes the number of vectors asks for."""
     rng = np.random.default_rng(1)
-    a, r = rng.normal(size=(2, 2000, 64))
+    n = 2000 if dim < 256 else 500
+    a, r = rng.normal(size=(2, n, dim))
     a /= np.linalg.norm(a, axis=1)[:, None]
     r -= (r * a).sum(1)[:, None] * a
     r /= np.linalg.norm(r, axis=1)[:, None]
-    buckets = embeddings.Buckets(64)
-    one = buckets.of(a).reshape(2000, -1)
-    two = buckets.of(0.95 * a + np.sqrt(1 - 0.95**2) * r).reshape(2000, -1)
+    width = 1 << (dim - 1).bit_length()
+    buckets = embeddings.Buckets(dim, embeddings.IN_BUCKET * (2 * width) ** (hashes - 1) + 1)
+    assert buckets.hashes == hashes
+    one = buckets.of(a).reshape(n, -1)
+    two = buckets.of(0.95 * a + np.sqrt(1 - 0.95**2) * r).reshape(n, -1)
     assert (one[:, :, None] == two[:, None, :]).any((1, 2)).mean() >= 0.99
 
 
+def test_bucket_numbers_beyond_64_bits_wrap_and_still_part_the_tables():
+    buckets = embeddings.Buckets(4096, 1 << 62)
+    numbers = buckets.of(np.eye(4096)[:3])
+    assert (numbers[:, :, 0] % buckets.tables == np.arange(buckets.tables)).all()
+
+
+def test_op5_with_many_axes_gives_the_same_links(spark, save, monkeypatch):
+    """Axes and tables as for a table of many vectors of few components."""
+    monkeypatch.setattr(embeddings, "IN_BUCKET", 1e-4)
+    rng = np.random.default_rng(4)
+    rows = [[float(x) for x in r] for base in rng.normal(size=(80, 8)) for r in (base, base + rng.normal(size=8) * 0.1)]
+    assert embeddings.shape(8, len(rows))[0] > 3
+    schema = "vec_id bigint, embedding array<double>, dim int, bucket string"
+    table = spark.createDataFrame([(i, r, 1, "x") for i, r in enumerate(rows)], schema)
+    made = {r.vec_id: r.n_links for r in op5_embeddings(spark, save(embeddings=table)).collect()}
+    assert made == {i: len(x) for i, x in brute_links(rows).items()}
+
+
 def test_op5_without_rows_or_usable_vectors(spark, save):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert op5_embeddings(spark, save(embeddings=spark.createDataFrame([], schema))).count() == 0
