@@ -1,8 +1,10 @@
 """Column profiles of any table, in long form (one row per column).
 
 Missing cells, ranges, means and text lengths are taken in one pass without a shuffle.
-``value_table`` counts each column's values; distinct and frequent values and samples are
-read from it. Exact medians take four passes that shuffle counts only. A table without columns of a kind gives an empty frame.
+Distinct values and repeated rows are counted by 128 bits of hashes, so no cell is shuffled as
+text. Frequent values are found from bounded summaries and proven by a recount; ``value_table``
+counts all values of a column only where that cannot decide. Exact medians take four passes that
+shuffle counts only. A table without columns of a kind gives an empty frame.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketmill.functions.relational import top_per
-
-COLUMN, VALUE, ROWS = "column_name", "value", "n"
+from basketmill.operators.frequent import COLUMN, COUNTERS, ROWS, VALUE, proven
 
 NUMERIC = T.NumericType
 MOMENTS = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -42,6 +43,26 @@ def value_table(df: DataFrame, kind: str = "all", to: str = "string") -> DataFra
     return long.groupBy(COLUMN, VALUE).agg(F.count(F.lit(1)).alias(ROWS))
 
 
+def _plain(df: DataFrame, name: str) -> Column:
+    """A column that two hashes tell apart: nested values as JSON, as hashes pass over the
+    nulls inside them."""
+    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(F.col(name)) if nested else F.col(name)
+
+
+def _mark(*parts: Column) -> Column:
+    """128 bits of hashes."""
+    return F.struct(*[F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)])
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """Distinct values per column, missing ones left out."""
+    marks = df.select(*[F.when(F.col(c).isNotNull(), _mark(_plain(df, c))).alias(c) for c in df.columns])
+    long = marks.unpivot([], df.columns, COLUMN, "mark").where("mark IS NOT NULL")
+    each = long.select(COLUMN, "mark.*").distinct()
+    return each.groupBy(COLUMN).agg(F.count(F.lit(1)).alias("unique_count"))
+
+
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, missing cells and distinct values per column.
 
@@ -62,8 +83,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         stats["unique_count"] = F.approx_count_distinct
     made = types.join(_per_column(df, names, **stats), COLUMN, "left")
     if not approximate:
-        unique = value_table(df).groupBy(COLUMN).agg(F.count(VALUE).alias("unique_count"))
-        made = made.join(unique, COLUMN, "left")
+        made = made.join(distinct_counts(df), COLUMN, "left")
     return made.fillna(0)
 
 
@@ -201,20 +221,32 @@ def text_summary(df: DataFrame, samples: int = 5) -> DataFrame:
     return stats.join(texts, COLUMN, "left").fillna(0)
 
 
-def top_values(df: DataFrame, k: int = 10) -> DataFrame:
-    """The most frequent values per column, missing included; ties by value."""
+def top_values(df: DataFrame, k: int = 10, counters: int = COUNTERS) -> DataFrame:
+    """The most frequent values per column, missing included; ties by value. ``counters`` moves
+    work between the two ways of counting only."""
+    names = _columns(df, "all")
+    if not names:
+        return df.sparkSession.createDataFrame([], f"{COLUMN} string, {VALUE} string, {ROWS} bigint, rank int")
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in names])
+    counted, left = proven(texts, k, counters)
+    if left:
+        counted = counted.unionByName(value_table(texts.select(*left)))
     order = [F.col(ROWS).desc(), F.col(VALUE).asc_nulls_last()]
-    return top_per(value_table(df), [COLUMN], order, k, "rank")
+    return top_per(counted, [COLUMN], order, k, "rank")
 
 
 def table_overview(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and rows that repeat an earlier one."""
     missing = sum((F.col(c).isNull().cast("bigint") for c in df.columns), F.lit(0))
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    parts = [p for c in df.columns for p in (F.col(c).isNull(), _plain(df, c))]
+    marks = df.select(_mark(*parts).alias("mark"), missing.cast("bigint").alias("_missing"))
+    copies = marks.groupBy("mark.h1", "mark.h2").agg(
+        F.count(F.lit(1)).alias("_copies"), F.sum("_missing").alias("_missing")
+    )
     return copies.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("row_count"),
         F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-        F.coalesce(F.sum(missing * F.col("_copies")), F.lit(0)).alias("missing_cells"),
+        F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
     )
 

@@ -1,13 +1,15 @@
 """Association, profiles and comparisons against pandas."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from basketmill.operators import association as A
-from basketmill.operators import compare, profile
+from basketmill.operators import compare, frequent, profile
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +180,62 @@ def test_medians_by_radix_equal_sorted_middles(spark):
         assert got[name] == want or (want != want and got[name] != got[name])
     keys = profile.order_keys(np.array([-np.inf, -2.0, -5e-324, 0.0, 5e-324, 1.0, np.inf, np.nan]))
     assert (np.diff(keys.astype(object)) > 0).all() and profile.order_keys(np.array([-0.0])) == profile.order_keys(np.array([0.0]))
+
+
+def plain_top(rows, k):
+    counts = Counter(rows)
+    return sorted(counts.items(), key=lambda e: (-e[1], e[0] is None, e[0] or ""))[:k]
+
+
+@pytest.mark.parametrize("counters", [3, 20, 1024])
+def test_frequent_values_are_exact_at_any_number_of_counters(spark, counters):
+    """Skewed, flat, unique, long, missing and empty values; ties at the k-th place."""
+    rnd = random.Random(5)
+    long_a, long_b, edge = "x" * 70 + "a", "x" * 70 + "b", "y" * 64
+    columns = {
+        "skewed": [f"v{int(rnd.paretovariate(1.1))}" for _ in range(3000)],
+        "flat": [f"v{i % 300}" for i in range(3000)],
+        "unique": [f"v{i}" for i in range(3000)],
+        "long": [rnd.choice([long_a, long_b, long_b, edge, "", None, f"u{i}"]) for i in range(3000)],
+        "missing": [None] * 3000,
+        "few": [rnd.choice("abc") for _ in range(3000)],
+        "tied": [f"t{i % 12}" if i < 1200 else f"u{i}" for i in range(3000)],
+    }
+    schema = ", ".join(f"{c} string" for c in columns)
+    df = spark.createDataFrame(list(zip(*columns.values())), schema).repartition(5)
+    made = profile.top_values(df, 5, counters).collect()
+    for name, values in columns.items():
+        got = sorted((r.rank, r.value, r.n) for r in made if r.column_name == name)
+        assert [(v, n) for _, v, n in got] == plain_top(values, 5), name
+
+
+def test_frequent_values_shuffle_no_whole_column(spark):
+    """Skewed columns are proven from the summaries, ids are counted in full."""
+    rows = [(f"v{i % 7}" if i % 3 else f"r{i}", f"id{i}") for i in range(20_000)]
+    texts = spark.createDataFrame(rows, "skewed string, id string").repartition(4)
+    made, left = frequent.proven(texts, 5, 50)
+    assert left == ["id"] and {r.n for r in made.where("column_name = 'skewed'").collect()} <= {1904, 1905}
+    assert "hashpartitioning" not in made._jdf.queryExecution().toString()
+
+
+def test_summary_counts_miss_at_most_the_cut(spark):
+    rnd = random.Random(3)
+    values = [f"v{int(rnd.paretovariate(0.7))}" for _ in range(40_000)]
+    summary = frequent.Summary(16)
+    for at in range(0, len(values), 500):
+        summary.add(pa.array(values[at : at + 500]))
+    table, counts = summary.shrink(), Counter(values)
+    kept = dict(zip(table.column("value").to_pylist(), table.column("n").to_pylist()))
+    assert len(kept) <= 16
+    assert all(kept.get(v, 0) <= n <= kept.get(v, 0) + summary.cut for v, n in counts.items())
+    assert summary.cut <= len(values) / 17
+
+
+def test_distinct_values_and_repeated_rows_by_hashes(spark):
+    rows = [(None, "a", [1, None], 0.0), ("a", None, [None, 1], -0.0), ("a", None, [None, 1], 0.0), ("ab", "c", [1], 1.0), ("a", "bc", None, None)]
+    df = spark.createDataFrame(rows, "s string, t string, v array<int>, x double")
+    unique = {r.column_name: r.unique_count for r in profile.column_profile(df).collect()}
+    assert unique == {"s": 2, "t": 3, "v": 3, "x": 2}
+    over = profile.table_overview(df).first()
+    assert (over.row_count, over.column_count, over.missing_cells, over.duplicate_rows) == (5, 4, 5, 1)
+    assert profile.top_values(df.select()).collect() == []
