@@ -18,6 +18,7 @@ from basketmill.operators.candidates import candidates_from
 from basketmill.operators.features import features_from
 from basketmill.operators.ledger import open_audience, open_ledger
 from basketmill.operators.listbook import ListBook
+from basketmill.operators.outbox import PARTS, write_in_parts
 from basketmill.operators.timeline import Timeline, open_timeline
 from basketmill.operators.users import active_users, month_truth, target_users
 from basketmill.session import stored
@@ -128,6 +129,30 @@ def recommend(
     return ranking.as_lists(ranking.top_k(scored, params.k))
 
 
+def recommend_in_parts(
+    scorer,
+    tx: Log,
+    month: str,
+    path: str,
+    items: DataFrame | None = None,
+    params: RunParams = RunParams(),
+    universe: str = "history",
+    truth_users: DataFrame | None = None,
+    parts: int = PARTS,
+    at_most: int | None = None,
+) -> int:
+    """As ``recommend``, but written to ``path`` by parts of the users; a run that died goes on
+    where it stopped (``write_in_parts``). Gives how many parts are left."""
+    tx = tx if isinstance(tx, Timeline) else open_timeline(tx, (month,), params.candidates)
+    users = target_users(rows_of(tx), month_window(month), universe, truth_users, params.max_test_users)
+
+    def make(some: DataFrame) -> DataFrame:
+        scored = score_month(scorer, tx, some, month, items, params)
+        return ranking.as_lists(ranking.top_k(scored, params.k))
+
+    return write_in_parts(users, make, path, parts, f"{month}|{universe}|{params.k}", at_most)
+
+
 def month_report(
     scored: DataFrame, truth: DataFrame, k: int = 10, with_log_loss: bool = True
 ) -> DataFrame:

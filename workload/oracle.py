@@ -510,6 +510,10 @@ WHERE updated_date >= {ts(month_window(MONTHS[0]).start)} AND updated_date < {ts
     "i09_users_before": simple("SELECT * FROM users", universe="history"),
     "i10_truth_users": simple("SELECT * FROM users"),
     "i11_truth_json": simple("SELECT * FROM truth"),
+    "i11_truth_brackets": simple(
+        """SELECT CAST(customer_id AS VARCHAR) AS "user", item_id || '], "[' || chr(92) AS item_id,
+  CAST(row_number() OVER (PARTITION BY customer_id ORDER BY item_id) AS INTEGER) AS position FROM truth"""
+    ),
     "i12_month_truth": simple(
         "SELECT * FROM truth WHERE customer_id IN (SELECT customer_id FROM hist)"
     ),
@@ -806,6 +810,8 @@ ORACLE["c15_candidates_fine"] = with_(
     {**base(item=PART), **candidate_tables(params=CandidateParams())}, "SELECT * FROM cand"
 )
 
+ORACLE["r04_resumed_lists"] = ORACLE["r04_written_lists"]
+
 # --- scorers --------------------------------------------------------------------------
 
 # The pull of each pair of a bought and an unbought item of a user; ``w`` weighs the pair.

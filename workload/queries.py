@@ -43,6 +43,7 @@ from basketmill.operators import users as U
 from basketmill.operators.cobuy import shared_bill_counts
 from basketmill.operators.listbook import ListBook
 from basketmill.operators.ledger import Audience, Ledger, open_audience, open_ledger
+from basketmill.operators.outbox import read_parts, write_in_parts, write_object
 from basketmill.operators.timeline import open_timeline
 from basketmill.plans import monthly
 from basketmill.plans.association_report import association_report
@@ -121,23 +122,18 @@ def i04_month_series(spark: SparkSession, sf: str) -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n")).where(F.col("month").isin(months))
 
 
-def _truth_file(spark: SparkSession, sf: str, guests: bool = False) -> str:
-    """The test month's purchases as JSON files of one object each, in scratch.
+def _truth_file(spark: SparkSession, sf: str, guests: bool = False, ending: str = "") -> str:
+    """The test month's purchases as a JSON object in part files, in scratch.
 
-    With ``guests`` some users get a key that is no number.
+    With ``guests`` some users get a key that is no number; items get the ``ending``.
     """
     truth = U.month_truth(purchase_log(spark, sf), month_window(TEST))
-    lists = truth.groupBy(USER).agg(F.sort_array(F.collect_list(ITEM)).alias("items"))
-    path = scratch_path(spark, "truth")
+    ids = F.sort_array(F.collect_list(F.concat(ITEM, F.lit(ending))))
     key = F.col(USER).cast("string")
     if guests:
         key = F.when(F.col(USER) % 10 == 3, F.concat(F.lit("guest-"), key)).otherwise(key)
-    entries = F.map_from_entries(F.collect_list(F.struct(key.alias("key"), "items")))
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    objects = lists.groupBy(F.pmod(F.xxhash64(USER), F.lit(files)).alias("file")).agg(
-        F.to_json(entries).alias("value")
-    )
-    objects.write.partitionBy("file").text(path)
+    path = scratch_path(spark, "truth")
+    write_object(truth.groupBy(USER).agg(ids.alias("items")).select(key.alias("key"), "items"), path, "key")
     return path
 
 
@@ -149,6 +145,15 @@ def i11_truth_json(spark: SparkSession, sf: str) -> DataFrame:
     return S.truth_from_json(spark, _truth_file(spark, sf))
 
 
+#: What ends item ids in a file that only counting quotes can split: brackets, quotes, backslashes.
+ODD_ENDING = '], "[\\'
+
+
+def i11_truth_brackets(spark: SparkSession, sf: str) -> DataFrame:
+    path = _truth_file(spark, sf, ending=ODD_ENDING)
+    return S.lists_from_json(spark, path, brackets_in_ids=True)
+
+
 def i12_month_truth(spark: SparkSession, sf: str) -> DataFrame:
     tx, month = purchase_log(spark, sf), month_window(TEST)
     return U.month_truth(tx, month, U.users_before(tx, month.start))
@@ -199,6 +204,7 @@ INGEST: dict[str, Query] = {
     "i09_users_before": _tx(lambda tx: U.users_before(tx, CUTOFF)),
     "i10_truth_users": i10_truth_users,
     "i11_truth_json": i11_truth_json,
+    "i11_truth_brackets": i11_truth_brackets,
     "i12_month_truth": i12_month_truth,
     "i13_split_months": i13_split_months,
 }
@@ -487,6 +493,18 @@ def r04_written_lists(spark: SparkSession, sf: str, item: str = NAMED) -> DataFr
     return R.read_recommendations(spark, path)
 
 
+def r04_resumed_lists(spark: SparkSession, sf: str, item: str = NAMED) -> DataFrame:
+    """Lists written by parts of the users in two sittings."""
+    path, rows = scratch_path(spark, "parts"), scored(spark, sf, item)
+
+    def make(users: DataFrame) -> DataFrame:
+        return R.as_lists(R.top_k(rows.join(users, USER, "left_semi")))
+
+    for at_most in (2, None):
+        write_in_parts(rows.select(USER).distinct(), make, path, parts=4, tag=TEST, at_most=at_most)
+    return read_parts(spark, path)
+
+
 def r05_rekeyed(spark: SparkSession, sf: str) -> DataFrame:
     """Lists of a file with number and text keys, re-keyed, written and read again."""
     path = scratch_path(spark, "rekeyed")
@@ -544,6 +562,7 @@ RANKING: dict[str, Query] = _on_parts({
     "e12_month_report": e12_month_report,
 })
 RANKING["r05_rekeyed"] = r05_rekeyed
+RANKING["r04_resumed_lists"] = r04_resumed_lists
 
 # --- scorers --------------------------------------------------------------------
 
