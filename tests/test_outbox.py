@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from basketmill.config import CandidateParams, RunParams
 from basketmill.operators import outbox
+from basketmill.plans import monthly
 from basketmill.sources import tables
 
 ODD = ["a]b", '"', "\\", "\\\\]", '],"x":["y', "[", "é]", "", "]]]", '\\"]', "plain"]
@@ -89,3 +91,25 @@ def test_a_killed_write_resumes_without_loss_or_repeats(spark, tmp_path):
     with pytest.raises(ValueError, match="another run"):
         outbox.write_in_parts(users.limit(5), lists_of, path, parts=8, tag="t")
     assert outbox.read_parts(spark, str(tmp_path / "nothing")).count() == 0
+
+
+class Often:
+    """The score is how often the user bought the item."""
+
+    def score(self, rows):
+        return rows.withColumn("score", F.col("ui_tx_count").cast("double"))
+
+
+def test_recommendations_by_parts_equal_those_of_one_run(spark, log, catalogue, tmp_path):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(80), rnd.randrange(12), f"i{rnd.randrange(9)}", f"2025-0{rnd.randrange(1, 6)}-1{rnd.randrange(9)}", 2.0, 0.0, 1.0, rnd.randrange(3)) for _ in range(300)]
+    tx = log(rows)
+    items = catalogue([(f"i{n}", 1.0, 1, 3, "a", "b", "c", f"k{n % 2}", f"m{n % 3}") for n in range(9)])
+    params = RunParams(candidates=CandidateParams(personal_top=3, global_top=4, cobuy_top=3), k=4)
+    path = str(tmp_path / "lists")
+    whole = monthly.recommend(Often(), tx, "2025-06", items, params).collect()
+    for at_most, left in ((1, 1), (None, 0)):
+        assert monthly.recommend_in_parts(Often(), tx, "2025-06", path, items, params, parts=2, at_most=at_most) == left
+    rows = outbox.read_parts(spark, path).collect()
+    assert sorted((r.customer_id, r.rank, r.item_id) for r in rows) == sorted((r.customer_id, n, i) for r in whole for n, i in enumerate(r["items"], 1))
+    assert len(whole) == 12

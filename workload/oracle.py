@@ -1171,6 +1171,13 @@ ORACLE |= {
         KINDS,
         PROFILED,
     ),
+    "q01_kept_profile": per_column(
+        """SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+  CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean,
+  round(stddev_samp({c}), 4) AS std FROM {t}""",
+        [NUMERIC],
+        ["lineitem"],
+    ),
     "q02_numeric": per_column(
         """SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min,
   CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean,
