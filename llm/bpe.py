@@ -7,7 +7,9 @@ pairs that touch a merged token are looked up and indexed again. Words are indep
 blocks give the same ids as one corpus-wide replay, and no word is ever shuffled.
 
 ``encode`` and ``decode`` need a ranks file (one ``base64 rank`` per line) and a pattern.
-A null text is empty; an empty text has no ids. Columns other than id and text are ignored.
+A null text is empty; an empty text has no ids. Rows are encoded one by one, also those that
+repeat an id or have none. Columns other than id and text are ignored; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Token ids are those of a ``tokenizers`` file with byte-level BPE, special string
 and an end id after each document. The ids are computed from that file's vocabulary by
 tiktoken, which gives the same ids about five times as fast.
 
-A null text is empty: its only token is the end id. Placement depends only on the rows of a
+A null text is empty: its only token is the end id. Rows are documents of their own, also those
+that repeat an id or have none; other columns are ignored, and an empty table gives an empty
+one. Placement depends only on the rows of a
 task, so a task that runs again gives the same rows, as long as its input does.
 """
 

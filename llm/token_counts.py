@@ -6,7 +6,8 @@ tokens as its pieces together. Each distinct piece of a block is encoded once, i
 of about equal bytes. ``.model`` files keep white space as part of a token; their texts are
 encoded whole, in batches of about equal bytes.
 
-A null text is empty and has 0 bytes and 0 tokens. Other columns are ignored.
+A null text is empty and has 0 bytes and 0 tokens. Rows are counted one by one, also those that
+repeat an id or have none. Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
