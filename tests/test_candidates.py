@@ -145,6 +145,30 @@ def test_split_bills_count_like_pairs(spark):
         }, limit
 
 
+def test_bills_of_many_pairs_are_counted_by_parts(spark, monkeypatch):
+    """Large bills send their lines to the parts of their anchors; no pair is a row."""
+    from basketmill.operators import cobuy
+
+    rnd = random.Random(6)
+    baskets = {(f"b{b}", f"i{rnd.randrange(300):03d}") for b in range(12) for _ in range(rnd.choice([2, 90, 200]))}
+    baskets |= {(f"b{b}", "i007") for b in range(12)}
+    lines = spark.createDataFrame(sorted(baskets), "bill_id string, item_id string")
+    for anchors in ([f"i{n:03d}" for n in range(300)], [f"i{n:03d}" for n in range(0, 310, 3)] + ["i007"]):
+        chosen = spark.createDataFrame([(a,) for a in anchors], "item_id string")
+        of = {b: {i for x, i in baskets if x == b} for b, _ in baskets}
+        shared = {a: Counter(i for items in of.values() if a in items for i in items if i != a) for a in anchors}
+        want = {(a, i, n) for a, c in shared.items() for i, n in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:5]}
+        # As given, and with many parts, small batches and anchors that are counted in pieces.
+        for per_part, per_piece, chunk in ((10**6, 4 * 10**6, 500), (5000, 700, 40)):
+            monkeypatch.setattr(cobuy, "PAIRS_PER_PART", per_part)
+            monkeypatch.setattr(cobuy, "PAIRS_PER_PIECE", per_piece)
+            got = shared_bill_counts(lines, chosen, 5, chunk)
+            plan = got._jdf.queryExecution().toString()
+            assert "CoGroupsInArrow" in plan
+            rows = [tuple(r) for r in got.collect()]
+            assert len(rows) == len(want) and set(rows) == want
+
+
 def test_every_item_of_large_bills_is_an_anchor(spark, log, monkeypatch):
     from workload import queries as Q
 
