@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,27 @@ def _labelled(spark, rows):
     return spark.createDataFrame(rows, f"{PAIRS}, label tinyint, label_month string")
 
 
+def test_negatives_of_a_month_stay_on_their_tasks(spark):
+    """Sampling sends no month to one task, also where no table is small enough to be copied."""
+    off = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in off}
+    rows = spark.range(4000).selectExpr(
+        "id % 40 AS customer_id", "CAST(id AS STRING) AS item_id", "CAST(id % 16 = 0 AS TINYINT) AS label",
+        "'2025-06' AS label_month",
+    ).repartition(6, "item_id")
+    try:
+        for k in off:
+            spark.conf.set(k, "-1")
+        kept = D.downsample_negatives(rows, 6.0, 3).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    negatives = [r for r in kept if r.label == 0]
+    assert len(negatives) == 1500 and len({r.item_id for r in negatives}) == 1500
+    of_task = Counter(r.task for r in negatives)
+    assert len(of_task) >= 6 and max(of_task.values()) < 500
+
+
 def test_negatives_kept_are_the_smallest_hashes(spark):
     rows = [(u, f"i{i}", int(i < 3), "2025-07") for u in range(20) for i in range(40)]
     rows += [(u, "x", 0, "2025-08") for u in range(5)]  # no positive: kept whole
