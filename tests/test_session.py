@@ -50,6 +50,17 @@ def test_shuffles_start_from_the_bytes_of_the_inputs(spark, monkeypatch):
         spark.conf.unset(INITIAL) if before is None else spark.conf.set(INITIAL, before)
 
 
+def test_a_task_of_a_shuffle_gets_a_few_megabytes_of_files(spark):
+    """A shuffle of 35 million rows of the log is 2.2 GB from 0.5 GB of files."""
+    before = spark.conf.get(INITIAL, None)
+    try:
+        session.tune(spark, spark.range(1 << 26))  # estimated at 512 MB
+        assert int(spark.conf.get(INITIAL)) >= 100
+    finally:
+        spark.conf.unset("basketmill.initialPartitionNum")
+        spark.conf.unset(INITIAL) if before is None else spark.conf.set(INITIAL, before)
+
+
 def test_scopes_nest_and_delete_only_their_own(spark):
     with session.run_scope(spark) as outer:
         kept = session.stored(spark.range(3), "outer")

@@ -1,6 +1,7 @@
 """Months from one timeline equal months from the log, and the log is summed once."""
 
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -14,6 +15,7 @@ from basketmill.operators import timeline as T
 from basketmill.operators.association import feature_report
 from basketmill.operators.listbook import ListBook
 from basketmill.operators.scorers import make_scorer
+from basketmill.operators.training import downsample_negatives
 from basketmill.operators import users as U
 from basketmill.plans import association_report as R
 from basketmill.plans import monthly
@@ -65,6 +67,25 @@ def test_a_month_is_the_same_from_either(spark, tables, month):
         assert sorted(map(tuple, ask(timeline.rows).collect())) == sorted(map(tuple, ask(tx).collect()))
 
 
+def test_features_are_joined_to_sampled_rows_only(spark, tables, monkeypatch):
+    """A train month is the sample of the whole month; rows that it drops get no features."""
+    tx, items = tables
+    given, features_from = [], monthly.features_from
+
+    def spy(ledger, audience, candidates, *keep):
+        given.append(candidates.count())
+        return features_from(ledger, audience, candidates, *keep)
+
+    whole = monthly.full_month(tx, MONTHS[-1], items, PARAMS)
+    for ratio in (1.0, 2.0):
+        want = shown(downsample_negatives(whole, ratio, PARAMS.seed))
+        assert 0 < len(want) < whole.count()
+        monkeypatch.setattr(monthly, "features_from", spy)
+        made = monthly.month_dataset(tx, MONTHS[-1], items, replace(PARAMS, negative_ratio=ratio))
+        assert made.schema == whole.schema and shown(made) == want
+        assert given.pop() == len(want)
+
+
 def test_the_log_is_read_as_often_for_many_months_as_for_one(spark, tables, rows):
     tx, items = tables
     seen = spark.sparkContext.accumulator(0)
