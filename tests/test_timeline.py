@@ -13,6 +13,8 @@ from basketmill.config import CandidateParams, RunParams, SplitMonths
 from basketmill.functions.time import month_window, previous_months
 from basketmill.operators import timeline as T
 from basketmill.operators.association import feature_report
+from basketmill import session
+from basketmill.operators.ledger import open_ledger
 from basketmill.operators.listbook import ListBook
 from basketmill.operators.scorers import make_scorer
 from basketmill.operators.training import downsample_negatives
@@ -67,6 +69,24 @@ def test_a_month_is_the_same_from_either(spark, tables, month):
         assert sorted(map(tuple, ask(timeline.rows).collect())) == sorted(map(tuple, ask(tx).collect()))
 
 
+def test_a_ledger_of_the_timeline_stores_totals_only(spark, tables, monkeypatch):
+    """No second copy of the rows is written, and users are told apart without measures."""
+    tx, items = tables
+    timeline, written, write = T.open_timeline(tx, MONTHS, SMALL), [], session.stored
+    monkeypatch.setattr(session, "stored", lambda df, label: written.append(label) or write(df, label))
+    cutoff = month_window(MONTHS[-1]).start
+    plain = open_ledger(tx, cutoff, items, SMALL)
+    ledger = timeline.ledger(cutoff, items, SMALL)
+    cell = lambda v: round(v, 6) if isinstance(v, float) else v
+    for table in ("by_item", "by_place"):
+        made, want = getattr(ledger, table), getattr(plain, table)
+        names = sorted(want.columns)
+        assert dict(made.dtypes) == dict(want.dtypes)
+        both = [sorted((tuple(map(cell, r)) for r in t.select(names).collect()), key=str) for t in (made, want)]
+        assert both[0] == both[1] and both[0]
+    assert sorted(written) == ["by-item", "by-place"]
+
+
 def test_features_are_joined_to_sampled_rows_only(spark, tables, monkeypatch):
     """A train month is the sample of the whole month; rows that it drops get no features."""
     tx, items = tables
