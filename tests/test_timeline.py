@@ -87,6 +87,52 @@ def test_a_ledger_of_the_timeline_stores_totals_only(spark, tables, monkeypatch)
     assert sorted(written) == ["by-item", "by-place"]
 
 
+def test_all_cutoffs_share_the_totals_and_rows_hold_their_own_only(spark, tables, monkeypatch):
+    """Items, places and their first users are summed once for all months; no line is kept that
+    no window holds, and rows of bills and lines carry no amounts."""
+    tx, items = tables
+    written, write = [], T.stored
+    monkeypatch.setattr(T, "stored", lambda df, label, by=(): written.append((label, write(df, label, by))) or written[-1][1])
+    timeline = T.open_timeline(tx, MONTHS, SMALL)
+    for month in MONTHS[-2:]:
+        cutoff = month_window(month).start
+        made, plain = timeline.ledger(cutoff, items, SMALL), open_ledger(tx, cutoff, items, SMALL)
+        for table, key in (("by_item", [ITEM]), ("by_place", ["location", ITEM])):
+            names = [*[k for k in key if k in getattr(plain, table).columns], "n_all", "n_90", "users_all"]
+            both = [sorted(map(tuple, getattr(ledger, table).select(names).collect()), key=str) for ledger in (made, plain)]
+            assert both[0] == both[1] and both[0]
+    assert sorted(label for label, _ in written) == ["timeline", "timeline-bills", "timeline-places", "timeline-users"]
+    first = T.edges_of(MONTHS, SMALL)[0]
+    assert tx.where(F.col("updated_date") < F.lit(first)).count() > 0
+    assert timeline.lines.count() > 0 and timeline.lines.where(F.col("updated_date") < F.lit(first)).count() == 0
+    table = dict(written)["timeline"]
+    assert table.where("sum_spend IS NOT NULL").count() == timeline.cube.count() < table.count()
+
+
+def test_a_run_serves_and_evaluates_its_test_month_from_one_set_of_rows(spark, tables, monkeypatch):
+    """Users with history and users active in the month, whose sets differ, are served together."""
+    tx, items = tables
+    window = month_window(MONTHS[-1])
+    truth = U.month_truth(tx, window)
+    params = replace(PARAMS, max_test_users=20)
+    opened, real = [], monthly._opened
+    monkeypatch.setattr(monthly, "_opened", lambda tx, users, month, *rest: opened.append(month) or real(tx, users, month, *rest))
+
+    class Scorer:
+        is_probability, best_trees = False, None
+        fit = lambda self, *tables, **sizes: self
+        score = lambda self, df: df.withColumn("score", F.round(F.col("ui_tx_count").cast("double") + F.col("u_tx_count"), 2))
+
+    split = SplitMonths(MONTHS[-3:-2], MONTHS[-2], MONTHS[-1])
+    result = monthly.run(tx, split, Scorer(), items, params, "history", truth=truth, evaluate_test=True)
+    assert opened.count(MONTHS[-1]) == 1
+    timeline = T.open_timeline(tx, MONTHS[-1:], SMALL)
+    want, _ = monthly.evaluate_month(Scorer(), timeline, MONTHS[-1], items, params, max_users=20)
+    assert result.test_report.collect() == want.collect()
+    want = monthly.recommend(Scorer(), timeline, MONTHS[-1], items, params, "history")
+    assert sorted(map(tuple, result.lists.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_features_are_joined_to_sampled_rows_only(spark, tables, monkeypatch):
     """A train month is the sample of the whole month; rows that it drops get no features."""
     tx, items = tables
