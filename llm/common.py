@@ -126,7 +126,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
     Alternates two steps until nothing changes: every node's larger neighbours are linked
     to its smallest neighbour (or itself), then every node's smaller neighbours likewise.
-    Each step is a grouped minimum, which is summed up before the shuffle, and a join,
+    Each step is a grouped minimum, which is summed up before the shuffle, and a sort-merge join
+    (files of edges are many times smaller than their rows, too small an estimate for a copy),
     which adaptive execution splits when one node has most of the links. Each round is a
     stored table, so a lost executor costs one round. Nodes that occur in no edge are
     not returned.
@@ -158,14 +159,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return _linked(
-        both.join(smallest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both.join(smallest.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` hold the smaller node in ``b``."""
     smallest = edges.groupBy("a").agg(F.min("b").alias("m"))
-    to_smallest = edges.join(smallest, "a")
+    to_smallest = edges.join(smallest.hint("merge"), "a")
     return _linked(
         to_smallest.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             smallest.select("a", F.col("m").alias("b"))

@@ -121,7 +121,9 @@ def links(nodes: DataFrame) -> DataFrame:
     the same ids as all pairs that differ in ``BITS`` bits or fewer."""
     listed = nodes.select("fp", "node", F.explode(cells(F.col("fp"))).alias("cell"))
     sizes = listed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(listed.join(sizes, "cell"), "simhash-cells")
+    # A fingerprint is listed up to 33 times, and 65 times below, which the optimizer's sizes leave
+    # out: unless told it would copy all of a list to the driver and every executor.
+    shared = stored(listed.join(sizes.hint("merge"), "cell"), "simhash-cells")
     lists = shared.where(F.col("n") <= CELL_LIMIT).groupBy("cell")
     pairs = _verified(
         lists.agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes")).select("fps", "nodes")
@@ -130,7 +132,7 @@ def links(nodes: DataFrame) -> DataFrame:
     flips = [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
     keyed = crowded.select("node", F.explode(F.array("fp", *flips)).alias("key"))
     first = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    stars = keyed.join(first, "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    stars = keyed.join(first.hint("merge"), "key").select(F.col("node").alias("a"), F.col("first").alias("b"))
     return pairs.unionByName(stars).where("a <> b").distinct()
 
 
@@ -139,5 +141,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     made = stored(fingerprints(df, id_col, text_col), "simhash-fingerprints")
     nodes = made.groupBy("fp").agg(F.min("id").alias("node"))
     found = components(links(nodes.where("node IS NOT NULL")), "simhash-stars")
+    # Files of ids and of few components are many times smaller than their rows.
+    found = found.hint("merge")
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return made.join(named, "fp").select("id", "fp", "component")
+    return made.join(named.hint("merge"), "fp").select("id", "fp", "component")

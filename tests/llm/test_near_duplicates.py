@@ -297,3 +297,18 @@ def test_periodic_text_has_a_bounded_fingerprint():
 def test_simhash_plan_has_no_product(spark, odd_docs):
     plan = simhash.near_duplicates(odd_docs)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_simhash_copies_no_exploded_table_to_the_driver(spark, monkeypatch):
+    """300,000 fingerprints, estimated at 7 MB, are listed 9 million times: 805 MB as a broadcast."""
+    plans, keep = [], simhash.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    texts = near_texts(random.Random(5), copies=2)
+    made = simhash.near_duplicates(spark.createDataFrame(rows_of(texts, 100), SCHEMA))
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in plan for plan in plans) and not any("Broadcast" in plan for plan in plans)
