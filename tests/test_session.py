@@ -73,3 +73,21 @@ def test_scopes_nest_and_delete_only_their_own(spark):
         assert not os.path.exists(gone.path) and len(os.listdir(outer)) == 1
     assert not os.path.exists(outer)
     assert session.scratch_path(spark, "x").startswith(session.scratch_dir(spark))
+
+
+def test_a_table_of_small_files_and_many_rows_is_not_copied_to_the_driver(spark, tmp_path):
+    """2 MB of candidates were 213 MB as a broadcast."""
+    path = str(tmp_path / "flags")
+    spark.range(1 << 19).selectExpr("id % 8 AS a", "id % 4 AS b", "id").coalesce(1).write.parquet(path)
+    size = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith("parquet"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", INITIAL)}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2 * size))
+        flags = spark.read.parquet(path)
+        plan = flags.join(flags.withColumnRenamed("b", "c"), "id")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        # Partitions of shuffles still follow the bytes of the files.
+        assert size / 2 < session._bytes(flags) < 2 * size
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
